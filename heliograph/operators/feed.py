@@ -154,16 +154,21 @@ def from_test_leads(leads: DataFrame, campaigns: DataFrame) -> DataFrame:
 
 def from_agent_drafts(emails: DataFrame) -> DataFrame:
     """Drafts that agents wrote themselves."""
-    step = F.coalesce("sequence_position", F.lit(1)).cast("string")
+    drafts = (
+        emails.filter(F.col("source") == "agent_drafted")
+        .withColumn("framework", F.coalesce("framework", F.lit("one-off")))
+        .withColumn("sequence_position", F.coalesce("sequence_position", F.lit(1)))
+        .withColumn("sequence_total", F.coalesce("sequence_total", "sequence_position"))
+    )
     summary = _text(
-        "Agent drafted email (", F.coalesce("framework", F.lit("one-off")), " step ", step, "/",
-        F.coalesce("sequence_total", F.lit(1)).cast("string"), ") for ", F.col("to_name"),
+        "Agent drafted email (", F.col("framework"), " step ", F.col("sequence_position").cast("string"), "/",
+        F.col("sequence_total").cast("string"), ") for ", F.col("to_name"),
     )
     details = {
         "campaign_id": "campaign_id", "lead_id": "lead_id", "email_id": "id",
         "framework": "framework", "step": "sequence_position",
     }
-    return _entry(emails.filter(F.col("source") == "agent_drafted"), "draft", "content", summary, details, "created_at")
+    return _entry(drafts, "draft", "content", summary, details, "created_at")
 
 
 def from_draft_batches(batches: DataFrame) -> DataFrame:

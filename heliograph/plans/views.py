@@ -283,7 +283,7 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 def crawl(spark: SparkSession, sf: str) -> DataFrame:
     """Pages by site and documents by source, with addresses of every kind added to the pages."""
     web = table(spark, sf, "pages").selectExpr(
-        "parse_url(url, 'HOST') AS site",
+        "try_parse_url(url, 'HOST') AS site",
         "CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '/contact' WHEN 2 THEN '/contact-us' ELSE concat('/p/', page_id) END AS path",
         "concat(html, CASE page_id % 9 WHEN 0 THEN '<img src=\"logo@2x.png\">'"
         " WHEN 1 THEN concat('<a href=\"MAILTO:Jo', page_id, '@Firm.test?subject=x\">')"
@@ -434,9 +434,9 @@ def enrichment_results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def probes(spark: SparkSession, sf: str) -> DataFrame:
-    """One health probe per supplier, spread over the first month."""
-    return table(spark, sf, "supplier").selectExpr(
-        "CAST(s_suppkey AS STRING) AS probe_id",
-        "concat('w', s_suppkey % 7) AS webhook_id",
-        "CAST(timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, s_suppkey * 17, 0) AS TIMESTAMP) AS since",
+    """A health probe up to 19 seconds before each `signup`, so that some see it arrive in time."""
+    return table(spark, sf, "events").filter("event_type = 'signup'").selectExpr(
+        "CAST(event_id AS STRING) AS probe_id",
+        "concat('w', user_id % 7) AS webhook_id",
+        "CAST(ts - make_interval(0, 0, 0, 0, 0, 0, event_id % 20) AS TIMESTAMP) AS since",
     )
