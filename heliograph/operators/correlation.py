@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.functions.keys import spread_missing
+from heliograph.functions.keys import lookup_key, spread_key
 from heliograph.functions.text import truthy
 
 # Provider event types and the statuses they stand for.
@@ -63,8 +63,9 @@ def _first_email(emails: DataFrame, id_column: str, key: str, hit: str) -> DataF
     )
     return (
         emails.filter(truthy(F.col(id_column)))
-        .groupBy(F.col(id_column).alias(key))
+        .groupBy(id_column)
         .agg(first.alias(hit))
+        .select(lookup_key(F.col(id_column)).alias(key), hit)
     )
 
 
@@ -78,8 +79,8 @@ def correlate_events(events: DataFrame, emails: DataFrame, keep_unmatched: bool
     by_message = _first_email(emails, "agentmail_message_id", "_message", "_m")
     by_thread = _first_email(emails, "agentmail_thread_id", "_thread", "_t")
     joined = (
-        events.withColumn("_message", spread_missing(F.col("message_id"), F.col("id")))
-        .withColumn("_thread", spread_missing(F.col("thread_id"), F.col("id")))
+        events.withColumn("_message", spread_key(F.col("id"), F.col("message_id")))
+        .withColumn("_thread", spread_key(F.col("id"), F.col("thread_id")))
         .join(by_message, "_message", "left")
         .join(by_thread, "_thread", "left")
         .withColumn("_hit", F.least("_m", "_t"))
@@ -98,7 +99,7 @@ def correlate_replies(replies: DataFrame, emails: DataFrame) -> DataFrame:
     """Replies to e-mails by thread alone. Unmatched ones stay, in the `unassigned` partition."""
     by_thread = _first_email(emails, "agentmail_thread_id", "_thread", "_t")
     return (
-        replies.withColumn("_thread", spread_missing(F.col("agentmail_thread_id"), F.col("id")))
+        replies.withColumn("_thread", spread_key(F.col("id"), F.col("agentmail_thread_id")))
         .join(by_thread, "_thread", "left")
         .select(
             *replies.columns,
@@ -113,14 +114,14 @@ def correlate_replies(replies: DataFrame, emails: DataFrame) -> DataFrame:
 
 def attribute_clicks(clicks: DataFrame, emails: DataFrame) -> DataFrame:
     """Clicks with the e-mail they belong to, by campaign and id; the others stay in the log."""
-    known = emails.groupBy("campaign_id", F.col("id").alias("email_id")).agg(
-        F.min(F.struct("created_at", "status")).alias("_e")
+    known = emails.select(
+        "campaign_id", F.col("id").alias("email_id"), F.col("status").alias("_before"), F.lit(True).alias("_known")
     )
-    after = F.when(F.col("_e.status") == "replied", "replied").otherwise("clicked")
+    after = F.when(F.col("_before") == "replied", "replied").otherwise("clicked")
     return clicks.join(known, ["campaign_id", "email_id"], "left").select(
         *clicks.columns,
-        F.col("_e").isNotNull().alias("matched"),
-        F.when(F.col("_e").isNotNull(), after).alias("status_after"),
+        F.col("_known").isNotNull().alias("matched"),
+        F.when(F.col("_known"), after).alias("status_after"),
     )
 
 
@@ -139,7 +140,7 @@ def with_click_stats(emails: DataFrame, clicks: DataFrame) -> DataFrame:
 
 def orphans(children: DataFrame, parents: DataFrame, key: str, parent_id: str = "id") -> DataFrame:
     """Rows that name a parent which is gone."""
-    known = parents.select(F.col(parent_id).alias(key)).distinct()
+    known = parents.select(F.col(parent_id).alias(key))
     return children.filter(truthy(F.col(key).cast("string"))).join(known, key, "left_anti")
 
 

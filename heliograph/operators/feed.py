@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.functions.keys import spread_missing
+from heliograph.functions.keys import lookup_key, spread_key
 from heliograph.functions.text import json_path
 
 # Feed categories, the stand-in emoji, and how the live feed behaves.
@@ -217,9 +217,9 @@ def route_activity(activity: DataFrame) -> DataFrame:
 
 def activity_with_agent(activity: DataFrame, agents: DataFrame) -> DataFrame:
     """Feed rows with their agent's emoji. Most rows have no agent and do not meet on one key."""
-    faces = agents.select(F.col("id").alias("_agent"), F.col("emoji").alias("_emoji"))
+    faces = agents.select(lookup_key(F.col("id")).alias("_agent"), F.col("emoji").alias("_emoji"))
     return (
-        activity.withColumn("_agent", spread_missing(F.col("agent_id"), F.col("id")))
+        activity.withColumn("_agent", spread_key(F.col("id"), F.col("agent_id")))
         .join(faces, "_agent", "left")
         .select(*activity.columns, F.coalesce("_emoji", F.lit(DEFAULT_EMOJI)).alias("emoji"))
     )

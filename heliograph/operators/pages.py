@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions.html import first_form_marker, form_markers, is_full_html
-from heliograph.functions.keys import spread_missing
+from heliograph.functions.keys import lookup_key, spread_key
 from heliograph.functions.text import page_slug
 
 
@@ -30,7 +30,7 @@ def link_pages_forms(pages: DataFrame, forms: DataFrame) -> DataFrame:
     ).join(forms.select(F.col("slug").alias("form_slug"), F.lower("slug").alias("_key")), "_key")
     by_slug = pages.filter(F.col("linked_form_slug").isNotNull()).select(
         F.col("slug").alias("page_slug"), F.col("linked_form_slug").alias("form_slug")
-    ).join(forms.select(F.col("slug").alias("form_slug")).distinct(), "form_slug", "left_semi")
+    ).join(forms.select(F.col("slug").alias("form_slug")), "form_slug", "left_semi")
     return by_marker.select("page_slug", "form_slug").unionByName(by_slug.select("page_slug", "form_slug")).distinct()
 
 
@@ -39,11 +39,11 @@ def resolve_page_form(pages: DataFrame, forms: DataFrame) -> DataFrame:
 
     The marker is found in any case but looked up as it is written.
     """
-    known = forms.select(F.col("slug").alias("_slug"), F.col("title").alias("form_title"))
+    known = forms.select(lookup_key(F.col("slug")).alias("_slug"), F.col("title").alias("form_title"))
     wanted = F.coalesce(first_form_marker(F.col("html_body")), "linked_form_slug")
     return (
         pages.select(F.col("slug").alias("page_slug"), wanted.alias("wanted_form"))
-        .withColumn("_slug", spread_missing(F.col("wanted_form"), F.col("page_slug")))
+        .withColumn("_slug", spread_key(F.col("page_slug"), F.col("wanted_form")))
         .join(known, "_slug", "left")
         .select(
             "page_slug", "wanted_form", "form_title", F.col("form_title").isNotNull().alias("shows_form")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions.html import default_body_html, outbound_html, rewrite_links
+from heliograph.functions.keys import lookup_key, spread_key
 from heliograph.functions.text import js_trim, strip_code_fences, truthy, valid_json
 from heliograph.operators.leads import contactable_leads, has_email
 
@@ -212,10 +213,11 @@ def dedupe_new_drafts(new: DataFrame, existing: DataFrame) -> DataFrame:
     keys = ["campaign_id", "lead_id", "_step"]
     first = keyed.groupBy(*keys).agg(F.min(F.struct("created_at", "id")).alias("_first"))
     taken = existing_pairs(existing).withColumnRenamed("step", "_step").withColumn("_taken", F.lit(True))
+    pair = [F.col(k) for k in keys]
     winners = first.join(taken, keys, "left").select(
-        *keys, F.when(F.col("_taken").isNull(), F.col("_first.id")).alias("_winner")
+        lookup_key(*pair).alias("_pair"), F.when(F.col("_taken").isNull(), F.col("_first.id")).alias("_winner")
     )
-    return keyed.join(winners, keys, "left").select(
+    return keyed.withColumn("_pair", spread_key(F.col("id"), *pair)).join(winners, "_pair", "left").select(
         *new.columns, (~F.coalesce(F.col("id") == F.col("_winner"), F.lit(False))).alias("skipped")
     )
 
@@ -239,8 +241,13 @@ def select_sendable(emails: DataFrame, ids: DataFrame | None = None, step: int |
     at_step = drafted.filter(step_of() == step)
     if step == 1:
         return at_step
-    replied = emails.filter(F.col("status") == "replied").select("campaign_id", "lead_id").distinct()
-    return at_step.join(replied, ["campaign_id", "lead_id"], "left_anti")
+    lead = (F.col("campaign_id"), F.col("lead_id"))
+    replied = (
+        emails.filter(F.col("status") == "replied")
+        .select("campaign_id", "lead_id").distinct()
+        .select(lookup_key(*lead).alias("_lead"))
+    )
+    return at_step.withColumn("_lead", spread_key(F.col("id"), *lead)).join(replied, "_lead", "left_anti").drop("_lead")
 
 
 def outbound_messages(emails: DataFrame, base_url: str) -> DataFrame:

@@ -53,7 +53,7 @@ def parse_submissions(raw: DataFrame, forms: DataFrame) -> DataFrame:
     Required fields are not enforced. A missing body is an empty submission, a broken one is refused.
     """
     body = F.coalesce(F.col("body"), F.lit("{}"))
-    known = forms.select(F.col("slug").alias("form_slug")).distinct()
+    known = forms.select(F.col("slug").alias("form_slug"))
     return (
         raw.filter(valid_json(body))
         .join(known, "form_slug", "left_semi")
@@ -61,24 +61,22 @@ def parse_submissions(raw: DataFrame, forms: DataFrame) -> DataFrame:
     )
 
 
-def import_scraped_leads(raw: DataFrame, campaigns: DataFrame, salts: int = 32) -> DataFrame:
+def import_scraped_leads(raw: DataFrame, campaigns: DataFrame) -> DataFrame:
     """`(campaign_id, item_no, item)` to new leads, at most `maxResults` per campaign's plan.
 
-    The first items win. Each campaign is cut to its limit in slices first and over the slices
-    after that, so a campaign with most of the items is never ranked by one task as a whole.
+    The first items win. The largest limit of all plans is looked up beforehand, one number: with it
+    Spark cuts each task's items per campaign before the shuffle (WindowGroupLimit), so a campaign
+    with most of the items sends only what may be kept. Each campaign's own limit follows.
     """
     limits = campaigns.select(
         F.col("id").alias("campaign_id"), F.col("structured_query.maxResults").alias("_limit")
     )
-    order = ["item_no", "item"]
-    sliced = W.partitionBy("campaign_id", "_slice").orderBy(*order)
-    whole = W.partitionBy("campaign_id").orderBy(*order)
+    largest = limits.agg(F.max("_limit")).first()[0] or 0
+    by_campaign = W.partitionBy("campaign_id").orderBy("item_no", "item")
     kept = (
-        raw.join(limits, "campaign_id")
-        .withColumn("_slice", F.pmod(F.xxhash64("item_no", "item"), F.lit(salts)))
-        .withColumn("_rn", F.row_number().over(sliced))
-        .filter("_rn <= _limit")
-        .withColumn("_rn", F.row_number().over(whole))
+        raw.withColumn("_rn", F.row_number().over(by_campaign))
+        .filter(F.col("_rn") <= largest)
+        .join(limits, "campaign_id")
         .filter("_rn <= _limit")
     )
     return normalize_leads(kept).select(
