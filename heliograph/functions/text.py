@@ -6,16 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the characters a web client counts as whitespace.
-WHITESPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+WHITESPACE = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 
 def js_trim(c: Column) -> Column:
     """Strip all whitespace from both ends; Spark's `trim` strips only spaces."""
-    return F.regexp_replace(c, rf"^[{WHITESPACE}]+|[{WHITESPACE}]+\z", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def js_trim_start(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{WHITESPACE}]+", "")
+    return F.ltrim(c, F.lit(WHITESPACE))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -118,11 +121,5 @@ def map_get(c: Column, key: Column | str) -> Column:
 
 def strip_code_fences(c: Column) -> Column:
     """Drop a leading and trailing Markdown code fence."""
-    ws = WHITESPACE
-    opened = F.regexp_replace(c, rf"\A```(?i:json)?[{ws}]*", "")
-    return js_trim(F.regexp_replace(opened, rf"```[{ws}]*\z", ""))
-
-
-def valid_json(c: Column) -> Column:
-    """True when the text parses as JSON."""
-    return F.try_parse_json(c).isNotNull()
+    opened = js_trim(F.when(c.startswith("```"), F.regexp_replace(c, r"\A```(?i:json)?", "")).otherwise(c))
+    return js_trim(F.when(opened.endswith("```"), F.left(opened, F.length(opened) - 3)).otherwise(opened))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from heliograph.functions.json import is_json
+
 TOKEN_DDL = "c STRING, l STRING, e STRING, u STRING"
 
 
@@ -26,6 +28,4 @@ def decode_click_token(token: Column) -> Column:
     """The payload struct; null when the token is not base64url of a JSON object."""
     raw = F.try_to_binary(F.translate(token, "-_", "+/"), F.lit("base64"))
     text = F.decode(raw, "UTF-8")
-    return F.when(
-        F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False)), F.from_json(text, TOKEN_DDL)
-    )
+    return F.when(is_json(text), F.from_json(text, TOKEN_DDL))

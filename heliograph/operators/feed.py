@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions.keys import lookup_key, spread_key
-from heliograph.functions.text import json_path
+from heliograph.functions.text import truthy
 
 # Feed categories, the stand-in emoji, and how the live feed behaves.
 CATEGORIES = ("task", "research", "email", "content", "decision", "error", "system")
@@ -17,6 +17,9 @@ LIVE_ROWS = 20
 REMEMBERED_ROWS = 5
 ACTIVE_SECONDS = 60
 
+# The ids that lead somewhere.
+LINKED_IDS = ("campaign_id", "reply_id", "slug", "task_id", "session_id", "invitation_id")
+
 FEED_COLUMNS = ("id", "agent_id", "category", "summary", "details", "created_at")
 
 
@@ -199,20 +202,21 @@ def category_or_default(c: Column) -> Column:
 
 def route_activity(activity: DataFrame) -> DataFrame:
     """Add the dashboard route an entry leads to; the first id that is there decides."""
+    ids = F.from_json("details", ", ".join(f"{name} STRING" for name in LINKED_IDS))
+
     def has(name: str) -> Column:
-        return json_path(F.col("details"), f"$.{name}").isNotNull()
+        return truthy(F.col(f"_ids.{name}"))
 
-    slug = json_path(F.col("details"), "$.slug")
-    on_page = slug.isNotNull() & (F.col("category") == "content")
+    on_page = has("slug") & (F.col("category") == "content")
     route = (
-        F.when(has("campaign_id"), F.concat(F.lit("/outreach/"), json_path(F.col("details"), "$.campaign_id")))
+        F.when(has("campaign_id"), F.concat(F.lit("/outreach/"), F.col("_ids.campaign_id")))
         .when(has("reply_id"), "/inbox")
         .when(on_page & F.lower("summary").contains("landing page"), "/pages")
-        .when(on_page, F.concat(F.lit("/forms/"), slug))
+        .when(on_page, F.concat(F.lit("/forms/"), F.col("_ids.slug")))
         .when(has("task_id"), "/tasks")
         .when(has("session_id") | has("invitation_id"), "/voice")
     )
-    return activity.withColumn("route", route)
+    return activity.withColumn("_ids", ids).withColumn("route", route).drop("_ids")
 
 
 def activity_with_agent(activity: DataFrame, agents: DataFrame) -> DataFrame:

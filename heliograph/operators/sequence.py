@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions.html import default_body_html, outbound_html, rewrite_links
+from heliograph.functions.json import parse_strict, parsed_field, parsed_is_null, parsed_ok
 from heliograph.functions.keys import lookup_key, spread_key
-from heliograph.functions.text import js_trim, strip_code_fences, truthy, valid_json
+from heliograph.functions.text import js_trim, strip_code_fences, truthy
 from heliograph.operators.leads import contactable_leads, has_email
 
 # The sequence frameworks and the default subject.
 FRAMEWORKS = ("pas", "aida", "sdr")
 ONE_OFF = "one-off"
 DEFAULT_SUBJECT = "Quick question"
-DRAFT_DDL = "subject STRING, body_text STRING, body_html STRING"
 
 
 def step_of(c: str = "sequence_position") -> Column:
@@ -54,24 +54,28 @@ def normalize_created_step(drafts: DataFrame) -> DataFrame:
 
 
 def normalize_drafts(answers: DataFrame, text: str = "text") -> DataFrame:
-    """Model answers to drafts. Code fences are dropped only where the answer does not parse as it
-    is; `ok` is false, and the fields are null, where it still does not parse."""
-    raw = F.col(text)
-    body = F.when(F.coalesce(valid_json(raw), F.lit(False)), raw).otherwise(strip_code_fences(raw))
-    p = F.col("_p")
+    """Model answers to drafts. `ok` is false, and the fields are null, where the answer is no JSON.
+
+    Code fences go first: an answer that parses as it is has none, so nothing is lost and each text
+    is parsed once.
+    """
+    p, ok = F.col("_p"), F.col("ok")
 
     def field(name: str) -> Column:
-        return js_trim(F.coalesce(p[name], F.lit("")))
+        return js_trim(F.coalesce(F.col(f"_{name}"), F.lit("")))
 
-    ok = F.col("_ok")
+    fields = ("subject", "body_text", "body_html")
     subject = F.when(field("subject") != "", field("subject")).otherwise(DEFAULT_SUBJECT)
+    carried = [c for c in answers.columns if c != text]
     return (
-        answers.withColumn("_body", body)
-        .withColumn("_ok", F.coalesce(valid_json(F.col("_body")), F.lit(False)))
-        .withColumn("_p", F.from_json("_body", DRAFT_DDL))
+        answers.select(*carried, parse_strict(strip_code_fences(F.col(text))).alias("_p"))
+        .select(
+            *carried, (parsed_ok(p) & ~parsed_is_null(p)).alias("ok"),
+            *[parsed_field(p, name).alias(f"_{name}") for name in fields],
+        )
         .select(
-            *[c for c in answers.columns if c != text],
-            ok.alias("ok"),
+            *carried,
+            "ok",
             F.when(ok, subject).alias("subject"),
             F.when(ok, field("body_text")).alias("body_text"),
             F.when(ok, field("body_html")).alias("body_html"),

@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 #   side is always legal; `force` also allows it where the split costs one more exchange.
 # * No broadcast hints are used anywhere: Spark broadcasts a side only when its measured size is
 #   below spark.sql.autoBroadcastJoinThreshold, and shuffles it otherwise.
+# * A repeated key in a JSON object is not an error; the last one counts.
 # * RocksDB keeps streaming state off the executor heap.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -21,6 +22,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

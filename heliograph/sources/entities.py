@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from heliograph.functions.json import is_json
+from heliograph.functions.text import js_trim_start
 from heliograph.schemas import PARTITION_KEYS, schema_of
 
 
@@ -22,8 +24,8 @@ def _parse_documents(lines: DataFrame, inside: StructType, key: StructField | No
 
     The check looks at the syntax alone: a document with one odd field keeps its other fields.
     """
-    readable = F.expr("schema_of_variant(try_parse_json(value)) LIKE 'OBJECT%'")
-    rows = lines.filter(readable).withColumn("doc", F.from_json("value", inside))
+    value = F.col("value")
+    rows = lines.filter(js_trim_start(value).startswith("{") & is_json(value)).withColumn("doc", F.from_json("value", inside))
     columns = [F.col(f"doc.`{f.name}`").alias(f.name) for f in inside]
     if key is not None:
         columns.append(F.col(key.name).cast(key.dataType).alias(key.name))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from heliograph.functions.text import truthy, valid_json
+from heliograph.functions.json import is_json
+from heliograph.functions.text import truthy
 from heliograph.functions.tokens import decode_click_token
 from heliograph.operators.leads import normalize_leads
 from heliograph.schemas import PROVIDER_EVENT_DDL
@@ -17,7 +18,7 @@ def parse_webhook_events(raw: DataFrame, received_at: Column | None = None) -> D
 
     A body that is JSON is parsed; any other body is kept as text. Works on tables and streams.
     """
-    ok = F.coalesce(valid_json(F.col("raw_body")), F.lit(False))
+    ok = is_json(F.col("raw_body"))
     stamp = received_at if received_at is not None else F.col("received_at")
     return raw.select(
         "id",
@@ -55,7 +56,7 @@ def parse_submissions(raw: DataFrame, forms: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("body"), F.lit("{}"))
     known = forms.select(F.col("slug").alias("form_slug"))
     return (
-        raw.filter(valid_json(body))
+        raw.filter(is_json(body))
         .join(known, "form_slug", "left_semi")
         .select("id", "form_slug", F.from_json(body, "map<string,string>").alias("data"), "received_at")
     )

@@ -146,3 +146,14 @@ def test_bodies(spark):
     sent = html.outbound_html(F.col("h"), F.col("t"))
     assert value(spark, sent, h="", t="a\nb") == "<p>a\nb</p>"
     assert value(spark, sent, h=None, t=None) == "<p></p>"
+
+
+@pytest.mark.parametrize(
+    "raw, ok",
+    [('{"a":1}', True), (' [1] \n', True), ("7", True), ("null", True), ('{"a":1,"a":2}', True), ("", False), (None, False),
+     ('{"a":1} x', False), ('{"a":1}]', False), ('{"a":1}}', False), ("1,2", False), ("{'a':1}", False), ("{a:1}", False), ("NaN", False)],
+)
+def test_strict_json(spark, raw, ok):
+    from heliograph.functions.json import is_json
+
+    assert value(spark, is_json(F.col("c")), c=raw) is ok
