@@ -70,7 +70,7 @@ def normalize_search_plan(plans: DataFrame) -> DataFrame:
         plans.withColumn("location", F.coalesce(js_trim(blank_to_null(F.col("location"))), F.lit("Unknown")))
         .withColumn(
             "search_terms",
-            F.when(F.size(terms) > 0, terms).otherwise(F.array(F.substring("query", 1, 80))),
+            F.when(F.size(terms) > 0, terms).otherwise(F.array(F.substring(js_trim(F.col("query")), 1, 80))),
         )
         .withColumn("max_results", F.greatest(F.lit(10), F.least(F.lit(200), wanted)).cast("int"))
         .withColumn("per_term", per_term_quota(F.col("max_results"), F.size("search_terms")))

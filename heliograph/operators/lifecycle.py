@@ -13,6 +13,8 @@ Negative statuses rank zero, so they always apply and the next status replaces t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -36,6 +38,49 @@ def status_rank(c: Column) -> Column:
     return rank
 
 
+def lifecycle_events(
+    provider: DataFrame | None = None,
+    replies: DataFrame | None = None,
+    clicks: DataFrame | None = None,
+    sends: DataFrame | None = None,
+) -> DataFrame:
+    """The event log of the e-mails from what was matched to them; tables or streams.
+
+    `provider` events carry a `status`, `clicks` a `matched` flag, `replies` an `original_email_id`,
+    and `sends` are `(id, email_id, campaign_id, sent_at)` of accepted send calls.
+    """
+    def part(df: DataFrame, email: str, at: str, status: Column, kind: str) -> DataFrame:
+        return df.filter(F.col(email).isNotNull()).select(
+            F.col(email).alias("email_id"), "campaign_id", F.col(at).alias("at"), F.col("id").alias("event_id"),
+            status.alias("status"), F.lit(kind).alias("kind"),
+        )
+
+    parts = []
+    if provider is not None:
+        parts.append(part(provider, "email_id", "received_at", F.col("status"), "provider"))
+    if replies is not None:
+        parts.append(part(replies, "original_email_id", "received_at", F.lit("replied"), "reply"))
+    if clicks is not None:
+        parts.append(part(clicks.filter("matched"), "email_id", "clicked_at", F.lit("clicked"), "click"))
+    if sends is not None:
+        parts.append(part(sends, "email_id", "sent_at", F.lit("sent"), "ack"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def with_status(emails: DataFrame, folded: DataFrame) -> DataFrame:
+    """E-mails with the status and clicks of their log; those without events stay as they are."""
+    log = folded.select(
+        F.col("email_id").alias("id"), F.col("status").alias("_status"), F.col("click_count").alias("_clicks"),
+        F.col("last_clicked_at").alias("_clicked"),
+    )
+    return emails.drop("last_clicked_at").join(log, "id", "left").select(
+        *[c for c in emails.columns if c not in ("status", "click_count", "last_clicked_at")],
+        F.coalesce("_status", "status").alias("status"),
+        F.coalesce("_clicks", "click_count").alias("click_count"),
+        F.col("_clicked").alias("last_clicked_at"),
+    )
+
+
 def fold_email_status(events: DataFrame) -> DataFrame:
     """Final status, clicks and last event per e-mail, in any order of arrival.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -231,12 +233,13 @@ def default_bodies(emails: DataFrame) -> DataFrame:
     return emails.withColumn("body_html", default_body_html(F.col("body_html"), F.col("body_text")))
 
 
-def select_sendable(emails: DataFrame, ids: DataFrame | None = None, step: int | None = None) -> DataFrame:
+def select_sendable(emails: DataFrame, ids: DataFrame | None = None, step: float | None = None) -> DataFrame:
     """Drafted e-mails to send now.
 
     A table of `id`s wins over everything. A step takes the drafts of that step, and beyond the
     first leaves out leads that have replied to any e-mail. Neither takes all drafts.
     """
+    step = math.floor(step) if step is not None and step >= 1 else None
     drafted = emails.filter(F.col("status") == "drafted")
     if ids is not None:
         return drafted.join(ids.select("id").distinct(), "id", "left_semi")
@@ -263,17 +266,19 @@ def outbound_messages(emails: DataFrame, base_url: str) -> DataFrame:
     )
 
 
-def send_report(results: DataFrame) -> DataFrame:
-    """Per campaign: sent, total, errors and the campaign's status after the run."""
-    return (
-        results.groupBy("campaign_id")
-        .agg(
-            F.count_if("ok").alias("sent"),
-            F.count(F.lit(1)).alias("total"),
-            F.count_if(~F.col("ok")).alias("errors"),
-        )
-        .withColumn("status", F.when(F.col("sent") > 0, "completed").otherwise("failed"))
+def send_report(results: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Per campaign: sent, total, errors and the campaign's status after the run.
+
+    `runs` names the campaigns that were run, so that one with nothing to send is reported as failed.
+    """
+    report = results.groupBy("campaign_id").agg(
+        F.count_if("ok").alias("sent"),
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(~F.col("ok")).alias("errors"),
     )
+    if runs is not None:
+        report = runs.select("campaign_id").join(report, "campaign_id", "left").fillna(0)
+    return report.withColumn("status", F.when(F.col("sent") > 0, "completed").otherwise("failed"))
 
 
 def map_run_status(runs: DataFrame) -> DataFrame:

@@ -239,6 +239,19 @@ VIEWS = {
           CASE s_suppkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'accepted' ELSE 'dismissed' END AS status,
           TIMESTAMP '2024-03-01 00:00:00' + to_days(s_nationkey) AS created_at
         FROM supplier""",
+    "matched_log": """
+        SELECT email_id, campaign_id, received_at AS "at", event_id, status, 'provider' AS kind FROM (
+          SELECT c.id AS event_id, c.received_at, e.id AS email_id, e.campaign_id, CASE c.event_type WHEN 'message.sent' THEN 'sent'
+            WHEN 'message.delivered' THEN 'delivered' WHEN 'message.bounced' THEN 'bounced' WHEN 'message.complained' THEN 'complained'
+            ELSE 'failed' END AS status
+          FROM (SELECT c.*, e.id AS eid FROM calls c JOIN emails e ON e.message_id = c.message_id
+            UNION ALL SELECT c.*, e.id FROM calls c JOIN emails e ON e.thread_id = c.thread_id) c
+          JOIN emails e ON e.id = c.eid JOIN webhooks w ON w.id = c.webhook_id
+          WHERE c.event_type <> 'message.received'
+          QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY e.campaign_id, e.created_at, e.id) = 1)
+        UNION ALL SELECT email_id, campaign_id, received_at, id, 'replied', 'reply' FROM matched_replies WHERE email_id IS NOT NULL
+        UNION ALL SELECT k.email_id, k.campaign_id, k.clicked_at, k.id, 'clicked', 'click' FROM clicks k
+          JOIN emails e ON e.campaign_id = k.campaign_id AND e.id = k.email_id""",
     "counted": """
         SELECT campaign_id, count_if(status <> '' AND status <> 'drafted') AS emails_sent,
           count_if(status IN ('delivered', 'clicked', 'replied')) AS emails_delivered,
@@ -304,7 +317,7 @@ _STATEMENTS = {
           greatest(5, least(200, CAST(ceil(max_results / len(terms)) AS INTEGER))) AS per_term
         FROM (SELECT p_partkey AS plan_id, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE 'Unknown' END AS location,
           CASE p_partkey % 4 WHEN 1 THEN string_split(p_name, ' ') WHEN 2 THEN ['a', 'b', 'c', 'd', 'e']
-            ELSE [substring('  wanted: ' || repeat(p_name, 12), 1, 80)] END AS terms,
+            ELSE [substring('wanted: ' || repeat(p_name, 12), 1, 80)] END AS terms,
           greatest(10, least(200, CAST(floor(CASE WHEN p_partkey % 5 <> 0 THEN p_size * 7.5 - 10
             WHEN p_partkey % 2 = 0 THEN p_size ELSE 50 END + 0.5) AS INTEGER))) AS max_results
           FROM part)""",
@@ -349,6 +362,16 @@ _STATEMENTS = {
     "event_counters": """SELECT campaign_id, count_if(kind = 'provider' AND applied AND status = 'delivered') AS emails_delivered,
         count_if(kind = 'provider' AND applied AND status = 'bounced') AS emails_bounced,
         count_if(kind = 'click') AS emails_clicked, count_if(kind = 'reply') AS emails_replied FROM marked GROUP BY campaign_id""",
+    "lifecycle_events": "SELECT * FROM matched_log",
+    "emails_with_status": """
+        WITH r AS (SELECT *, CASE status WHEN 'sent' THEN 1 WHEN 'delivered' THEN 2 WHEN 'clicked' THEN 3 WHEN 'replied' THEN 4 ELSE 0 END AS rnk,
+          sum(CASE WHEN status IN ('bounced', 'complained', 'failed') THEN 1 ELSE 0 END)
+            OVER (PARTITION BY email_id ORDER BY "at", event_id ROWS UNBOUNDED PRECEDING) AS seg FROM matched_log),
+        tail AS (SELECT email_id, CASE max(rnk) WHEN 1 THEN 'sent' WHEN 2 THEN 'delivered' WHEN 3 THEN 'clicked' WHEN 4 THEN 'replied'
+          ELSE max(status) END AS status FROM (SELECT *, max(seg) OVER (PARTITION BY email_id) AS last_seg FROM r) WHERE seg = last_seg GROUP BY email_id),
+        ticks AS (SELECT email_id, count_if(kind = 'click') AS n, max("at") FILTER (kind = 'click') AS last_clicked_at FROM matched_log GROUP BY email_id)
+        SELECT e.id, coalesce(t.status, e.status) AS status, k.n AS click_count, k.last_clicked_at
+        FROM emails e LEFT JOIN tail t ON t.email_id = e.id LEFT JOIN ticks k ON k.email_id = e.id""",
     "campaign_summary": "SELECT * FROM summary ORDER BY created_at DESC NULLS LAST, id LIMIT 50",
     "outreach_totals": """SELECT count(*) AS campaigns, CAST(coalesce(sum(leads_imported), 0) AS BIGINT) AS leads,
         CAST(sum(emails_sent) AS BIGINT) AS sent, CAST(sum(emails_delivered) AS BIGINT) AS delivered,
@@ -391,10 +414,12 @@ _STATEMENTS = {
         f" coalesce(c.emails_{n}, 0) - coalesce(p.{n}, 0) AS drift_{n}"
         for n in ("sent", "delivered", "bounced", "clicked", "replied")
     ) + " FROM campaigns c LEFT JOIN plain p ON p.campaign_id = c.id",
-    "flywheel_totals": """SELECT CAST(sum(leads_imported) AS BIGINT) AS leads, CAST(sum(emails_sent) AS BIGINT) AS emails,
-        CAST(sum(emails_clicked) AS BIGINT) AS clicks, CAST(sum(emails_replied) AS BIGINT) AS replies FROM campaigns""",
-    "campaign_card": """SELECT name, status, query, coalesce(leads_imported, 0) AS leads_imported, coalesce(emails_sent, 0) AS emails_sent,
-        emails_delivered, emails_clicked, emails_replied, coalesce(default_framework, 'one-off') AS framework, created_at FROM campaigns""",
+    "flywheel_totals": """SELECT CAST(coalesce((SELECT count(*) FROM leads), 0) AS BIGINT) AS leads, CAST(sum(emails_sent) AS BIGINT) AS emails,
+        CAST(sum(emails_clicked) AS BIGINT) AS clicks, CAST(sum(emails_replied) AS BIGINT) AS replies FROM summary""",
+    "campaign_card": """SELECT c.name, c.status, c.query, coalesce(l.n, 0) AS leads_imported, s.emails_sent, s.emails_delivered, s.emails_clicked,
+        s.emails_replied, coalesce(c.default_framework, 'one-off') AS framework, c.created_at
+        FROM campaigns c JOIN summary s ON s.id = c.id
+        LEFT JOIN (SELECT campaign_id, count(*) AS n FROM leads GROUP BY campaign_id) l ON l.campaign_id = c.id""",
     "plan_sequence": "SELECT * FROM planned",
     "plan_summary": """
         SELECT l.campaign_id, coalesce(p.n, 0) AS planned, l.ok * 3 - coalesce(p.n, 0) AS skipped_already_drafted,

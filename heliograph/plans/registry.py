@@ -197,6 +197,32 @@ def event_counters(spark, sf):
     return lifecycle.event_counters(lifecycle.mark_applied(events))
 
 
+def _matched_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The event log from raw webhook calls, clicks and replies."""
+    mails = v.emails(spark, sf)
+    routed = correlation.route_events(_webhook_events(spark, sf), v.webhooks(spark, sf))
+    provider = correlation.classify_event(correlation.extract_message_ids(routed))
+    return lifecycle.lifecycle_events(
+        correlation.correlate_events(provider.select("id", "message_id", "thread_id", "status", "received_at"), mails),
+        correlation.correlate_replies(v.replies(spark, sf), mails),
+        correlation.attribute_clicks(v.clicks(spark, sf), mails),
+    )
+
+
+@query
+def lifecycle_events(spark, sf):
+    return _matched_log(spark, sf)
+
+
+@query
+def emails_with_status(spark, sf):
+    """E-mails after all that was received about them."""
+    folded = lifecycle.fold_email_status(_matched_log(spark, sf))
+    return lifecycle.with_status(v.emails(spark, sf), folded).select(
+        "id", "status", "click_count", "last_clicked_at"
+    )
+
+
 # --- funnel ----------------------------------------------------------------------------------------
 
 @query
@@ -239,12 +265,12 @@ def counter_drift(spark, sf):
 
 @query
 def flywheel_totals(spark, sf):
-    return funnel.flywheel_totals(v.campaigns(spark, sf))
+    return funnel.flywheel_totals(v.counted_campaigns(spark, sf))
 
 
 @query
 def campaign_card(spark, sf):
-    return funnel.campaign_card(v.campaigns(spark, sf))
+    return funnel.campaign_card(v.counted_campaigns(spark, sf))
 
 
 # --- sequences -------------------------------------------------------------------------------------
@@ -524,8 +550,8 @@ def stream_clicks(spark, sf):
 def webhook_health(spark, sf):
     events = v.raw_webhook_calls(v.stream(spark, sf, "events", STREAM_BATCH_BYTES))
     probes = v.probes(spark, sf)
-    arrived = sinks.run_available(spark, jobs.probe_arrivals(events, probes), "update")
-    return jobs.webhook_health(probes, sinks.latest_per_key(arrived, ["probe_id"]))
+    arrived = sinks.run_available(spark, events, transform=lambda batch: jobs.probe_arrivals(batch, probes))
+    return jobs.webhook_health(probes, sinks.summed_per_key(arrived, ["probe_id"]))
 
 
 @query

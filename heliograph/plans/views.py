@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from heliograph.functions.tokens import encode_click_token
 from heliograph.operators.correlation import with_click_stats
+from heliograph.operators.funnel import email_counters
+from heliograph.operators.leads import enrichable_leads, lead_count
 
 BASE_URL = "https://track.test"
 
@@ -47,6 +49,14 @@ def campaigns(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def counted_campaigns(spark: SparkSession, sf: str) -> DataFrame:
+    """Campaigns whose cached counters are those of their leads and e-mails."""
+    counted = email_counters(emails_with_clicks(spark, sf)).withColumnRenamed("campaign_id", "id")
+    people = lead_count(leads(spark, sf)).selectExpr("campaign_id AS id", "leads AS leads_imported")
+    cached = [c for c in (*counted.columns, "leads_imported") if c != "id"]
+    return campaigns(spark, sf).drop(*cached).join(counted, "id", "left").join(people, "id", "left")
+
+
 def leads(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").selectExpr(
         "CAST(c_custkey AS STRING) AS id",
@@ -427,8 +437,6 @@ def invitations(spark: SparkSession, sf: str) -> DataFrame:
 
 def enrichment_results(spark: SparkSession, sf: str) -> DataFrame:
     """Outcome of the address search per lead with a site but no address."""
-    from heliograph.operators.leads import enrichable_leads
-
     hit: Column = F.col("id").cast("bigint") % 2 == 0
     return enrichable_leads(leads(spark, sf)).select("campaign_id", F.col("id").alias("lead_id"), hit.alias("enriched"))
 

@@ -70,16 +70,13 @@ def stream_entity(
     return reader.schema(StructType([*inside.fields, *([key] if key is not None else [])])).parquet(path)
 
 
-def write_partitioned(df: DataFrame, path: str, key: str, fmt: str = "parquet", files_per_key: int = 1) -> None:
+def write_partitioned(df: DataFrame, path: str, key: str, fmt: str = "parquet") -> None:
     """Append rows under their leading key.
 
-    Rows are spread over (key, slice) first, so a folder gets a handful of files rather than one per
-    task, and a key that holds most rows is still written by `files_per_key` tasks.
+    The rebalance gathers small keys, so that folders do not fill up with one file per task, and
+    splits a key that holds most of the rows into writes of ordinary size.
     """
-    names = [c for c in df.columns if c != key]
-    piece = F.pmod(F.xxhash64(*names), F.lit(files_per_key)) if files_per_key > 1 else F.lit(0)
-    spread = df.withColumn("_piece", piece).repartition(key, "_piece").drop("_piece")
-    spread.write.partitionBy(key).mode("append").format(fmt).save(path)
+    df.hint("rebalance", key).write.partitionBy(key).mode("append").format(fmt).save(path)
 
 
 def lookup(df: DataFrame, value: str, column: str = "id") -> DataFrame:

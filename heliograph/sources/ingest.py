@@ -13,18 +13,23 @@ from heliograph.operators.leads import normalize_leads
 from heliograph.schemas import PROVIDER_EVENT_DDL
 
 
-def parse_webhook_events(raw: DataFrame, received_at: Column | None = None) -> DataFrame:
+def parse_webhook_events(
+    raw: DataFrame, received_at: Column | None = None, webhooks: DataFrame | None = None
+) -> DataFrame:
     """`(id, webhook_id, headers, raw_body)` to stored events.
 
-    A body that is JSON is parsed; any other body is kept as text. Works on tables and streams.
+    A body that is JSON is parsed; any other body is kept as text. With `webhooks`, calls to unknown
+    ones are refused. Works on tables and streams.
     """
+    if webhooks is not None:
+        raw = raw.join(webhooks.select(F.col("id").alias("webhook_id")), "webhook_id", "left_semi")
     ok = is_json(F.col("raw_body"))
     stamp = received_at if received_at is not None else F.col("received_at")
     return raw.select(
         "id",
         "webhook_id",
         "headers",
-        F.col("raw_body").alias("body"),
+        F.nullif("raw_body", F.lit("")).alias("body"),
         ok.alias("is_json"),
         F.when(ok, F.from_json("raw_body", PROVIDER_EVENT_DDL)).alias("event"),
         stamp.alias("received_at"),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from heliograph.operators.correlation import click_stats
@@ -83,23 +84,40 @@ def stream_clicks(tokens: DataFrame) -> DataFrame:
     return click_stats(decode_click_tokens(tokens).filter("logged"))
 
 
-def probe_arrivals(events: DataFrame, probes: DataFrame, seconds: int = PROBE_SECONDS) -> DataFrame:
+def probe_arrivals(
+    events: DataFrame, probes: DataFrame, seconds: int = PROBE_SECONDS, block_seconds: int = 3600
+) -> DataFrame:
     """Events that arrived within the window after each probe `(probe_id, webhook_id, since)`.
 
-    Time is cut into slots as long as the window, so a probe touches two slots and the join is one
-    of equality. On a stream of events this is a stream-static join in update mode.
+    No event is paired with a probe. Events and the two ends of every window are put in order, and
+    the events before either end are counted by a running sum, whose difference is the answer. The
+    sum runs in time blocks of one webhook and starts from the total of the blocks before, so a busy
+    webhook is split over tasks. Probes without arrivals are left out.
     """
-    def slot(c: str) -> Column:
-        return F.floor(F.unix_seconds(c) / seconds)
-
-    targets = probes.withColumn("_slot", F.explode(F.array(slot("since"), slot("since") + 1)))
-    arrived = F.unix_micros("received_at") - F.unix_micros("since")
+    def end(offset: int, sign: int) -> DataFrame:
+        at = F.timestamp_micros(F.unix_micros("since") + offset * 1_000_000)
+        return probes.select("webhook_id", at.alias("at"), F.lit(0).alias("n"), "probe_id", F.lit(sign).alias("sign"))
+
+    rows = (
+        events.select("webhook_id", F.col("received_at").alias("at"), F.lit(1).alias("n"))
+        .unionByName(end(0, -1).unionByName(end(seconds, 1)), allowMissingColumns=True)
+        .withColumn("block", F.floor(F.unix_seconds("at") / block_seconds))
+    )
+    by_block = W.partitionBy("webhook_id").orderBy("block")
+    entries = (
+        rows.groupBy("webhook_id", "block").agg(F.sum("n").alias("n"))
+        .withColumn("n", F.sum("n").over(by_block.rowsBetween(W.unboundedPreceding, -1)))
+        .filter("n IS NOT NULL")
+    )
+    # The block's entry comes first, and the end of a window before an event of the same moment.
+    order = W.partitionBy("webhook_id", "block").orderBy("at", "n").rowsBetween(W.unboundedPreceding, 0)
     return (
-        events.select("webhook_id", "received_at", slot("received_at").alias("_slot"))
-        .join(targets, ["webhook_id", "_slot"])
-        .filter((arrived >= 0) & (arrived < seconds * 1_000_000))
+        rows.unionByName(entries, allowMissingColumns=True)
+        .withColumn("before", F.sum("n").over(order))
+        .filter("probe_id IS NOT NULL")
         .groupBy("probe_id")
-        .agg(F.count(F.lit(1)).alias("new_events"))
+        .agg(F.sum(F.col("sign") * F.col("before")).alias("new_events"))
+        .filter("new_events > 0")
     )
 
 

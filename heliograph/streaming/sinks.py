@@ -60,6 +60,9 @@ def run_available(
 ) -> DataFrame:
     """Run a stream over what is there now, in the shared folder, and return the written batches."""
     base = scratch_path(spark, "stream")
+    # A stream without input runs no batch; the empty one gives the table its columns.
+    none = spark.createDataFrame([], df.schema)
+    (none if transform is None else transform(none)).write.parquet(f"{base}/table/batch_id=-1")
     query = stream_sink(df, f"{base}/table", f"{base}/checkpoint", output_mode, transform=transform)
     query.awaitTermination()
     return read_batches(spark, f"{base}/table")

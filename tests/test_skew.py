@@ -5,7 +5,7 @@ import contextlib
 import pytest
 from pyspark.sql import functions as F
 
-from heliograph.operators import correlation, feed, sequence
+from heliograph.operators import correlation, feed, lifecycle, sequence, sessions
 
 SMALL = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -90,3 +90,31 @@ def test_busy_pair_of_new_drafts(spark, emails):
     kept = {int(r["id"]) for r in rows if not r["skipped"]}
     assert len(rows) == 4000 and kept == {0} | {i for i in range(4000) if i % 2}
     assert "skew=true" in plan
+
+
+def even(spark, df, column):
+    """Rows per partition of the last shuffle."""
+    with settings(spark, {**SMALL, "spark.sql.shuffle.partitions": "16"}):
+        rows = df().select(F.spark_partition_id().alias("p"), column).groupBy("p").agg(F.count(column)).collect()
+    return [r[1] for r in rows]
+
+
+def test_busy_email_is_ranked_in_many_tasks(spark):
+    n = F.col("id")
+    events = spark.range(0, 30000, 1, 8).select(
+        F.when(n % 3 == 0, F.lit("hot")).otherwise((n % 5000).cast("string")).alias("email_id"),
+        F.timestamp_seconds(n * 60).alias("at"), n.cast("string").alias("event_id"),
+        F.when(n % 2 == 0, "sent").otherwise("bounced").alias("status"), F.lit("provider").alias("kind"),
+    )
+    sizes = even(spark, lambda: lifecycle.mark_applied(events), "applied")
+    assert sum(sizes) == 30000 and max(sizes) < 4000
+
+
+def test_long_session_is_folded_in_many_tasks(spark):
+    n = F.col("id")
+    chunks = spark.range(0, 20000, 1, 8).select(
+        F.when(n % 3 != 0, F.lit("long")).otherwise((n % 999).cast("string")).alias("session_id"), n.alias("seq"),
+        F.lit("user").alias("role"), n.cast("string").alias("text"), F.lit(True).alias("final"),
+    )
+    sizes = even(spark, lambda: sessions.fold_transcript(chunks, block=200), "text")
+    assert sum(sizes) == 20000 and max(sizes) < 3500

@@ -34,7 +34,7 @@ def test_parquet_store_prunes_partitions(spark, tmp_path):
     rows = [(str(i), "ab"[i % 2], "l", "e", "u", None, None, None) for i in range(10)]
     df = spark.createDataFrame(rows, schema_of("clicks"))
     write_partitioned(df, path, "campaign_id")
-    write_partitioned(df.limit(1), path, "campaign_id", files_per_key=4)
+    write_partitioned(df.limit(1), path, "campaign_id")
     assert read_entity(spark, path, "clicks").count() == 11
     part = read_entity(spark, path, "clicks", partition="b")
     assert part.count() == 5
