@@ -572,6 +572,13 @@ _STATEMENTS = {
     "pending_invitations": "SELECT * FROM invitations WHERE status = 'pending' ORDER BY created_at DESC, id",
     "stream_activity_feed": f"""{_WEBHOOK_FEED} UNION ALL
         SELECT * FROM ({_CLICK_FEED}) WHERE id NOT LIKE '%-1' AND id NOT LIKE '%-2' AND id NOT LIKE '%-3'""",
+    "stream_status_from_calls": """
+        WITH p AS (SELECT *, CASE status WHEN 'sent' THEN 1 WHEN 'delivered' THEN 2 ELSE 0 END AS rnk,
+          sum(CASE WHEN status IN ('bounced', 'complained', 'failed') THEN 1 ELSE 0 END)
+            OVER (PARTITION BY email_id ORDER BY "at", event_id ROWS UNBOUNDED PRECEDING) AS seg FROM matched_log WHERE kind = 'provider')
+        SELECT email_id, CASE max(rnk) FILTER (seg = last_seg) WHEN 1 THEN 'sent' WHEN 2 THEN 'delivered'
+          ELSE max(status) FILTER (seg = last_seg) END AS status, count(*) AS events
+        FROM (SELECT *, max(seg) OVER (PARTITION BY email_id) AS last_seg FROM p) GROUP BY email_id""",
     "stream_clicks": """SELECT email_id, count(*) AS click_count, max(clicked_at) AS last_clicked_at FROM clicks
         WHERE line > 3 GROUP BY email_id""",
     "webhook_health": """

@@ -197,13 +197,18 @@ def event_counters(spark, sf):
     return lifecycle.event_counters(lifecycle.mark_applied(events))
 
 
+def _match_calls(calls: DataFrame, webhooks: DataFrame, mails: DataFrame) -> DataFrame:
+    """Stored webhook calls to lifecycle events of e-mails."""
+    routed = correlation.route_events(calls, webhooks)
+    provider = correlation.classify_event(correlation.extract_message_ids(routed))
+    return correlation.correlate_events(provider.select("id", "message_id", "thread_id", "status", "received_at"), mails)
+
+
 def _matched_log(spark: SparkSession, sf: str) -> DataFrame:
     """The event log from raw webhook calls, clicks and replies."""
     mails = v.emails(spark, sf)
-    routed = correlation.route_events(_webhook_events(spark, sf), v.webhooks(spark, sf))
-    provider = correlation.classify_event(correlation.extract_message_ids(routed))
     return lifecycle.lifecycle_events(
-        correlation.correlate_events(provider.select("id", "message_id", "thread_id", "status", "received_at"), mails),
+        _match_calls(_webhook_events(spark, sf), v.webhooks(spark, sf), mails),
         correlation.correlate_replies(v.replies(spark, sf), mails),
         correlation.attribute_clicks(v.clicks(spark, sf), mails),
     )
@@ -512,6 +517,17 @@ def stream_email_status(spark, sf):
     return sinks.latest_per_key(sinks.run_available(spark, status, "update"), ["email_id"])
 
 
+@query
+def stream_status_from_calls(spark, sf):
+    """Raw webhook calls to the status of the e-mails they are about, in one streaming query."""
+    calls = ingest.parse_webhook_events(v.raw_webhook_calls(v.stream(spark, sf, "events", STREAM_BATCH_BYTES)))
+    matched = _match_calls(calls, v.webhooks(spark, sf), v.emails(spark, sf))
+    status = jobs.stream_email_status(lifecycle.lifecycle_events(matched))
+    return sinks.latest_per_key(sinks.run_available(spark, status, "update"), ["email_id"]).select(
+        "email_id", "status", "events"
+    )
+
+
 @query
 def stream_applied_events(spark, sf):
     events = v.lifecycle_with_campaign(v.stream(spark, sf, "events", STREAM_BATCH_BYTES))

@@ -16,8 +16,27 @@ from heliograph.operators.leads import enrichable_leads, lead_count
 BASE_URL = "https://track.test"
 
 
+# The driver's tables. With the schemas given, no file is opened before a query runs.
+TABLES = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": """o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,
+        o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING""",
+    "lineitem": """l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE,
+        l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING,
+        l_shipdate TIMESTAMP_NTZ""",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def stream(spark: SparkSession, sf: str, name: str, max_bytes: int) -> DataFrame:
@@ -25,8 +44,7 @@ def stream(spark: SparkSession, sf: str, name: str, max_bytes: int) -> DataFrame
 
     The path is a pattern because a stream takes a plain path for a folder, and a table may be one file.
     """
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes)
+    reader = spark.readStream.schema(TABLES[name]).option("maxBytesPerTrigger", max_bytes)
     return reader.parquet(f"{sf}/{name}[.]parquet")
 
 
