@@ -64,7 +64,7 @@ VIEWS = {
           CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '<p><a HREF="https://shop.test/?o=' || o_orderkey
             || '">go</a> <a href="mailto:a@b.test">m</a></p>' END AS body_html,
           CASE o_orderkey % 4 WHEN 0 THEN 'pas' WHEN 1 THEN 'aida' WHEN 2 THEN 'sdr' END AS framework,
-          CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 3 + 1 END AS sequence_position,
+          CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 3 + 1 AS INTEGER) END AS sequence_position,
           CASE WHEN o_orderkey % 50 = 0 THEN 'agent_drafted' END AS source,
           CASE WHEN o_orderpriority = '1-URGENT' THEN CASE WHEN o_orderstatus = 'O' THEN 'bounced' ELSE 'replied' END
             WHEN o_orderpriority = '2-HIGH' THEN CASE WHEN o_orderstatus = 'O' THEN 'complained' ELSE 'clicked' END
@@ -253,11 +253,11 @@ VIEWS = {
         UNION ALL SELECT k.email_id, k.campaign_id, k.clicked_at, k.id, 'clicked', 'click' FROM clicks k
           JOIN emails e ON e.campaign_id = k.campaign_id AND e.id = k.email_id""",
     "counted": """
-        SELECT campaign_id, count_if(status <> '' AND status <> 'drafted') AS emails_sent,
-          count_if(status IN ('delivered', 'clicked', 'replied')) AS emails_delivered,
-          count_if(status IN ('bounced', 'complained', 'failed')) AS emails_bounced,
-          count_if(coalesce(status, '') IN ('clicked', 'replied') OR click_count > 0) AS emails_clicked,
-          count_if(status = 'replied') AS emails_replied
+        SELECT campaign_id, count(*) FILTER (status <> '' AND status <> 'drafted') AS emails_sent,
+          count(*) FILTER (status IN ('delivered', 'clicked', 'replied')) AS emails_delivered,
+          count(*) FILTER (status IN ('bounced', 'complained', 'failed')) AS emails_bounced,
+          count(*) FILTER (coalesce(status, '') IN ('clicked', 'replied') OR click_count > 0) AS emails_clicked,
+          count(*) FILTER (status = 'replied') AS emails_replied
         FROM clicked_emails GROUP BY campaign_id""",
     "summary": """
         SELECT c.id, c.name, c.created_at, c.leads_imported, coalesce(k.emails_sent, 0) AS emails_sent,
@@ -265,19 +265,19 @@ VIEWS = {
           coalesce(k.emails_clicked, 0) AS emails_clicked, coalesce(k.emails_replied, 0) AS emails_replied
         FROM campaigns c LEFT JOIN counted k ON k.campaign_id = c.id""",
     "steps": """
-        SELECT campaign_id, coalesce(sequence_position, 1) AS step, count_if(status = 'drafted') AS drafted,
-          count_if(status IS DISTINCT FROM 'drafted') AS sent,
-          count_if(status IN ('delivered', 'clicked', 'replied')) AS delivered,
-          count_if(coalesce(status, '') IN ('clicked', 'replied') OR click_count > 0) AS clicked,
-          count_if(status = 'replied') AS replied
+        SELECT campaign_id, coalesce(sequence_position, 1) AS step, count(*) FILTER (status = 'drafted') AS drafted,
+          count(*) FILTER (status IS DISTINCT FROM 'drafted') AS sent,
+          count(*) FILTER (status IN ('delivered', 'clicked', 'replied')) AS delivered,
+          count(*) FILTER (coalesce(status, '') IN ('clicked', 'replied') OR click_count > 0) AS clicked,
+          count(*) FILTER (status = 'replied') AS replied
         FROM clicked_emails GROUP BY ALL""",
     "grid": """
-        SELECT campaign_id, last, unnest(range(1, last + 1)) AS step
+        SELECT campaign_id, last, CAST(unnest(range(1, last + 1)) AS INTEGER) AS step
         FROM (SELECT campaign_id, max(step) AS last FROM steps GROUP BY campaign_id)""",
 }
 
 _CONTACT_SELECT = r"""
-    SELECT site, count(*) AS pages, first_page.path AS found_on, coalesce(len(first_page.found), 0) AS raw_hits,
+    SELECT site, count(*) AS pages, first_page.path AS found_on, CAST(coalesce(len(first_page.found), 0) AS INTEGER) AS raw_hits,
       coalesce([a for a in kept if regexp_matches(a, '^(info|contact|hello|hi|admin|sales|office|reception|enquiries|inquiries|support)@')][1], kept[1]) AS email
     FROM (SELECT h.*, f.first_page, [a for a in f.first_page.found if regexp_matches(a, '^[^@\s]+@[^@\s]+\.[^@\s]{2,}$')
           AND NOT regexp_matches(a, '\.(png|jpg|jpeg|gif|webp|svg|ico)$')
@@ -323,8 +323,8 @@ _STATEMENTS = {
           FROM part)""",
     "extract_contact_emails": _CONTACT_SELECT % {"where": "true"},
     "extract_contact_emails_known_paths": _CONTACT_SELECT % {"where": "rnk < 3"},
-    "enrichment_report": """SELECT campaign_id, count(*) AS attempted, count_if(CAST(id AS BIGINT) % 2 = 0) AS found,
-        count_if(CAST(id AS BIGINT) % 2 = 0) / count(*) AS hit_rate
+    "enrichment_report": """SELECT campaign_id, count(*) AS attempted, count(*) FILTER (CAST(id AS BIGINT) % 2 = 0) AS found,
+        count(*) FILTER (CAST(id AS BIGINT) % 2 = 0) / count(*) AS hit_rate
         FROM leads WHERE coalesce(email, '') = '' AND website IS NOT NULL GROUP BY campaign_id""",
     "extract_message_ids": """SELECT id, CASE WHEN event_type <> 'message.received' THEN message_id END AS message_id,
         CASE WHEN event_type <> 'message.received' THEN thread_id END AS thread_id FROM calls""",
@@ -351,7 +351,7 @@ _STATEMENTS = {
     "dedupe_deliveries": """SELECT id, CASE WHEN event_type IS NOT NULL THEN provider_event_id END AS event_id, received_at FROM calls
         QUALIFY row_number() OVER (PARTITION BY CASE WHEN event_type IS NOT NULL THEN provider_event_id ELSE 'own ' || id END
           ORDER BY received_at, id) = 1""",
-    "fold_email_status": """SELECT l.email_id, f.status, count_if(l.kind = 'click') AS click_count,
+    "fold_email_status": """SELECT l.email_id, f.status, count(*) FILTER (l.kind = 'click') AS click_count,
         max(l."at") FILTER (l.kind = 'click') AS last_clicked_at, max(l."at") AS last_event_at, count(*) AS events
         FROM lifecycle l JOIN folded f USING (email_id) GROUP BY l.email_id, f.status""",
     "applied_events": """SELECT email_id, "at", event_id, status, kind FROM marked WHERE applied""",
@@ -359,9 +359,9 @@ _STATEMENTS = {
         f"max(\"at\") FILTER (status = '{s}') AS {s}_at"
         for s in ("sent", "delivered", "bounced", "complained", "failed", "clicked", "replied")
     ) + " FROM marked WHERE applied GROUP BY email_id",
-    "event_counters": """SELECT campaign_id, count_if(kind = 'provider' AND applied AND status = 'delivered') AS emails_delivered,
-        count_if(kind = 'provider' AND applied AND status = 'bounced') AS emails_bounced,
-        count_if(kind = 'click') AS emails_clicked, count_if(kind = 'reply') AS emails_replied FROM marked GROUP BY campaign_id""",
+    "event_counters": """SELECT campaign_id, count(*) FILTER (kind = 'provider' AND applied AND status = 'delivered') AS emails_delivered,
+        count(*) FILTER (kind = 'provider' AND applied AND status = 'bounced') AS emails_bounced,
+        count(*) FILTER (kind = 'click') AS emails_clicked, count(*) FILTER (kind = 'reply') AS emails_replied FROM marked GROUP BY campaign_id""",
     "lifecycle_events": "SELECT * FROM matched_log",
     "emails_with_status": """
         WITH r AS (SELECT *, CASE status WHEN 'sent' THEN 1 WHEN 'delivered' THEN 2 WHEN 'clicked' THEN 3 WHEN 'replied' THEN 4 ELSE 0 END AS rnk,
@@ -369,7 +369,7 @@ _STATEMENTS = {
             OVER (PARTITION BY email_id ORDER BY "at", event_id ROWS UNBOUNDED PRECEDING) AS seg FROM matched_log),
         tail AS (SELECT email_id, CASE max(rnk) WHEN 1 THEN 'sent' WHEN 2 THEN 'delivered' WHEN 3 THEN 'clicked' WHEN 4 THEN 'replied'
           ELSE max(status) END AS status FROM (SELECT *, max(seg) OVER (PARTITION BY email_id) AS last_seg FROM r) WHERE seg = last_seg GROUP BY email_id),
-        ticks AS (SELECT email_id, count_if(kind = 'click') AS n, max("at") FILTER (kind = 'click') AS last_clicked_at FROM matched_log GROUP BY email_id)
+        ticks AS (SELECT email_id, count(*) FILTER (kind = 'click') AS n, max("at") FILTER (kind = 'click') AS last_clicked_at FROM matched_log GROUP BY email_id)
         SELECT e.id, coalesce(t.status, e.status) AS status, k.n AS click_count, k.last_clicked_at
         FROM emails e LEFT JOIN tail t ON t.email_id = e.id LEFT JOIN ticks k ON k.email_id = e.id""",
     "campaign_summary": "SELECT * FROM summary ORDER BY created_at DESC NULLS LAST, id LIMIT 50",
@@ -386,12 +386,12 @@ _STATEMENTS = {
         SELECT campaign_id, coalesce(leads, 0) AS leads, coalesce(with_email, 0) AS leads_with_email, coalesce(drafts, 0) AS drafts,
           coalesce(sent, 0) AS sent, coalesce(delivered, 0) AS delivered, coalesce(bounced, 0) AS bounced,
           coalesce(clicked, 0) AS clicked, coalesce(replied, 0) AS replied
-        FROM (SELECT campaign_id, count(*) AS leads, count_if(email <> '') AS with_email FROM leads GROUP BY campaign_id)
-        FULL JOIN (SELECT campaign_id, count_if(status = 'drafted') AS drafts, count_if(status IS DISTINCT FROM 'drafted') AS sent,
-          count_if(status IN ('delivered', 'clicked', 'replied')) AS delivered,
-          count_if(status IN ('bounced', 'complained', 'failed')) AS bounced,
-          count_if(coalesce(status, '') IN ('clicked', 'replied') OR click_count > 0) AS clicked,
-          count_if(status = 'replied') AS replied FROM clicked_emails GROUP BY campaign_id) USING (campaign_id)""",
+        FROM (SELECT campaign_id, count(*) AS leads, count(*) FILTER (email <> '') AS with_email FROM leads GROUP BY campaign_id)
+        FULL JOIN (SELECT campaign_id, count(*) FILTER (status = 'drafted') AS drafts, count(*) FILTER (status IS DISTINCT FROM 'drafted') AS sent,
+          count(*) FILTER (status IN ('delivered', 'clicked', 'replied')) AS delivered,
+          count(*) FILTER (status IN ('bounced', 'complained', 'failed')) AS bounced,
+          count(*) FILTER (coalesce(status, '') IN ('clicked', 'replied') OR click_count > 0) AS clicked,
+          count(*) FILTER (status = 'replied') AS replied FROM clicked_emails GROUP BY campaign_id) USING (campaign_id)""",
     "step_stats": """
         SELECT g.campaign_id, g.step, coalesce(s.drafted, 0) AS drafted, coalesce(s.sent, 0) AS sent,
           coalesce(s.delivered, 0) AS delivered, coalesce(s.clicked, 0) AS clicked, coalesce(s.replied, 0) AS replied,
@@ -405,10 +405,10 @@ _STATEMENTS = {
         FROM (SELECT campaign_id, step, coalesce(drafted, 0) AS drafted, coalesce(sent, 0) AS sent,
           lag(coalesce(sent, 0)) OVER (PARTITION BY campaign_id ORDER BY step) AS before FROM grid LEFT JOIN steps USING (campaign_id, step))""",
     "counter_drift": """
-        WITH plain AS (SELECT campaign_id, count_if(status <> '' AND status <> 'drafted') AS sent,
-          count_if(status IN ('delivered', 'clicked', 'replied')) AS delivered,
-          count_if(status IN ('bounced', 'complained', 'failed')) AS bounced,
-          count_if(status IN ('clicked', 'replied')) AS clicked, count_if(status = 'replied') AS replied FROM emails GROUP BY campaign_id)
+        WITH plain AS (SELECT campaign_id, count(*) FILTER (status <> '' AND status <> 'drafted') AS sent,
+          count(*) FILTER (status IN ('delivered', 'clicked', 'replied')) AS delivered,
+          count(*) FILTER (status IN ('bounced', 'complained', 'failed')) AS bounced,
+          count(*) FILTER (status IN ('clicked', 'replied')) AS clicked, count(*) FILTER (status = 'replied') AS replied FROM emails GROUP BY campaign_id)
         SELECT c.id, """ + ", ".join(
         f"coalesce(c.emails_{n}, 0) AS cached_{n}, coalesce(p.{n}, 0) AS derived_{n},"
         f" coalesce(c.emails_{n}, 0) - coalesce(p.{n}, 0) AS drift_{n}"
@@ -424,8 +424,8 @@ _STATEMENTS = {
     "plan_summary": """
         SELECT l.campaign_id, coalesce(p.n, 0) AS planned, l.ok * 3 - coalesce(p.n, 0) AS skipped_already_drafted,
           l.bad AS skipped_no_email, l.bad_site AS skipped_with_website
-        FROM (SELECT campaign_id, count_if(coalesce(email, '') <> '') AS ok, count_if(coalesce(email, '') = '') AS bad,
-          count_if(coalesce(email, '') = '' AND website IS NOT NULL) AS bad_site FROM leads GROUP BY campaign_id) l
+        FROM (SELECT campaign_id, count(*) FILTER (coalesce(email, '') <> '') AS ok, count(*) FILTER (coalesce(email, '') = '') AS bad,
+          count(*) FILTER (coalesce(email, '') = '' AND website IS NOT NULL) AS bad_site FROM leads GROUP BY campaign_id) l
         LEFT JOIN (SELECT campaign_id, count(*) AS n FROM planned GROUP BY campaign_id) p USING (campaign_id)""",
     "draft_work_order": "SELECT * FROM planned ORDER BY step, lead_id, campaign_id",
     "draft_context": """
@@ -463,8 +463,8 @@ _STATEMENTS = {
           CASE WHEN doc_id % 4 <> 1 THEN {_trim("text")} END AS body_text,
           CASE WHEN doc_id % 4 <> 1 THEN '' END AS body_html FROM documents""",
     "send_report": """
-        SELECT campaign_id, count_if(ok) AS sent, count(*) AS total, count_if(NOT ok) AS errors,
-          CASE WHEN count_if(ok) > 0 THEN 'completed' ELSE 'failed' END AS status
+        SELECT campaign_id, count(*) FILTER (ok) AS sent, count(*) AS total, count(*) FILTER (NOT ok) AS errors,
+          CASE WHEN count(*) FILTER (ok) > 0 THEN 'completed' ELSE 'failed' END AS status
         FROM (SELECT campaign_id, CAST(campaign_id AS INTEGER) % 5 <> 0 AND CAST(id AS BIGINT) % 10 <> 0 AS ok
           FROM emails WHERE status = 'drafted') GROUP BY campaign_id""",
     "map_run_status": """
