@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 
 # How far an e-mail has come, and the statuses that end it.
 STATUS_RANK = {"drafted": 0, "sent": 1, "delivered": 2, "clicked": 3, "replied": 4}
@@ -114,6 +115,12 @@ def fold_email_status(events: DataFrame) -> DataFrame:
     )
 
 
+def _reached(rank: Column, window: WindowSpec) -> Column:
+    """The highest rank in the segment `_seg` of the current row. Segments count upwards, so the
+    highest (segment, rank) of the window is in it, and the window needs no order of its own."""
+    return F.max(F.col("_seg") * len(STATUS_RANK) + rank).over(window) - F.col("_seg") * len(STATUS_RANK)
+
+
 def mark_applied(events: DataFrame, block_seconds: int = 3600) -> DataFrame:
     """Add `applied`: whether the event changed or confirmed the status at its turn.
 
@@ -145,11 +152,10 @@ def mark_applied(events: DataFrame, block_seconds: int = 3600) -> DataFrame:
     ]
     tail = F.coalesce(F.greatest(F.col("reset._rank"), *after_reset), F.lit(0))
     by_block = W.partitionBy("email_id").orderBy("_block")
-    in_segment = W.partitionBy("email_id", "_seg").orderBy("_block")
     entries = (
         blocks.select("email_id", "_block", F.col("reset").isNotNull().cast("int").alias("has"), tail.alias("tail"))
         .withColumn("_seg", F.sum("has").over(by_block.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("leaves", F.max("tail").over(in_segment.rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("leaves", _reached(F.col("tail"), by_block.rowsBetween(W.unboundedPreceding, 0)))
         .select(
             "email_id",
             "_block",
@@ -160,8 +166,7 @@ def mark_applied(events: DataFrame, block_seconds: int = 3600) -> DataFrame:
     )
     order = [F.col("_entry").desc(), F.col("at"), F.col("event_id")]
     in_block = W.partitionBy("email_id", "_block").orderBy(*order)
-    since_reset = W.partitionBy("email_id", "_block", "_seg").orderBy(*order)
-    current = F.max("_rank").over(since_reset.rowsBetween(W.unboundedPreceding, -1))
+    current = _reached(F.col("_rank"), in_block.rowsBetween(W.unboundedPreceding, -1))
     return (
         ranked.unionByName(entries, allowMissingColumns=True)
         .withColumn("_seg", F.sum(F.col("_reset").cast("int")).over(in_block.rowsBetween(W.unboundedPreceding, 0)))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from heliograph.functions.json import is_json
 from heliograph.functions.text import truthy
 from heliograph.functions.tokens import decode_click_token
 from heliograph.operators.leads import normalize_leads
+from heliograph.operators.ordering import top_per_group
 from heliograph.schemas import PROVIDER_EVENT_DDL
 
 
@@ -70,21 +70,15 @@ def parse_submissions(raw: DataFrame, forms: DataFrame) -> DataFrame:
 def import_scraped_leads(raw: DataFrame, campaigns: DataFrame) -> DataFrame:
     """`(campaign_id, item_no, item)` to new leads, at most `maxResults` per campaign's plan.
 
-    The first items win. The largest limit of all plans is looked up beforehand, one number: with it
-    Spark cuts each task's items per campaign before the shuffle (WindowGroupLimit), so a campaign
-    with most of the items sends only what may be kept. Each campaign's own limit follows.
+    The first items win. The largest limit of all plans is looked up beforehand, one number, so that
+    Spark can cut each task's items per campaign before the shuffle. Each campaign's own limit follows.
     """
     limits = campaigns.select(
         F.col("id").alias("campaign_id"), F.col("structured_query.maxResults").alias("_limit")
     )
     largest = limits.agg(F.max("_limit")).first()[0] or 0
-    by_campaign = W.partitionBy("campaign_id").orderBy("item_no", "item")
-    kept = (
-        raw.withColumn("_rn", F.row_number().over(by_campaign))
-        .filter(F.col("_rn") <= largest)
-        .join(limits, "campaign_id")
-        .filter("_rn <= _limit")
-    )
+    first = top_per_group(raw, ["campaign_id"], ["item_no", "item"], largest)
+    kept = first.join(limits, "campaign_id").filter("_rn <= _limit")
     return normalize_leads(kept).select(
         F.concat_ws("-", F.lit("lead"), F.col("campaign_id"), F.col("_rn").cast("string")).alias("id"),
         "campaign_id", "name", "email", "phone", "website", "address", "category", "rating",

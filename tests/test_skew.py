@@ -118,3 +118,36 @@ def test_long_session_is_folded_in_many_tasks(spark):
     )
     sizes = even(spark, lambda: sessions.fold_transcript(chunks, block=200), "text")
     assert sum(sizes) == 20000 and max(sizes) < 3500
+
+
+def test_busy_key_is_written_in_pieces(spark, tmp_path):
+    from heliograph.sources.entities import write_partitioned
+
+    n = F.col("id")
+    rows = spark.range(0, 40000, 1, 8).select(
+        n.cast("string").alias("id"), F.sha2(n.cast("string"), 256).alias("text"),
+        F.when(n % 3 != 0, F.lit("hot")).otherwise((n % 5).cast("string")).alias("campaign_id"),
+    )
+    with settings(spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "200KB"}):
+        write_partitioned(rows, str(tmp_path / "t"), "campaign_id")
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "t").iterdir() if d.is_dir()}
+    assert files["campaign_id=hot"] > 3 and max(c for k, c in files.items() if "hot" not in k) <= 2
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 40000
+
+
+def test_newest_rows_of_a_busy_group(spark):
+    from heliograph.operators.ordering import newest_per_group
+
+    n = F.col("id")
+    rows = spark.range(0, 20000, 1, 16).select(
+        n.cast("string").alias("id"), F.when(n % 3 != 0, F.lit("hot")).otherwise((n % 9).cast("string")).alias("campaign_id"),
+        F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(5000))).alias("created_at"),
+    )
+    got = newest_per_group(rows, "campaign_id", 7, "created_at")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 4
+    by_group = {}
+    for r in rows.collect():
+        by_group.setdefault(r["campaign_id"], []).append((-r["created_at"].timestamp(), r["id"]))
+    expected = {(k, i) for k, members in by_group.items() for _, i in sorted(members)[:7]}
+    assert {(r["campaign_id"], r["id"]) for r in got.collect()} == expected

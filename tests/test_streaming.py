@@ -109,3 +109,28 @@ def test_store_as_stream(spark, tmp_path):
     write_partitioned(df, path, "campaign_id", fmt="parquet")
     out = sinks.run_available(spark, stream_entity(spark, path, "clicks", max_files=1))
     assert out.count() == 3 and {r["campaign_id"] for r in out.collect()} == {"a"}
+
+
+def test_running_query_and_empty_stream(spark, event_files, tmp_path):
+    query = sinks.stream_sink(
+        jobs.stream_email_status(stream(spark, event_files)), f"{tmp_path}/t", f"{tmp_path}/c", "update", interval="1 second"
+    )
+    query.processAllAvailable()
+    query.stop()
+    batch = lifecycle.fold_email_status(spark.read.parquet(f"{event_files}/*"))
+    assert rows(sinks.latest_per_key(sinks.read_batches(spark, f"{tmp_path}/t"), ["email_id"])) == rows(batch)
+    (tmp_path / "none").mkdir()
+    empty = spark.readStream.schema(DDL).parquet(f"{tmp_path}/none")
+    assert sinks.run_available(spark, jobs.stream_email_status(empty), "update").count() == 0
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from heliograph import session
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "yarn"})
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Cluster())
+    assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
