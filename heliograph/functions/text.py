@@ -42,6 +42,12 @@ def slugify(c: Column) -> Column:
     return F.substring(F.regexp_replace(dashed, r"^-|-\z", ""), 1, 32)
 
 
+def sign_in_name(name: Column, requested: Column, agent_id: Column) -> Column:
+    """Unique sign-in name of an agent: the slug and the start of its id."""
+    wanted = F.when(truthy(requested), requested).otherwise(name)
+    return F.concat(slugify(wanted), F.lit("-"), F.left(agent_id, F.lit(4)))
+
+
 def field_slug(c: Column) -> Column:
     """Name of a form field: letters, digits and underscores."""
     return F.regexp_replace(

@@ -77,21 +77,24 @@ def outreach_totals(campaigns: DataFrame, emails: DataFrame) -> DataFrame:
     )
 
 
-def funnel_rates(counters: DataFrame) -> DataFrame:
-    """Whole percentages of the sent e-mails, null without any, and the bounce alarm."""
-    sent = F.col("emails_sent")
+def funnel_rates(counters: DataFrame, prefix: str = "emails_") -> DataFrame:
+    """Whole percentages of the sent e-mails, null without any, and the bounce alarm.
+
+    The totals carry the same counters without a prefix.
+    """
+    sent = F.col(f"{prefix}sent")
 
     def pct(c: str) -> Column:
-        return F.when(sent != 0, js_round(F.col(c) / sent * 100))
+        return F.when(sent != 0, js_round(F.col(f"{prefix}{c}") / sent * 100))
 
     return (
-        counters.withColumn("delivery_rate", pct("emails_delivered"))
-        .withColumn("click_rate", pct("emails_clicked"))
-        .withColumn("reply_rate", pct("emails_replied"))
-        .withColumn("bounce_rate", pct("emails_bounced"))
+        counters.withColumn("delivery_rate", pct("delivered"))
+        .withColumn("click_rate", pct("clicked"))
+        .withColumn("reply_rate", pct("replied"))
+        .withColumn("bounce_rate", pct("bounced"))
         .withColumn(
             "unhealthy",
-            F.col("emails_bounced") / F.greatest(F.lit(1), sent) >= UNHEALTHY_BOUNCE_SHARE,
+            F.col(f"{prefix}bounced") / F.greatest(F.lit(1), sent) >= UNHEALTHY_BOUNCE_SHARE,
         )
     )
 

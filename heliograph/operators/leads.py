@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions import html
+from heliograph.functions.keys import lookup_key, spread_key
 from heliograph.functions.text import blank_to_null, js_round, js_trim, truthy
 
 # Fixed value: the scraped fields that are read.
@@ -118,8 +119,35 @@ def extract_contact_emails(
     )
 
 
+def enrich_leads(leads: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Leads with the address found on their site (`site`, `email` of the contact search).
+
+    `reason` says why a lead got none. Any number of leads may share a site.
+    """
+    found = contacts.filter(F.col("email").isNotNull()).select(
+        lookup_key(F.col("site")).alias("_site"), F.col("email").alias("_found")
+    )
+    host = F.when(~has_email(), F.lower(F.try_parse_url(F.col("website"), F.lit("HOST"))))
+    enriched = ~has_email() & F.col("_found").isNotNull()
+    reason = (
+        F.when(has_email(), "already had email")
+        .when(~truthy(F.col("website")), "no website to scrape")
+        .when(F.col("_found").isNull(), "no email found on website")
+    )
+    return (
+        leads.withColumn("_site", spread_key(F.col("id"), host))
+        .join(found, "_site", "left")
+        .select(
+            *[c for c in leads.columns if c != "email"],
+            F.when(enriched, F.col("_found")).otherwise(F.col("email")).alias("email"),
+            enriched.alias("enriched"),
+            reason.alias("reason"),
+        )
+    )
+
+
 def enrichment_report(results: DataFrame) -> DataFrame:
-    """Searches attempted and addresses found per campaign."""
+    """Searches attempted and addresses found per campaign, from the leads that were searched."""
     found = F.count_if(F.coalesce("enriched", F.lit(False)))
     return (
         results.groupBy("campaign_id")

@@ -51,7 +51,7 @@ VIEWS = {
           CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN 'Co ' || c_name END AS company,
           CASE WHEN c_acctbal < 0 THEN NULL WHEN c_custkey % 11 = 0 THEN ''
             ELSE replace(lower(c_name), '#', '.') || '@example.org' END AS email,
-          CASE WHEN c_custkey % 3 <> 0 THEN 'https://site' || c_custkey || '.test' END AS website,
+          CASE WHEN c_custkey % 3 <> 0 THEN 'https://SRC' || c_custkey % 25 || '/home' END AS website,
           'City ' || c_nationkey AS address, c_mktsegment AS category,
           CASE WHEN c_custkey % 4 = 0 THEN 'note ' || c_custkey END AS notes,
           c_custkey % 97 = 0 AS is_test, TIMESTAMP '2024-02-01 00:00:00' AS created_at
@@ -287,6 +287,8 @@ _CONTACT_SELECT = r"""
         QUALIFY row_number() OVER (PARTITION BY site ORDER BY rnk, path, found) = 1) f USING (site) WHERE %(where)s)
     GROUP BY site, first_page, kept"""
 
+VIEWS["contacts"] = _CONTACT_SELECT % {"where": "true"}
+
 _CALL_BODY = """CASE WHEN n % 10 = 0 THEN 'not json ' || n WHEN event_type IS NULL THEN props
     ELSE '{"event_type":"' || event_type || '","event_id":"' || provider_event_id || '","' || carrier || '":{"message_id":"'
       || message_id || '","thread_id":"' || thread_id || '"}}' END"""
@@ -323,9 +325,15 @@ _STATEMENTS = {
           FROM part)""",
     "extract_contact_emails": _CONTACT_SELECT % {"where": "true"},
     "extract_contact_emails_known_paths": _CONTACT_SELECT % {"where": "rnk < 3"},
-    "enrichment_report": """SELECT campaign_id, count(*) AS attempted, count(*) FILTER (CAST(id AS BIGINT) % 2 = 0) AS found,
-        count(*) FILTER (CAST(id AS BIGINT) % 2 = 0) / count(*) AS hit_rate
-        FROM leads WHERE coalesce(email, '') = '' AND website IS NOT NULL GROUP BY campaign_id""",
+    "enrich_leads": """
+        SELECT l.id, CASE WHEN coalesce(l.email, '') = '' THEN coalesce(c.email, l.email) ELSE l.email END AS email,
+          coalesce(l.email, '') = '' AND c.email IS NOT NULL AS enriched,
+          CASE WHEN coalesce(l.email, '') <> '' THEN 'already had email' WHEN l.website IS NULL THEN 'no website to scrape'
+            WHEN c.email IS NULL THEN 'no email found on website' END AS reason
+        FROM leads l LEFT JOIN contacts c ON c.site = lower(regexp_extract(l.website, '//([^/]+)', 1))""",
+    "enrichment_report": """SELECT l.campaign_id, count(*) AS attempted, count(c.email) AS found, count(c.email) / count(*) AS hit_rate
+        FROM leads l LEFT JOIN contacts c ON c.site = lower(regexp_extract(l.website, '//([^/]+)', 1))
+        WHERE coalesce(l.email, '') = '' AND l.website IS NOT NULL GROUP BY l.campaign_id""",
     "extract_message_ids": """SELECT id, CASE WHEN event_type <> 'message.received' THEN message_id END AS message_id,
         CASE WHEN event_type <> 'message.received' THEN thread_id END AS thread_id FROM calls""",
     "route_events": """SELECT c.id, c.webhook_id, c.event_type FROM calls c JOIN webhooks w ON w.id = c.webhook_id

@@ -108,9 +108,16 @@ def extract_contact_emails_known_paths(spark, sf):
     return leads.extract_contact_emails(v.crawl(spark, sf))
 
 
+@query
+def enrich_leads(spark, sf):
+    contacts = leads.extract_contact_emails(v.crawl(spark, sf), other_pages=True)
+    return leads.enrich_leads(v.leads(spark, sf), contacts).select("id", "email", "enriched", "reason")
+
+
 @query
 def enrichment_report(spark, sf):
-    return leads.enrichment_report(v.enrichment_results(spark, sf))
+    contacts = leads.extract_contact_emails(v.crawl(spark, sf), other_pages=True)
+    return leads.enrichment_report(leads.enrich_leads(leads.enrichable_leads(v.leads(spark, sf)), contacts))
 
 
 # --- events ----------------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from heliograph.functions.tokens import encode_click_token
 from heliograph.operators.correlation import with_click_stats
 from heliograph.operators.funnel import email_counters
-from heliograph.operators.leads import enrichable_leads, lead_count
+from heliograph.operators.leads import lead_count
 
 BASE_URL = "https://track.test"
 
@@ -83,7 +83,7 @@ def leads(spark: SparkSession, sf: str) -> DataFrame:
         "CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN concat('Co ', c_name) END AS company",
         "CASE WHEN c_acctbal < 0 THEN NULL WHEN c_custkey % 11 = 0 THEN ''"
         " ELSE concat(replace(lower(c_name), '#', '.'), '@example.org') END AS email",
-        "CASE WHEN c_custkey % 3 <> 0 THEN concat('https://site', c_custkey, '.test') END AS website",
+        "CASE WHEN c_custkey % 3 <> 0 THEN concat('https://SRC', c_custkey % 25, '/home') END AS website",
         "concat('City ', c_nationkey) AS address",
         "c_mktsegment AS category",
         "CASE WHEN c_custkey % 4 = 0 THEN concat('note ', c_custkey) END AS notes",
@@ -453,12 +453,6 @@ def invitations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def enrichment_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Outcome of the address search per lead with a site but no address."""
-    hit: Column = F.col("id").cast("bigint") % 2 == 0
-    return enrichable_leads(leads(spark, sf)).select("campaign_id", F.col("id").alias("lead_id"), hit.alias("enriched"))
-
-
 def probes(spark: SparkSession, sf: str) -> DataFrame:
     """A health probe up to 19 seconds before each `signup`, so that some see it arrive in time."""
     return table(spark, sf, "events").filter("event_type = 'signup'").selectExpr(

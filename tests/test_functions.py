@@ -157,3 +157,9 @@ def test_strict_json(spark, raw, ok):
     from heliograph.functions.json import is_json
 
     assert value(spark, is_json(F.col("c")), c=raw) is ok
+
+
+def test_sign_in_name(spark):
+    col = text.sign_in_name(F.col("n"), F.col("r"), F.col("i"))
+    assert value(spark, col, n="My Bot", r="", i="abcdef") == "my-bot-abcd"
+    assert value(spark, col, n="My Bot", r="Bo", i="abcdef") == "bo-abcd"

@@ -189,3 +189,31 @@ def test_search_plan(spark):
     )
     got = [tuple(r)[1:] for r in leads.normalize_search_plan(df).collect()]
     assert got == [("Unknown", ["q" * 80], 50, 50), ("Rome", ["a", "b", "c", "d", "e"], 10, 5), ("Unknown", ["q"], 200, 200)]
+
+
+def test_enriched_leads(spark):
+    people = spark.createDataFrame(
+        [("1", "x@y", "http://A.test"), ("2", "", "http://A.test/x"), ("3", None, None), ("4", None, "http://b.test"), ("5", None, "not a url")],
+        "id string, email string, website string",
+    )
+    contacts = spark.createDataFrame([("a.test", "info@a.test"), ("b.test", None)], "site string, email string")
+    got = {r["id"]: (r["email"], r["enriched"], r["reason"]) for r in leads.enrich_leads(people, contacts).collect()}
+    assert got == {
+        "1": ("x@y", False, "already had email"), "2": ("info@a.test", True, None), "3": (None, False, "no website to scrape"),
+        "4": (None, False, "no email found on website"), "5": (None, False, "no email found on website"),
+    }
+    assert sorted(r["id"] for r in leads.enrichable_leads(people).collect()) == ["2", "4", "5"]
+    assert [r["id"] for r in leads.contactable_leads(people).collect()] == ["1"]
+
+
+def test_rates_of_the_totals(spark):
+    totals = spark.createDataFrame([(10, 5, 1, 2, 3)], "sent bigint, delivered bigint, bounced bigint, clicked bigint, replied bigint")
+    r = funnel.funnel_rates(totals, prefix="").first()
+    assert (r["delivery_rate"], r["bounce_rate"], r["click_rate"], r["reply_rate"], r["unhealthy"]) == (50, 10, 20, 30, True)
+
+
+def test_send_run_without_mails_failed(spark):
+    results = spark.createDataFrame([("a", True)], "campaign_id string, ok boolean")
+    runs = spark.createDataFrame([("a",), ("b",)], "campaign_id string")
+    got = {r["campaign_id"]: (r["total"], r["status"]) for r in sequence.send_report(results, runs).collect()}
+    assert got == {"a": (1, "completed"), "b": (0, "failed")}
