@@ -184,7 +184,8 @@ VIEWS = {
             WHEN 2 THEN 'test@firm.test hello@firm.test' WHEN 3 THEN 'a@b.wixsite.com'
             WHEN 4 THEN 'x' || page_id || '@firm.test or Info@firm.test' ELSE '' END AS content
         FROM pages
-        UNION ALL SELECT source, '/d/' || lpad(CAST(doc_id AS VARCHAR), 12, '0'), text FROM documents""",
+        UNION ALL SELECT source, '/d/' || lpad(CAST(doc_id AS VARCHAR), 12, '0'),
+          text || CASE WHEN doc_id % 70 = 3 THEN ' mail Doc' || doc_id || '@' || source || '.test' ELSE '' END FROM documents""",
     "hits": r"""
         SELECT site, path, CASE path WHEN '' THEN 0 WHEN '/contact' THEN 1 WHEN '/contact-us' THEN 2 ELSE 3 END AS rnk,
           [a for a, i in all_hits if list_position(all_hits, a) = i] AS found

@@ -5,7 +5,7 @@ Only these views know the driver's schema; the operators see the stored entities
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions.tokens import encode_click_token
@@ -319,7 +319,8 @@ def crawl(spark: SparkSession, sf: str) -> DataFrame:
         " WHEN 4 THEN concat('x', page_id, '@firm.test or Info@firm.test') ELSE '' END) AS content",
     )
     docs = table(spark, sf, "documents").selectExpr(
-        "source AS site", "concat('/d/', lpad(CAST(doc_id AS STRING), 12, '0')) AS path", "text AS content"
+        "source AS site", "concat('/d/', lpad(CAST(doc_id AS STRING), 12, '0')) AS path",
+        "concat(text, CASE WHEN doc_id % 70 = 3 THEN concat(' mail Doc', doc_id, '@', source, '.test') ELSE '' END) AS content",
     )
     return web.unionByName(docs)
 
