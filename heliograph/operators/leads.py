@@ -99,11 +99,8 @@ def extract_contact_emails(
     rank = F.lit(len(paths))
     for i, path in reversed(list(enumerate(paths))):
         rank = F.when(F.col("path") == path, i).otherwise(rank)
-    hits = (
-        pages.withColumn("_rank", rank)
-        .filter(F.lit(other_pages) | (F.col("_rank") < len(paths)))
-        .select("site", "path", "_rank", html.contact_hits(F.col("content")).alias("hits"))
-    )
+    searched = pages if other_pages else pages.filter(F.col("path").isin(*paths))
+    hits = searched.select("site", "path", rank.alias("_rank"), html.contact_hits(F.col("content")).alias("hits"))
     first = F.min(F.when(F.size("hits") > 0, F.struct("_rank", "path", "hits"))).alias("page")
     kept = html.drop_junk_addresses(F.col("page.hits"))
     return (

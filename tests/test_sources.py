@@ -6,7 +6,7 @@ from heliograph.schemas import ENTITIES, schema_of
 from heliograph.sources.entities import lookup, read_entity, write_partitioned
 
 
-def test_all_schemas_parse():
+def test_all_schemas_parse(spark):
     assert all(len(schema_of(e)) > 2 for e in ENTITIES)
 
 
@@ -48,3 +48,29 @@ def test_missing_columns_read_as_null(spark, tmp_path):
     spark.createDataFrame([("1", "t")], "id string, title string").write.parquet(path)
     row = read_entity(spark, path, "tasks").first()
     assert row["title"] == "t" and row["reply_id"] is None
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_predicates_and_columns_reach_the_scan(spark, tmp_path):
+    from heliograph.operators import funnel, leads, sequence
+
+    path = str(tmp_path / "emails")
+    write_partitioned(spark.createDataFrame([("1",) + ("a",) * 2 + (None,) * 18], schema_of("emails")), path, "campaign_id")
+    emails = read_entity(spark, path, "emails")
+    plan = plan_of(sequence.select_sendable(emails))
+    assert "EqualTo(status,drafted)" in plan
+    plan = plan_of(funnel.email_counters(emails))
+    assert "ReadSchema: struct<status:string,click_count:bigint>" in plan
+    pages = str(tmp_path / "crawl")
+    spark.createDataFrame([("s", "", "c")], "site string, path string, content string").write.parquet(pages)
+    plan = plan_of(leads.extract_contact_emails(spark.read.parquet(pages)))
+    assert "In(path, [,/contact,/contact-us])" in plan
+
+
+def test_point_read_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "tasks")
+    spark.createDataFrame([("1", "t")], "id string, title string").write.parquet(path)
+    assert "EqualTo(id,1)" in plan_of(lookup(read_entity(spark, path, "tasks"), "1"))
