@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,25 +30,26 @@ def stream_email_status(events: DataFrame) -> DataFrame:
     return fold_email_status(events)
 
 
-def _mark_in_arrival_order(
-    key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Judge the new events of one e-mail, starting from the rank it has reached."""
-    new = pd.concat(list(batches), ignore_index=True).sort_values(["at", "event_id"], kind="stable")
-    rank = new["status"].map(STATUS_RANK).fillna(0).astype("int32")
-    reset = (new["kind"] == "ack") | new["status"].isin(NEGATIVE)
-    segment = reset.cumsum()
-    reached = rank.groupby(segment).cummax()
-    entered = state.get[0] if state.exists else 0
-    first = segment == 0
-    reached[first] = reached[first].clip(lower=entered)
-    before = reached.groupby(segment).shift(1)
-    before[first] = before[first].fillna(entered)
-    applied = reset | (rank >= before.fillna(0))
-    state.update((int(reached.iloc[-1]),))
-    yield new.assign(applied=applied)[
-        ["email_id", "campaign_id", "at", "event_id", "status", "kind", "applied"]
-    ]
+def _arrival_order_marker() -> Callable[[tuple[str], Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The state handler. It is made inside a function, so it travels to the executors by value and
+    they need nothing but pandas."""
+    def mark(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Judge the new events of one e-mail, starting from the rank it has reached."""
+        new = pd.concat(list(batches), ignore_index=True).sort_values(["at", "event_id"], kind="stable")
+        rank = new["status"].map(STATUS_RANK).fillna(0).astype("int32")
+        reset = (new["kind"] == "ack") | new["status"].isin(NEGATIVE)
+        segment = reset.cumsum()
+        reached = rank.groupby(segment).cummax()
+        entered = state.get[0] if state.exists else 0
+        first = segment == 0
+        reached[first] = reached[first].clip(lower=entered)
+        before = reached.groupby(segment).shift(1)
+        before[first] = before[first].fillna(entered)
+        state.update((int(reached.iloc[-1]),))
+        columns = ["email_id", "campaign_id", "at", "event_id", "status", "kind", "applied"]
+        yield new.assign(applied=reset | (rank >= before.fillna(0)))[columns]
+
+    return mark
 
 
 def stream_marked_events(events: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def stream_marked_events(events: DataFrame) -> DataFrame:
         events.select(*columns)
         .groupBy("email_id")
         .applyInPandasWithState(
-            _mark_in_arrival_order, MARKED_DDL, "reached INT", "append", GroupStateTimeout.NoTimeout
+            _arrival_order_marker(), MARKED_DDL, "reached INT", "append", GroupStateTimeout.NoTimeout
         )
     )
 

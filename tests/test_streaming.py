@@ -134,3 +134,15 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         session.shared_folder(Cluster())
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
+
+
+def test_the_state_handler_needs_no_package_on_executors(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "handler").write_bytes(cloudpickle.dumps(jobs._arrival_order_marker()))
+    code = "import pickle, sys; pickle.load(open('handler', 'rb')); assert 'heliograph' not in sys.modules"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
