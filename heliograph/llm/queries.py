@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import packing, sharding, url_rules
+from heliograph.llm import packing, sharding, simhash, toxicity, url_rules, warc
 from heliograph.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -38,6 +38,25 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn_lexicon(docs, table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return toxicity.score_toxicity(docs, lexicon, ["doc_id"]).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op7_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
@@ -76,6 +95,9 @@ SELECT page_id, host, path, rule, coalesce(hits.verdict, 'allow') AS verdict FRO
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_toxicity": op3_toxicity,
+    "op5_simhash": op5_simhash,
+    "op7_warc_normaliser": op7_warc_normaliser,
     "op6_feistel_sharding": op6_feistel_sharding,
     "op8_url_rules": op8_url_rules,
 }
