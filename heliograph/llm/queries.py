@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import packing, sharding, simhash, toxicity, url_rules, warc
+from heliograph.llm import decontamination, packing, sharding, simhash, toxicity, url_rules, warc
 from heliograph.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -74,6 +74,14 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 OP8_SQL = r"""
 WITH rules(verdict, rhost, rpath) AS (VALUES
     ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
@@ -100,6 +108,7 @@ QUERIES = {
     "op7_warc_normaliser": op7_warc_normaliser,
     "op6_feistel_sharding": op6_feistel_sharding,
     "op8_url_rules": op8_url_rules,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL = {"op8_url_rules": OP8_SQL}
