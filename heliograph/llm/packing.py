@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,12 +27,20 @@ from heliograph.llm.common import worker_state
 WINDOW, END_ID = 4096, 2
 #: Words that are one pre-token each: letters whose lower case is one letter again.
 LETTERS = "a-zA-ZÀ-ÖØ-öø-į"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 PIECES = (
     "sequence_id long, offset long, doc_id long, start long, length long, doc_tokens long, tokens binary"
 )
 
 
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    raw = array("I", ids)
+    if sys.byteorder == "big":
+        raw.byteswap()
+    return raw.tobytes()
+
+
 class WordEncoder:
     """Ids of whole texts, made from the ids of their words.
 
@@ -49,45 +59,54 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return little(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def learn(self, words: set[bytes]) -> None:
-        """Look up new words: letters in bulk, with their trailing marks apart, all else one by one."""
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        split, cores = {}, {}
+        """Look up new words: letters apart from their trailing marks, all else one by one.
+
+        A word of ASCII letters is its own normal form and one pre-token, so the model alone gives its
+        ids; other letters are encoded in bulk and told apart by the tokens that end a word.
+        """
+        split, ascii_cores, others = [], set(), set()
         for word in words:
             text = word.decode()
             if m := self.plain.fullmatch(text):
-                split[word] = (core := m[1].lower()), m[2]
-                cores[core] = b""
+                core = m[1].lower()
+                split.append((word, core, m[2]))
+                (ascii_cores if core.isascii() else others).add(core)
             else:
                 self.known[word] = self.ids(text)
-        new = [c for c in cores if c.encode() not in self.known]
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+        cores = {c: known for c in ascii_cores | others if (known := self.known.get(c.encode())) is not None}
+        model = self.tokenizer.model
+        for core in ascii_cores - cores.keys():
+            cores[core] = little([t.id for t in model.tokenize(core)])
+        new = list(others - cores.keys())
+        for at in range(0, len(new), 500):
+            some = new[at : at + 500]
+            encoded = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
+            ids = np.array(encoded.ids, dtype="<u4")
             ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            raw, starts = ids.tobytes(), [0, *ends.tolist()]
             if len(ends) == len(some):
-                raw, starts = ids.tobytes(), [0, *ends.tolist()]
-                self.known.update((c.encode(), raw[a:b]) for c, a, b in zip(some, starts, starts[1:]))
+                cores.update((c, raw[a:b]) for c, a, b in zip(some, starts, starts[1:]))
             else:
-                self.known.update((c.encode(), self.ids(c)) for c in some)
-        marks = {m: self.ids(m) for m in {m for _, m in split.values()} if m}
-        for word, (core, tail) in split.items():
-            self.known[word] = self.known[core.encode()] + (marks[tail] if tail else b"")
+                cores.update((c, self.ids(c)) for c in some)
+        marks = {m: self.ids(m) if m else b"" for m in {m for _, _, m in split}}
+        self.known.update((word, cores[core] + marks[tail]) for word, core, tail in split)
+        self.known.update((c.encode(), ids) for c, ids in cores.items())
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids per text; a missing text has none."""
-        words = [(t or "").encode().split() for t in texts]
-        new = set().union(*words) - self.known.keys()
-        if len(self.known) + len(new) > CACHED_WORDS and self.known:
+        if len(self.known) > CACHED_WORDS:
             self.known.clear()
-            new = set().union(*words)
-        self.learn(new)
-        known = self.known
-        for w in words:
-            yield b"".join([known[x] for x in w])
+        words = [(t or "").encode().split() for t in texts]
+        parts = [list(map(self.known.get, w)) for w in words]
+        gaps = [[i for i, p in enumerate(own) if p is None] if None in own else [] for own in parts]
+        self.learn({w[i] for w, own in zip(words, gaps) for i in own})
+        for w, own, missing in zip(words, parts, gaps):
+            for i in missing:
+                own[i] = self.known[w[i]]
+            yield b"".join(own)
 
 
 class LevelArray:
