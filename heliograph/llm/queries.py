@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import decontamination, packing, sharding, simhash, toxicity, url_rules, warc
+from heliograph.llm import (
+    decontamination,
+    packing,
+    perplexity_rules,
+    sharding,
+    simhash,
+    toxicity,
+    trusted_quality,
+    url_rules,
+    warc,
+)
 from heliograph.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -38,6 +48,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op2_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = perplexity_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *perplexity_rules.COUNTED, "base_failed", "kept", "mean_log", "low", "high")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.learn_lexicon(docs, table(spark, sf_dir, "labels"))
@@ -74,6 +89,10 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_trusted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trusted_quality.quality_by_trust(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -103,6 +122,8 @@ SELECT page_id, host, path, rule, coalesce(hits.verdict, 'allow') AS verdict FRO
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_perplexity_rules": op2_perplexity_rules,
+    "op9_trusted_quality": op9_trusted_quality,
     "op3_toxicity": op3_toxicity,
     "op5_simhash": op5_simhash,
     "op7_warc_normaliser": op7_warc_normaliser,
