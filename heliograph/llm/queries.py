@@ -11,6 +11,7 @@ from heliograph.llm import (
     perplexity_rules,
     sharding,
     simhash,
+    suffix_dedup,
     toxicity,
     trusted_quality,
     url_rules,
@@ -62,6 +63,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -125,6 +133,7 @@ QUERIES = {
     "op2_perplexity_rules": op2_perplexity_rules,
     "op9_trusted_quality": op9_trusted_quality,
     "op3_toxicity": op3_toxicity,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
     "op7_warc_normaliser": op7_warc_normaliser,
     "op6_feistel_sharding": op6_feistel_sharding,
