@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm.common import text_key, written
@@ -231,10 +231,14 @@ def first_of_each_group(docs: DataFrame, shingle: int = 3, radius: int = 2) -> D
     once per text. Columns are those of `docs`.
     """
     groups = simhash_groups(docs, shingle, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = groups.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("fp").alias("_fp"))
     # Of several texts with the group's smallest id, or without any, one per group stays.
-    stay = stay.groupBy("_id", "_fp").agg(F.min("_hash").alias("_hash")).select("_id", "_hash").distinct()
-    marked = docs.withColumn("_hash", text_key("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (marked["_hash"] == stay["_hash"])
-    kept = marked.join(stay, same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    stay = groups.groupBy("doc_id", "fp").agg(F.min("text_hash").alias("hash"))
+    stay = stay.select(_row_key(F.col("doc_id"), F.col("hash")).alias("_stays")).distinct()
+    marked = docs.withColumn("_row", _row_key(F.col("doc_id").cast("long"), text_key("text")))
+    # One key for the join and for repeated rows, so that texts are shuffled once.
+    return marked.join(stay, F.col("_row") == F.col("_stays"), "left_semi").dropDuplicates(["_row"]).drop("_row")
+
+
+def _row_key(doc_id: Column, text_hash: Column) -> Column:
+    """A document's id and text in one value."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), text_hash.cast("string"))

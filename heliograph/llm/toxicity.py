@@ -236,25 +236,33 @@ def score(lexicon: Lexicon, weight: float, words: int) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _scorer(lexicon: Lexicon) -> Callable:
+def _scorer(lexicon: Lexicon, keep: list[str], into: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
         for batch in batches:
-            at = batch.schema.names.index("_text")
-            scores = [score(lexicon, *matcher.weight(t)) for t in batch.column(at).to_pylist()]
-            columns = [c for i, c in enumerate(batch.columns) if i != at]
-            names = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*names, "score"])
+            texts = batch.column(batch.schema.names.index("text")).to_pylist()
+            scores = [score(lexicon, *matcher.weight(t)) for t in texts]
+            columns = [batch.column(batch.schema.names.index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*keep, into])
 
     return run
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
-    """The columns `keep` of every document, and `score`.
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, keep: list[str], into: str = "score") -> DataFrame:
+    """The columns `keep` of every document, and its score in a new column `into`.
 
     Whole texts are scored; a missing text is empty, and an empty one scores as a text without hits.
-    Repeated rows score alike; an empty table gives an empty result; other columns are not read.
+    Repeated rows score alike; an empty table gives an empty result; other columns are not read, and one
+    named as `into` can't be kept.
     """
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = rows.drop("_text", "score").withColumn("score", F.lit(0.0)).schema
-    return rows.mapInArrow(_scorer(lexicon), schema)
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    schema = docs.select(*keep).schema.add(into, "double")
+    return rows.mapInArrow(_scorer(lexicon, keep, into), schema)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
+    """Documents that score below `limit` by a lexicon learned from them and their labels; columns are
+    those of `docs`."""
+    named = docs.toDF(*[c if c in ("doc_id", "text") else f"kept_{i}" for i, c in enumerate(docs.columns)])
+    scored = score_toxicity(named, learn_lexicon(named, labels), named.columns)
+    return scored.filter(F.col("score") < limit).drop("score").toDF(*docs.columns)
