@@ -21,7 +21,7 @@ ROLE_MAILBOX = (
 HREF_PATTERN = r'(?i)href="[^"]+"'
 UNTRACKED_LINK = r"(?i)^(#|mailto:|tel:|sms:)"
 FORM_MARKER = r"(?i)\{\{form:([a-z0-9-]+)\}\}"
-ANY_FORM_MARKER = r"(?i)\{\{form:(.+?)\}\}"
+ANY_FORM_MARKER = r"(?i)\{\{form:((?:(?!\{\{form:).)+?)\}\}"
 # ---------------------------------------------------------------------------------------------------
 
 
@@ -45,7 +45,8 @@ def first_form_marker(c: Column) -> Column:
 
 
 def form_markers(c: Column) -> Column:
-    """All distinct marker slugs in lower case. A form's slug is free text, so any text counts."""
+    """All distinct marker slugs in lower case. A form's slug is free text, so any text counts, but a
+    marker that is not closed ends where the next one begins."""
     found = F.regexp_extract_all(c, F.lit(ANY_FORM_MARKER), F.lit(1))
     return F.array_distinct(F.transform(found, F.lower))
 

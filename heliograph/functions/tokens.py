@@ -25,7 +25,12 @@ def encode_click_token(campaign_id: Column, lead_id: Column, email_id: Column, u
 
 
 def decode_click_token(token: Column) -> Column:
-    """The payload struct; null when the token is not base64url of a JSON object."""
-    raw = F.try_to_binary(F.translate(token, "-_", "+/"), F.lit("base64"))
-    text = F.decode(raw, "UTF-8")
+    """The payload struct; null when the token is not base64url of a JSON object.
+
+    Characters outside the alphabet are skipped, as is an odd one at the end, which holds no whole byte.
+    """
+    kept = F.regexp_replace(F.translate(token, "-_", "+/"), "[^A-Za-z0-9+/]", "")
+    whole = F.substring(kept, F.lit(1), F.length(kept) - F.when(F.length(kept) % 4 == 1, 1).otherwise(0))
+    raw = F.try_to_binary(whole, F.lit("base64"))
+    text = F.make_valid_utf8(raw.cast("string"))
     return F.when(is_json(text), F.from_json(text, TOKEN_DDL))

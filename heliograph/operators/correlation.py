@@ -112,6 +112,24 @@ def correlate_replies(replies: DataFrame, emails: DataFrame) -> DataFrame:
     )
 
 
+def extract_replies(calls: DataFrame) -> DataFrame:
+    """Stored webhook calls to inbound replies, as `correlate_replies` takes them.
+
+    A reply is as old as its mail says (`received_at`), or as its call where the mail doesn't say, but it
+    takes effect when its call arrives (`arrived_at`).
+    """
+    message = F.col("event.message")
+    sent = F.try_to_timestamp(message["timestamp"])
+    return calls.filter((F.col("event.event_type") == INBOUND_REPLY) & message.isNotNull()).select(
+        F.concat(F.lit("reply-"), F.col("id")).alias("id"),
+        message["message_id"].alias("agentmail_message_id"),
+        message["thread_id"].alias("agentmail_thread_id"),
+        *[message[c].alias(c) for c in ("from", "to", "subject", "text", "html")],
+        F.coalesce(sent, F.col("received_at")).alias("received_at"),
+        F.col("received_at").alias("arrived_at"),
+    )
+
+
 def attribute_clicks(clicks: DataFrame, emails: DataFrame) -> DataFrame:
     """Clicks with the e-mail they belong to, by campaign and id; the others stay in the log."""
     known = emails.select(
@@ -144,13 +162,15 @@ def orphans(children: DataFrame, parents: DataFrame, key: str, parent_id: str =
     return children.filter(truthy(F.col(key).cast("string"))).join(known, key, "left_anti")
 
 
-def dedupe_deliveries(events: DataFrame, delay: str = "1 hour", at: str = "received_at") -> DataFrame:
+def dedupe_deliveries(events: DataFrame, at: str = "received_at") -> DataFrame:
     """Drop redelivered provider events by their `event_id`; optional, off in the default pipeline.
 
-    On a stream the ids are remembered for `delay`; on a table all of them are compared.
+    On a table the first delivery of an event stays, on a stream the one that comes in first. A stream
+    remembers every id in its state store, on disk: a call that comes late is only dropped if its event was
+    seen, never for its age.
     """
     keyed = events.withColumn("_delivery", F.coalesce("event_id", F.concat(F.lit("\u0000"), F.col("id"))))
     if events.isStreaming:
-        return keyed.withWatermark(at, delay).dropDuplicatesWithinWatermark(["_delivery"]).drop("_delivery")
+        return keyed.dropDuplicates(["_delivery"]).drop("_delivery")
     first = F.min_by(F.struct(*events.columns), F.struct(at, "id"))
     return keyed.groupBy("_delivery").agg(first.alias("_r")).select("_r.*")

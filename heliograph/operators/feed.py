@@ -25,10 +25,11 @@ FEED_COLUMNS = ("id", "agent_id", "category", "summary", "details", "created_at"
 
 def _entry(
     df: DataFrame, source: str, category: str, summary: Column, details: dict[str, str], at: str,
-    agent: Column | None = None,
+    agent: Column | None = None, keep_nulls: bool = False,
 ) -> DataFrame:
     """One feed row per input row; the id says where it came from."""
-    payload = F.to_json(F.struct(*[F.col(c).alias(name) for name, c in details.items()])) if details else F.lit(None)
+    options = {"ignoreNullFields": "false"} if keep_nulls else {}
+    payload = F.to_json(F.struct(*[F.col(c).alias(name) for name, c in details.items()]), options) if details else F.lit(None)
     return df.select(
         F.concat(F.lit(f"{source}-"), F.col("id")).alias("id"),
         (agent if agent is not None else F.lit(None)).cast("string").alias("agent_id"),
@@ -60,7 +61,8 @@ def from_replies(replies: DataFrame) -> DataFrame:
         "Reply from ", F.coalesce("from", F.lit("unknown")), ": ",
         F.substring(F.coalesce("subject", F.lit("(no subject)")), 1, 80),
     )
-    return _entry(replies, "reply", "email", summary, {"reply_id": "id", "campaign_id": "campaign_id"}, "received_at")
+    details = {"reply_id": "id", "campaign_id": "campaign_id"}
+    return _entry(replies, "reply", "email", summary, details, "received_at", keep_nulls=True)
 
 
 def from_clicks(clicks: DataFrame, campaigns: DataFrame) -> DataFrame:
@@ -230,14 +232,15 @@ def activity_with_agent(activity: DataFrame, agents: DataFrame) -> DataFrame:
 
 
 def dedupe_feed(feed: DataFrame, n: int = LIVE_ROWS) -> DataFrame:
-    """The live list: the newest n rows, one per id, newest first.
+    """The live list: the newest n ids, one row each, newest first.
 
-    Rows are cut to n before they are compared; of equal ids the one listed last, the older, stays.
+    Of equal ids the older row stays; of equally old ones the one whose values sort first. Rows of an id
+    combine before the shuffle.
     """
-    newest = feed.orderBy(F.col("created_at").desc_nulls_last(), "id", "summary").limit(n)
-    place = F.struct(F.unix_micros("created_at"), F.col("id"), F.lit(0))
-    kept = newest.groupBy("id").agg(F.min_by(F.struct(*feed.columns), place).alias("_r"))
-    return kept.select("_r.*").orderBy(F.col("created_at").desc_nulls_last(), "id")
+    place = F.struct("created_at", "summary", "category", "agent_id", "details")
+    kept = feed.groupBy("id").agg(F.min(place).alias("_r"))
+    rows = kept.select(*[F.col(c) if c == "id" else F.col(f"_r.{c}").alias(c) for c in FEED_COLUMNS])
+    return rows.orderBy(F.col("created_at").desc_nulls_last(), "id").limit(n)
 
 
 def flag_new_entries(feed: DataFrame, seen: DataFrame) -> DataFrame:

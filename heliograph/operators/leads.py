@@ -119,10 +119,14 @@ def extract_contact_emails(
 def enrich_leads(leads: DataFrame, contacts: DataFrame) -> DataFrame:
     """Leads with the address found on their site (`site`, `email` of the contact search).
 
-    `reason` says why a lead got none. Any number of leads may share a site.
+    `reason` says why a lead got none. Any number of leads may share a site. Sites are compared in lower
+    case; of the addresses of a site in several spellings the first by name is taken.
     """
-    found = contacts.filter(F.col("email").isNotNull()).select(
-        lookup_key(F.col("site")).alias("_site"), F.col("email").alias("_found")
+    found = (
+        contacts.filter(F.col("email").isNotNull())
+        .groupBy(F.lower("site").alias("site"))
+        .agg(F.min("email").alias("_found"))
+        .select(lookup_key(F.col("site")).alias("_site"), "_found")
     )
     host = F.when(~has_email(), F.lower(F.try_parse_url(F.col("website"), F.lit("HOST"))))
     enriched = ~has_email() & F.col("_found").isNotNull()

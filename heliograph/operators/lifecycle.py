@@ -25,6 +25,7 @@ STATUS_RANK = {"drafted": 0, "sent": 1, "delivered": 2, "clicked": 3, "replied":
 NEGATIVE = ("bounced", "complained", "failed")
 
 _FORWARD = ("sent", "delivered", "clicked", "replied")
+_STAMPED = ("sent", "delivered", "bounced", "complained", "failed")
 
 
 def is_reset() -> Column:
@@ -48,19 +49,21 @@ def lifecycle_events(
     """The event log of the e-mails from what was matched to them; tables or streams.
 
     `provider` events carry a `status`, `clicks` a `matched` flag, `replies` an `original_email_id`,
-    and `sends` are `(id, email_id, campaign_id, sent_at)` of accepted send calls.
+    and `sends` are `(id, email_id, campaign_id, sent_at)` of accepted send calls. Events are in order of
+    arrival; `stamp` is the time that a reply states itself, where it has one.
     """
-    def part(df: DataFrame, email: str, at: str, status: Column, kind: str) -> DataFrame:
+    def part(df: DataFrame, email: str, at: str, status: Column, kind: str, stamp: str | None = None) -> DataFrame:
         return df.filter(F.col(email).isNotNull()).select(
             F.col(email).alias("email_id"), "campaign_id", F.col(at).alias("at"), F.col("id").alias("event_id"),
-            status.alias("status"), F.lit(kind).alias("kind"),
+            status.alias("status"), F.lit(kind).alias("kind"), F.col(stamp or at).alias("stamp"),
         )
 
     parts = []
     if provider is not None:
         parts.append(part(provider, "email_id", "received_at", F.col("status"), "provider"))
     if replies is not None:
-        parts.append(part(replies, "original_email_id", "received_at", F.lit("replied"), "reply"))
+        arrived = "arrived_at" if "arrived_at" in replies.columns else "received_at"
+        parts.append(part(replies, "original_email_id", arrived, F.lit("replied"), "reply", "received_at"))
     if clicks is not None:
         parts.append(part(clicks.filter("matched"), "email_id", "clicked_at", F.lit("clicked"), "click"))
     if sends is not None:
@@ -68,17 +71,39 @@ def lifecycle_events(
     return reduce(DataFrame.unionByName, parts)
 
 
-def with_status(emails: DataFrame, folded: DataFrame) -> DataFrame:
-    """E-mails with the status and clicks of their log; those without events stay as they are."""
-    log = folded.select(
-        F.col("email_id").alias("id"), F.col("status").alias("_status"), F.col("click_count").alias("_clicks"),
-        F.col("last_clicked_at").alias("_clicked"),
+def with_status(emails: DataFrame, events: DataFrame) -> DataFrame:
+    """E-mails after the events of their log, judged on top of what is stored.
+
+    A provider status that doesn't reach the stored one changes nothing; clicks add to the stored number;
+    each status that took effect leaves its last time in `<status>_at`, a reply the time that it states.
+    E-mails without events stay as they are.
+    """
+    stored = emails.select(F.col("id").alias("email_id"), status_rank(F.col("status")).alias("rank"))
+    marked = mark_applied(events, entered=stored)
+    here = F.struct("at", "event_id")
+    took = F.when(F.col("applied"), here)
+    log = marked.groupBy("email_id").agg(
+        F.max(F.when(F.col("applied"), F.struct("at", "event_id", "status")))["status"].alias("_status"),
+        F.nullif(F.count_if(F.col("kind") == "click"), F.lit(0)).alias("_clicks"),
+        F.max(F.when(F.col("kind") == "click", F.col("at"))).alias("_last_clicked_at"),
+        *[F.max(F.when(F.col("status") == s, took))["at"].alias(f"_{s}_at") for s in _STAMPED],
+        F.max(F.when(F.col("status") == "replied", F.struct("at", "event_id", "stamp")))["stamp"].alias("_replied_at"),
     )
-    return emails.drop("last_clicked_at").join(log, "id", "left").select(
-        *[c for c in emails.columns if c not in ("status", "click_count", "last_clicked_at")],
+    known = set(emails.columns)
+    times = ["last_clicked_at", *(f"{s}_at" for s in _STAMPED), "replied_at"]
+
+    def latest(c: str) -> Column:
+        found = F.col(f"_{c}")
+        if c not in known:
+            return found
+        return F.greatest(found, c) if c == "last_clicked_at" else F.coalesce(found, c)
+
+    clicks = F.when(F.col("_clicks").isNull(), F.col("click_count")).otherwise(F.coalesce("click_count", F.lit(0)) + F.col("_clicks"))
+    return emails.join(log, emails["id"] == log["email_id"], "left").select(
+        *[emails[c] for c in emails.columns if c not in ("status", "click_count", *times)],
         F.coalesce("_status", "status").alias("status"),
-        F.coalesce("_clicks", "click_count").alias("click_count"),
-        F.col("_clicked").alias("last_clicked_at"),
+        clicks.alias("click_count"),
+        *[latest(c).alias(c) for c in times],
     )
 
 
@@ -121,9 +146,11 @@ def _reached(rank: Column, window: WindowSpec) -> Column:
     return F.max(F.col("_seg") * len(STATUS_RANK) + rank).over(window) - F.col("_seg") * len(STATUS_RANK)
 
 
-def mark_applied(events: DataFrame, block_seconds: int = 3600) -> DataFrame:
+def mark_applied(events: DataFrame, block_seconds: int = 3600, entered: DataFrame | None = None) -> DataFrame:
     """Add `applied`: whether the event changed or confirmed the status at its turn.
 
+    `entered` has the rank that e-mails (`email_id`, `rank`) had reached before.
+
     This does depend on the order, so events are ranked by a window; to keep the events of one busy
     e-mail from meeting in one task, the window covers one time block of one e-mail. Each block is
     reduced to (has a reset, highest rank after it), these few rows are folded per e-mail, and the
@@ -152,8 +179,12 @@ def mark_applied(events: DataFrame, block_seconds: int = 3600) -> DataFrame:
     ]
     tail = F.coalesce(F.greatest(F.col("reset._rank"), *after_reset), F.lit(0))
     by_block = W.partitionBy("email_id").orderBy("_block")
+    reached = blocks.select("email_id", "_block", F.col("reset").isNotNull().cast("int").alias("has"), tail.alias("tail"))
+    if entered is not None:  # a block before all others
+        first = F.lit(-(2**62)).alias("_block")
+        reached = reached.unionByName(entered.select("email_id", first, F.lit(0).alias("has"), F.col("rank").alias("tail")))
     entries = (
-        blocks.select("email_id", "_block", F.col("reset").isNotNull().cast("int").alias("has"), tail.alias("tail"))
+        reached
         .withColumn("_seg", F.sum("has").over(by_block.rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("leaves", _reached(F.col("tail"), by_block.rowsBetween(W.unboundedPreceding, 0)))
         .select(
@@ -194,7 +225,8 @@ def status_times(events: DataFrame, block_seconds: int = 3600) -> DataFrame:
 def event_counters(marked: DataFrame) -> DataFrame:
     """Counters as they grow with the events, from `mark_applied` output with a `campaign_id`.
 
-    Provider events count when they take effect; every click and every reply counts.
+    Provider events count when they take effect; every reply counts, and every click that was logged,
+    whether its e-mail is known or not: use `count_logged_clicks` where the log holds matched ones only.
     """
     provider = (F.col("kind") == "provider") & F.col("applied")
     return marked.groupBy("campaign_id").agg(
@@ -203,3 +235,37 @@ def event_counters(marked: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") == "click").alias("emails_clicked"),
         F.count_if(F.col("kind") == "reply").alias("emails_replied"),
     )
+
+
+def count_logged_clicks(counters: DataFrame, clicks: DataFrame) -> DataFrame:
+    """Counters with the clicks of the click log in place of those that found their e-mail."""
+    logged = clicks.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("_logged"))
+    zero = F.lit(0).cast("long")
+    return counters.join(logged, "campaign_id", "full").select(
+        "campaign_id",
+        *[
+            F.coalesce("_logged" if c == "emails_clicked" else c, zero).alias(c)
+            for c in counters.columns if c != "campaign_id"
+        ],
+    )
+
+
+def ranks_after(events: DataFrame, entered: DataFrame | None = None) -> DataFrame:
+    """(email_id, rank) that e-mails have reached after the events, for the next ones to enter with."""
+    folded = events.groupBy("email_id").agg(
+        F.max(F.when(is_reset(), F.struct("at", "event_id", "status"))).alias("reset"),
+        *[F.max(F.when(~is_reset() & (F.col("status") == s), F.struct("at", "event_id"))).alias(s) for s in _FORWARD],
+    )
+    floor = F.struct(F.col("reset.at").alias("at"), F.col("reset.event_id").alias("event_id"))
+    rank = status_rank(F.col("reset.status"))
+    for s in _FORWARD:
+        after = F.col(s).isNotNull() & (F.col("reset").isNull() | (F.col(s) > floor))
+        rank = F.when(after, STATUS_RANK[s]).otherwise(rank)
+    new = folded.select("email_id", rank.alias("rank"), F.col("reset").isNotNull().alias("_fresh"))
+    if entered is None:
+        return new.drop("_fresh")
+    old = entered.select("email_id", F.col("rank").alias("_before"))
+    return new.join(old, "email_id", "full").select(
+        "email_id",
+        F.when(F.col("_fresh"), F.col("rank")).otherwise(F.greatest("rank", "_before")).alias("rank"),
+    )

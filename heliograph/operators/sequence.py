@@ -214,7 +214,7 @@ def draft_context(
 
 def dedupe_new_drafts(new: DataFrame, existing: DataFrame) -> DataFrame:
     """New drafts with `skipped`: true where the (lead, step) pair already had an e-mail, or where an
-    earlier new draft took it."""
+    earlier new draft took it. A draft without lead is nobody's second and is not skipped."""
     keyed = new.withColumn("_step", step_of())
     keys = ["campaign_id", "lead_id", "_step"]
     first = keyed.groupBy(*keys).agg(F.min(F.struct("created_at", "id")).alias("_first"))
@@ -224,7 +224,7 @@ def dedupe_new_drafts(new: DataFrame, existing: DataFrame) -> DataFrame:
         lookup_key(*pair).alias("_pair"), F.when(F.col("_taken").isNull(), F.col("_first.id")).alias("_winner")
     )
     return keyed.withColumn("_pair", spread_key(F.col("id"), *pair)).join(winners, "_pair", "left").select(
-        *new.columns, (~F.coalesce(F.col("id") == F.col("_winner"), F.lit(False))).alias("skipped")
+        *new.columns, (truthy(F.col("lead_id")) & ~F.coalesce(F.col("id") == F.col("_winner"), F.lit(False))).alias("skipped")
     )
 
 

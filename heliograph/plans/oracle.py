@@ -77,7 +77,7 @@ VIEWS = {
         SELECT l_orderkey || '-' || l_linenumber AS id, CAST(l_suppkey % 25 AS VARCHAR) AS campaign_id,
           CAST(l_partkey AS VARCHAR) AS lead_id, CAST(l_orderkey AS VARCHAR) AS email_id,
           'https://shop.test/p/' || l_partkey AS url, l_shipdate AS clicked_at, l_linenumber AS line
-        FROM lineitem WHERE l_returnflag = 'R'""",
+        FROM lineitem""",
     "clicked_emails": """
         SELECT e.*, coalesce(k.n, 0) AS click_count FROM emails e
         LEFT JOIN (SELECT email_id, count(*) AS n FROM clicks GROUP BY email_id) k ON k.email_id = e.id""",
@@ -125,9 +125,9 @@ VIEWS = {
         SELECT 'r' || conv_id || '-' || turn AS id,
           CASE WHEN conv_id % 9 <> 0 THEN 't' || conv_id * 20 END AS thread_id,
           CASE WHEN conv_id % 8 <> 0 THEN 'user' || conv_id || '@example.org' END AS sender,
-          CASE WHEN turn % 4 <> 0 THEN 'Re: ' || substring(text, 1, 100) END AS subject, text,
+          CASE WHEN turn % 4 <> 0 THEN 'Re: ' || role || ' ' || conv_id END AS subject, text,
           TIMESTAMP '2024-03-01 00:00:00' + to_minutes(conv_id) + to_seconds(turn) AS received_at
-        FROM conversations WHERE role = 'user'""",
+        FROM conversations""",
     "matched_replies": """
         SELECT r.*, e.campaign_id, e.lead_id, e.email_id FROM replies r LEFT JOIN (
           SELECT thread_id, campaign_id, lead_id, id AS email_id FROM emails
@@ -250,9 +250,19 @@ VIEWS = {
           JOIN emails e ON e.id = c.eid JOIN webhooks w ON w.id = c.webhook_id
           WHERE c.event_type <> 'message.received'
           QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY e.campaign_id, e.created_at, e.id) = 1)
+        UNION ALL SELECT email_id, campaign_id, arrived_at, id, 'replied', 'reply' FROM called_replies WHERE email_id IS NOT NULL
         UNION ALL SELECT email_id, campaign_id, received_at, id, 'replied', 'reply' FROM matched_replies WHERE email_id IS NOT NULL
         UNION ALL SELECT k.email_id, k.campaign_id, k.clicked_at, k.id, 'clicked', 'click' FROM clicks k
           JOIN emails e ON e.campaign_id = k.campaign_id AND e.id = k.email_id""",
+    "called_replies": """
+        SELECT 'reply-' || c.id AS id, e.campaign_id, e.lead_id, e.email_id, c.thread_id, 'm' || c.n AS message_id,
+          'user' || c.user_id || '@example.org' AS sender, 'Re: ' || c.n AS subject, 'text of ' || c.n AS text,
+          c.received_at - to_seconds(c.n % 400) AS received_at, c.received_at AS arrived_at
+        FROM (SELECT *, CAST(substring(thread_id, 2) AS BIGINT) AS user_id FROM calls WHERE event_type = 'message.received') c
+        JOIN webhooks w ON w.id = c.webhook_id LEFT JOIN (
+          SELECT thread_id, campaign_id, lead_id, id AS email_id FROM emails
+          QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY campaign_id, created_at, id) = 1
+        ) e ON e.thread_id = c.thread_id""",
     "counted": """
         SELECT campaign_id, count(*) FILTER (status <> '' AND status <> 'drafted') AS emails_sent,
           count(*) FILTER (status IN ('delivered', 'clicked', 'replied')) AS emails_delivered,
@@ -291,6 +301,9 @@ _CONTACT_SELECT = r"""
 VIEWS["contacts"] = _CONTACT_SELECT % {"where": "true"}
 
 _CALL_BODY = """CASE WHEN n % 10 = 0 THEN 'not json ' || n WHEN event_type IS NULL THEN props
+    WHEN carrier = 'message' THEN '{"event_type":"message.received","event_id":"' || provider_event_id || '","message":{"message_id":"'
+      || message_id || '","thread_id":"' || thread_id || '","from":"user' || substring(thread_id, 2) || '@example.org","subject":"Re: '
+      || n || '","text":"text of ' || n || '","timestamp":"' || strftime(received_at - to_seconds(n % 400), '%Y-%m-%dT%H:%M:%S.%fZ') || '"}}'
     ELSE '{"event_type":"' || event_type || '","event_id":"' || provider_event_id || '","' || carrier || '":{"message_id":"'
       || message_id || '","thread_id":"' || thread_id || '"}}' END"""
 
@@ -305,6 +318,25 @@ _CLICK_FEED = """SELECT 'click-' || k.id AS id, CAST(NULL AS VARCHAR) AS agent_i
       k.clicked_at AS created_at
     FROM clicks k LEFT JOIN campaigns c ON c.id = k.campaign_id"""
 
+# Every event judged against what was stored before it, one after the other: `judged`; what is left: `tail`.
+_SEEDED = """
+        WITH r AS (SELECT l.*, CASE l.status WHEN 'sent' THEN 1 WHEN 'delivered' THEN 2 WHEN 'clicked' THEN 3 WHEN 'replied' THEN 4 ELSE 0 END AS rnk,
+          CASE e.status WHEN 'sent' THEN 1 WHEN 'delivered' THEN 2 WHEN 'clicked' THEN 3 WHEN 'replied' THEN 4 ELSE 0 END AS stored, e.status AS before,
+          l.status IN ('bounced', 'complained', 'failed') AS resets,
+          sum(CASE WHEN l.status IN ('bounced', 'complained', 'failed') THEN 1 ELSE 0 END)
+            OVER (PARTITION BY l.email_id ORDER BY l."at", l.event_id ROWS UNBOUNDED PRECEDING) AS seg
+          FROM matched_log l JOIN emails e ON e.id = l.email_id),
+        judged AS (SELECT *, resets OR rnk >= greatest(CASE WHEN seg = 0 THEN stored ELSE 0 END,
+          coalesce(max(rnk) OVER (PARTITION BY email_id, seg ORDER BY "at", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS applied FROM r),
+        tail AS (SELECT email_id, coalesce(arg_max(status, ("at", event_id)) FILTER (applied), any_value(before)) AS status,
+          count(*) FILTER (kind = 'click') AS clicks, max("at") FILTER (kind = 'click') AS last_clicked_at,
+          max("at") FILTER (applied AND status = 'sent') AS sent_at, max("at") FILTER (applied AND status = 'delivered') AS delivered_at,
+          max("at") FILTER (applied AND status = 'bounced') AS bounced_at, max("at") FILTER (applied AND status = 'complained') AS complained_at,
+          max("at") FILTER (applied AND status = 'failed') AS failed_at FROM judged GROUP BY email_id),
+        replied AS (SELECT email_id, arg_max(received_at, (arrived, id)) AS received_at FROM (
+          SELECT email_id, received_at, arrived_at AS arrived, id FROM called_replies
+          UNION ALL SELECT email_id, received_at, received_at, id FROM matched_replies) GROUP BY email_id)"""
+
 _STATEMENTS = {
     "parse_webhook_events": f"SELECT id, webhook_id, is_json, event_type, agent, {_CALL_BODY} AS body, received_at FROM calls",
     "decode_click_tokens": """SELECT id, clicked_at, campaign_id, lead_id, CASE WHEN line <> 3 THEN email_id END AS email_id,
@@ -372,15 +404,22 @@ _STATEMENTS = {
         count(*) FILTER (kind = 'provider' AND applied AND status = 'bounced') AS emails_bounced,
         count(*) FILTER (kind = 'click') AS emails_clicked, count(*) FILTER (kind = 'reply') AS emails_replied FROM marked GROUP BY campaign_id""",
     "lifecycle_events": "SELECT * FROM matched_log",
-    "emails_with_status": """
-        WITH r AS (SELECT *, CASE status WHEN 'sent' THEN 1 WHEN 'delivered' THEN 2 WHEN 'clicked' THEN 3 WHEN 'replied' THEN 4 ELSE 0 END AS rnk,
-          sum(CASE WHEN status IN ('bounced', 'complained', 'failed') THEN 1 ELSE 0 END)
-            OVER (PARTITION BY email_id ORDER BY "at", event_id ROWS UNBOUNDED PRECEDING) AS seg FROM matched_log),
-        tail AS (SELECT email_id, CASE max(rnk) WHEN 1 THEN 'sent' WHEN 2 THEN 'delivered' WHEN 3 THEN 'clicked' WHEN 4 THEN 'replied'
-          ELSE max(status) END AS status FROM (SELECT *, max(seg) OVER (PARTITION BY email_id) AS last_seg FROM r) WHERE seg = last_seg GROUP BY email_id),
-        ticks AS (SELECT email_id, count(*) FILTER (kind = 'click') AS n, max("at") FILTER (kind = 'click') AS last_clicked_at FROM matched_log GROUP BY email_id)
-        SELECT e.id, coalesce(t.status, e.status) AS status, k.n AS click_count, k.last_clicked_at
-        FROM emails e LEFT JOIN tail t ON t.email_id = e.id LEFT JOIN ticks k ON k.email_id = e.id""",
+    "emails_with_status": f"""
+        {_SEEDED}
+        SELECT e.id, coalesce(t.status, e.status) AS status, nullif(coalesce(t.clicks, 0), 0) AS click_count, t.last_clicked_at,
+          t.sent_at, t.delivered_at, t.bounced_at, t.complained_at, t.failed_at,
+          (SELECT max(received_at) FROM replied WHERE replied.email_id = e.id) AS replied_at
+        FROM emails e LEFT JOIN tail t ON t.email_id = e.id""",
+    "extract_replies": """SELECT id, campaign_id, lead_id, email_id AS original_email_id, thread_id AS agentmail_thread_id,
+        message_id AS agentmail_message_id, sender AS "from", subject, text, received_at, arrived_at FROM called_replies""",
+    "event_counters_from_calls": f"""
+        {_SEEDED}
+        SELECT campaign_id, CAST(sum(delivered) AS BIGINT) AS emails_delivered, CAST(sum(bounced) AS BIGINT) AS emails_bounced,
+          CAST(sum(clicked) AS BIGINT) AS emails_clicked, CAST(sum(replied) AS BIGINT) AS emails_replied FROM (
+          SELECT campaign_id, (kind = 'provider' AND applied AND status = 'delivered')::INT AS delivered,
+            (kind = 'provider' AND applied AND status = 'bounced')::INT AS bounced, 0 AS clicked, (kind = 'reply')::INT AS replied
+          FROM judged WHERE kind <> 'click'
+          UNION ALL SELECT campaign_id, 0, 0, 1, 0 FROM clicks) GROUP BY campaign_id""",
     "campaign_summary": "SELECT * FROM summary ORDER BY created_at DESC NULLS LAST, id LIMIT 50",
     "outreach_totals": """SELECT count(*) AS campaigns, CAST(coalesce(sum(leads_imported), 0) AS BIGINT) AS leads,
         CAST(sum(emails_sent) AS BIGINT) AS sent, CAST(sum(emails_delivered) AS BIGINT) AS delivered,
@@ -467,8 +506,7 @@ _STATEMENTS = {
         ELSE '<p>' || replace(body_text, chr(10), '</p><p>') || '</p>' END AS body_html FROM emails""",
     "normalize_drafts": f"""
         SELECT doc_id, doc_id % 4 <> 1 AS ok,
-          CASE WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 5 = 0 OR {_trim("substring(text, 1, 40)")} = '' THEN 'Quick question'
-            ELSE {_trim("substring(text, 1, 40)")} END AS subject,
+          CASE WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 5 = 0 THEN 'Quick question' ELSE source || ' ' || doc_id END AS subject,
           CASE WHEN doc_id % 4 <> 1 THEN {_trim("text")} END AS body_text,
           CASE WHEN doc_id % 4 <> 1 THEN '' END AS body_html FROM documents""",
     "send_report": """
@@ -495,7 +533,7 @@ _STATEMENTS = {
         UNION ALL {_WEBHOOK_FEED}
         UNION ALL SELECT 'reply-' || id, NULL, 'email', 'Reply from ' || coalesce(sender, 'unknown') || ': '
             || substring(coalesce(subject, '(no subject)'), 1, 80),
-          '{{"reply_id":"' || id || '"' || CASE WHEN campaign_id IS NULL THEN '' ELSE ',"campaign_id":"' || campaign_id || '"' END || '}}',
+          '{{"reply_id":"' || id || '"' || CASE WHEN campaign_id IS NULL THEN ',"campaign_id":null' ELSE ',"campaign_id":"' || campaign_id || '"' END || '}}',
           received_at FROM matched_replies
         UNION ALL {_CLICK_FEED}
         UNION ALL SELECT 'submission-' || id, NULL, 'system', 'Form "' || form_slug || '" received a submission',
@@ -518,8 +556,8 @@ _STATEMENTS = {
           '{{"campaign_id":"' || campaign_id || '","lead_id":"' || lead_id || '","email_id":"' || id || '","framework":"'
             || coalesce(framework, 'one-off') || '","step":' || coalesce(sequence_position, 1) || '}}', created_at
           FROM emails WHERE source = 'agent_drafted'""",
-    "dedupe_feed": """SELECT DISTINCT id, agent_id, category, summary, details, created_at FROM (
-        SELECT * FROM (SELECT * FROM activity UNION ALL SELECT * FROM activity) ORDER BY created_at DESC, id LIMIT 20)""",
+    "dedupe_feed": """SELECT DISTINCT id, agent_id, category, summary, details, created_at FROM activity
+        ORDER BY created_at DESC, id LIMIT 20""",
     "route_activity": """SELECT id, CASE n % 8 WHEN 0 THEN '/outreach/' || user_id WHEN 1 THEN '/inbox'
         WHEN 2 THEN CASE WHEN category = 'content' THEN CASE WHEN n % 3 = 0 THEN '/pages' ELSE '/forms/s' || user_id END END
         WHEN 3 THEN '/tasks' WHEN 4 THEN '/voice' WHEN 5 THEN '/voice' END AS route,
@@ -582,21 +620,23 @@ _STATEMENTS = {
     "stream_activity_feed": f"""{_WEBHOOK_FEED} UNION ALL
         SELECT * FROM ({_CLICK_FEED}) WHERE id NOT LIKE '%-1' AND id NOT LIKE '%-2' AND id NOT LIKE '%-3'""",
     "stream_status_from_calls": """
-        WITH p AS (SELECT *, CASE status WHEN 'sent' THEN 1 WHEN 'delivered' THEN 2 ELSE 0 END AS rnk,
+        WITH p AS (SELECT *, CASE status WHEN 'sent' THEN 1 WHEN 'delivered' THEN 2 WHEN 'replied' THEN 4 ELSE 0 END AS rnk,
           sum(CASE WHEN status IN ('bounced', 'complained', 'failed') THEN 1 ELSE 0 END)
-            OVER (PARTITION BY email_id ORDER BY "at", event_id ROWS UNBOUNDED PRECEDING) AS seg FROM matched_log WHERE kind = 'provider')
-        SELECT email_id, CASE max(rnk) FILTER (seg = last_seg) WHEN 1 THEN 'sent' WHEN 2 THEN 'delivered'
+            OVER (PARTITION BY email_id ORDER BY "at", event_id ROWS UNBOUNDED PRECEDING) AS seg FROM matched_log
+          WHERE kind = 'provider' OR starts_with(event_id, 'reply-'))
+        SELECT email_id, CASE max(rnk) FILTER (seg = last_seg) WHEN 1 THEN 'sent' WHEN 2 THEN 'delivered' WHEN 4 THEN 'replied'
           ELSE max(status) FILTER (seg = last_seg) END AS status, count(*) AS events
         FROM (SELECT *, max(seg) OVER (PARTITION BY email_id) AS last_seg FROM p) GROUP BY email_id""",
     "stream_clicks": """SELECT email_id, count(*) AS click_count, max(clicked_at) AS last_clicked_at FROM clicks
         WHERE line > 3 GROUP BY email_id""",
     "webhook_health": """
         WITH probes AS (SELECT CAST(event_id AS VARCHAR) AS probe_id, 'w' || user_id % 7 AS webhook_id,
-          ts - to_seconds(event_id % 20) AS since FROM events WHERE event_type = 'signup')
+          ts - to_seconds(event_id % 20) AS since FROM events)
         SELECT p.probe_id, p.webhook_id, count(c.id) AS new_events, count(c.id) > 0 AS ok
         FROM probes p LEFT JOIN calls c ON c.webhook_id = p.webhook_id AND c.received_at >= p.since
           AND c.received_at < p.since + INTERVAL 15 SECOND GROUP BY p.probe_id, p.webhook_id""",
-    "stream_dedupe_deliveries": """SELECT DISTINCT CASE WHEN event_type IS NOT NULL THEN provider_event_id END AS event_id FROM calls""",
+    "stream_dedupe_deliveries": """SELECT DISTINCT CASE WHEN event_type IS NOT NULL THEN provider_event_id END AS event_id,
+        CASE WHEN event_type IS NULL THEN id END AS id FROM calls""",
 }
 _STATEMENTS["stream_email_status"] = _STATEMENTS["fold_email_status"]
 _STATEMENTS["stream_applied_events"] = _STATEMENTS["applied_events"]

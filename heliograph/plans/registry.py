@@ -12,7 +12,7 @@ from heliograph.operators import (
     boards, correlation, feed, funnel, leads, lifecycle, ordering, pages, sequence, sessions, snapshots,
 )
 from heliograph.plans import views as v
-from heliograph.session import configure
+from heliograph.session import configure, scratch_path
 from heliograph.sources import ingest
 from heliograph.streaming import jobs, sinks
 
@@ -205,33 +205,58 @@ def event_counters(spark, sf):
 
 
 def _match_calls(calls: DataFrame, webhooks: DataFrame, mails: DataFrame) -> DataFrame:
-    """Stored webhook calls to lifecycle events of e-mails."""
+    """Stored webhook calls to the provider's lifecycle events of e-mails."""
     routed = correlation.route_events(calls, webhooks)
     provider = correlation.classify_event(correlation.extract_message_ids(routed))
     return correlation.correlate_events(provider.select("id", "message_id", "thread_id", "status", "received_at"), mails)
 
 
+def _match_replies(calls: DataFrame, webhooks: DataFrame, mails: DataFrame) -> DataFrame:
+    """Stored webhook calls to inbound replies with their e-mails."""
+    return correlation.correlate_replies(correlation.extract_replies(correlation.route_events(calls, webhooks)), mails)
+
+
+@query
+def extract_replies(spark, sf):
+    return _match_replies(_webhook_events(spark, sf), v.webhooks(spark, sf), v.emails(spark, sf)).select(
+        "id", "campaign_id", "lead_id", "original_email_id", "agentmail_thread_id", "agentmail_message_id",
+        "from", "subject", "text", "received_at", "arrived_at",
+    )
+
+
 def _matched_log(spark: SparkSession, sf: str) -> DataFrame:
     """The event log from raw webhook calls, clicks and replies."""
-    mails = v.emails(spark, sf)
+    calls, hooks, mails = _webhook_events(spark, sf), v.webhooks(spark, sf), v.emails(spark, sf)
+    called = _match_replies(calls, hooks, mails)
+    stored = correlation.correlate_replies(v.replies(spark, sf), mails)
     return lifecycle.lifecycle_events(
-        _match_calls(_webhook_events(spark, sf), v.webhooks(spark, sf), mails),
-        correlation.correlate_replies(v.replies(spark, sf), mails),
+        _match_calls(calls, hooks, mails),
+        called.unionByName(stored, allowMissingColumns=True).withColumn(
+            "arrived_at", F.coalesce("arrived_at", "received_at")
+        ),
         correlation.attribute_clicks(v.clicks(spark, sf), mails),
     )
 
 
+@query
+def event_counters_from_calls(spark, sf):
+    """Campaign counters from all that was received, on top of the stored e-mails."""
+    stored = v.emails(spark, sf).select(F.col("id").alias("email_id"), lifecycle.status_rank(F.col("status")).alias("rank"))
+    counters = lifecycle.event_counters(lifecycle.mark_applied(_matched_log(spark, sf), entered=stored))
+    return lifecycle.count_logged_clicks(counters, v.clicks(spark, sf))
+
+
 @query
 def lifecycle_events(spark, sf):
-    return _matched_log(spark, sf)
+    return _matched_log(spark, sf).drop("stamp")
 
 
 @query
 def emails_with_status(spark, sf):
     """E-mails after all that was received about them."""
-    folded = lifecycle.fold_email_status(_matched_log(spark, sf))
-    return lifecycle.with_status(v.emails(spark, sf), folded).select(
-        "id", "status", "click_count", "last_clicked_at"
+    return lifecycle.with_status(v.emails(spark, sf), _matched_log(spark, sf)).select(
+        "id", "status", "click_count", "last_clicked_at", "sent_at", "delivered_at", "bounced_at", "complained_at",
+        "failed_at", "replied_at",
     )
 
 
@@ -325,7 +350,7 @@ def select_sendable(spark, sf):
 
 @query
 def select_sendable_by_ids(spark, sf):
-    wanted = v.table(spark, sf, "lineitem").filter("l_returnflag = 'R'").selectExpr("CAST(l_orderkey AS STRING) AS id")
+    wanted = v.table(spark, sf, "lineitem").selectExpr("CAST(l_orderkey AS STRING) AS id")
     return sequence.select_sendable(v.emails(spark, sf), ids=wanted).select("id", "campaign_id", "lead_id")
 
 
@@ -528,8 +553,9 @@ def stream_email_status(spark, sf):
 def stream_status_from_calls(spark, sf):
     """Raw webhook calls to the status of the e-mails they are about, in one streaming query."""
     calls = ingest.parse_webhook_events(v.raw_webhook_calls(v.stream(spark, sf, "events", STREAM_BATCH_BYTES)))
-    matched = _match_calls(calls, v.webhooks(spark, sf), v.emails(spark, sf))
-    status = jobs.stream_email_status(lifecycle.lifecycle_events(matched))
+    hooks, mails = v.webhooks(spark, sf), v.emails(spark, sf)
+    log = lifecycle.lifecycle_events(_match_calls(calls, hooks, mails), _match_replies(calls, hooks, mails))
+    status = jobs.stream_email_status(log)
     return sinks.latest_per_key(sinks.run_available(spark, status, "update"), ["email_id"]).select(
         "email_id", "status", "events"
     )
@@ -538,16 +564,14 @@ def stream_status_from_calls(spark, sf):
 @query
 def stream_applied_events(spark, sf):
     events = v.lifecycle_with_campaign(v.stream(spark, sf, "events", STREAM_BATCH_BYTES))
-    marked = sinks.run_available(spark, jobs.stream_marked_events(events))
+    marked = sinks.run_available(spark, events, transform=jobs.arrival_order_marker(spark, scratch_path(spark, "ranks")))
     return marked.filter("applied").drop("applied", "batch_id", "campaign_id")
 
 
 @query
 def stream_campaign_counters(spark, sf):
     events = v.lifecycle_with_campaign(v.stream(spark, sf, "events", STREAM_BATCH_BYTES))
-    batches = sinks.run_available(
-        spark, jobs.stream_marked_events(events), transform=jobs.campaign_increments
-    )
+    batches = sinks.run_available(spark, events, transform=jobs.marked_increments(spark, scratch_path(spark, "ranks")))
     return sinks.summed_per_key(batches, ["campaign_id"])
 
 
@@ -573,7 +597,7 @@ def stream_clicks(spark, sf):
 def webhook_health(spark, sf):
     events = v.raw_webhook_calls(v.stream(spark, sf, "events", STREAM_BATCH_BYTES))
     probes = v.probes(spark, sf)
-    arrived = sinks.run_available(spark, events, transform=lambda batch: jobs.probe_arrivals(batch, probes))
+    arrived = sinks.run_available(spark, events, transform=lambda batch, _: jobs.probe_arrivals(batch, probes))
     return jobs.webhook_health(probes, sinks.summed_per_key(arrived, ["probe_id"]))
 
 
@@ -581,4 +605,6 @@ def webhook_health(spark, sf):
 def stream_dedupe_deliveries(spark, sf):
     calls = ingest.parse_webhook_events(v.raw_webhook_calls(v.stream(spark, sf, "events", STREAM_BATCH_BYTES)))
     events = calls.withColumn("event_id", F.col("event.event_id")).select("id", "event_id", "received_at")
-    return sinks.run_available(spark, correlation.dedupe_deliveries(events)).select("event_id").distinct()
+    kept = sinks.run_available(spark, correlation.dedupe_deliveries(events))
+    # Which delivery of an event comes in first is up to the files; that there is one is not.
+    return kept.select("event_id", F.when(F.col("event_id").isNull(), F.col("id")).alias("id"))

@@ -129,7 +129,7 @@ def emails(spark: SparkSession, sf: str) -> DataFrame:
 
 def clicks(spark: SparkSession, sf: str) -> DataFrame:
     """Tracked clicks; the campaign is right for some and wrong for most."""
-    return table(spark, sf, "lineitem").filter("l_returnflag = 'R'").selectExpr(
+    return table(spark, sf, "lineitem").selectExpr(
         "concat(l_orderkey, '-', l_linenumber) AS id",
         "CAST(l_suppkey % 25 AS STRING) AS campaign_id",
         "CAST(l_partkey AS STRING) AS lead_id",
@@ -144,14 +144,15 @@ def emails_with_clicks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def click_tokens(lineitem: DataFrame) -> DataFrame:
-    """Tokens of the returned items: a seventh is garbage, others lack the address or the e-mail."""
+    """Tokens of all items: a seventh is garbage, others lack the address or the e-mail or hold a
+    character that doesn't belong there."""
     line = F.col("l_linenumber")
     email = F.when(line != 3, F.col("l_orderkey").cast("string"))
     url = F.when(line != 2, F.concat(F.lit("https://shop.test/p/"), F.col("l_partkey").cast("string")))
     token = encode_click_token(F.col("l_suppkey") % 25, F.col("l_partkey"), email, url)
-    return lineitem.filter("l_returnflag = 'R'").select(
+    return lineitem.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), line.cast("string")).alias("id"),
-        F.when(line == 1, F.concat(F.lit("!"), token)).otherwise(token).alias("token"),
+        F.when(line == 1, F.concat(F.lit("x"), token)).when(line == 4, F.concat(F.lit("!"), token)).otherwise(token).alias("token"),
         F.col("l_shipdate").cast("timestamp").alias("clicked_at"),
     )
 
@@ -195,6 +196,13 @@ def raw_webhook_calls(events: DataFrame) -> DataFrame:
         "CASE event_id % 3 WHEN 0 THEN 'message.bounced' WHEN 1 THEN 'message.complained' ELSE 'message.rejected' END"
     )
     error_key = "CASE event_id % 3 WHEN 0 THEN 'bounce' WHEN 1 THEN 'complaint' ELSE 'rejection' END"
+    # A mail states a time up to 400 seconds before its call.
+    mail = (
+        "concat('{\"event_type\":\"message.received\",\"event_id\":\"', event_id % 9000, '\",\"message\":{\"message_id\":\"m',"
+        " event_id, '\",\"thread_id\":\"t', user_id, '\",\"from\":\"user', user_id, '@example.org\",\"subject\":\"Re: ', event_id,"
+        " '\",\"text\":\"text of ', event_id, '\",\"timestamp\":\"',"
+        " date_format(ts - make_interval(0, 0, 0, 0, 0, 0, event_id % 400), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\"), '\"}}')"
+    )
     return events.selectExpr(
         "CAST(event_id AS STRING) AS id",
         "concat('w', user_id % 7) AS webhook_id",
@@ -203,7 +211,7 @@ def raw_webhook_calls(events: DataFrame) -> DataFrame:
         " WHEN event_type = 'signup' THEN " + typed % ("'message.sent'", "'send'") +
         " WHEN event_type = 'view' THEN " + typed % ("'message.delivered'", "'delivery'") +
         " WHEN event_type = 'error' THEN " + typed % (error_type, error_key) +
-        " WHEN event_type = 'purchase' THEN " + typed % ("'message.received'", "'message'") +
+        " WHEN event_type = 'purchase' THEN " + mail +
         " ELSE props END AS raw_body",
         "CAST(ts AS TIMESTAMP) AS received_at",
     )
@@ -219,12 +227,12 @@ def webhooks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf: str) -> DataFrame:
-    """User turns as inbound replies; some threads are unknown."""
-    return table(spark, sf, "conversations").filter("role = 'user'").selectExpr(
+    """Turns as inbound replies; some threads are unknown."""
+    return table(spark, sf, "conversations").selectExpr(
         "concat('r', conv_id, '-', turn) AS id",
         "CASE WHEN conv_id % 9 <> 0 THEN concat('t', conv_id * 20) END AS agentmail_thread_id",
         "CASE WHEN conv_id % 8 <> 0 THEN concat('user', conv_id, '@example.org') END AS `from`",
-        "CASE WHEN turn % 4 <> 0 THEN concat('Re: ', substring(text, 1, 100)) END AS subject",
+        "CASE WHEN turn % 4 <> 0 THEN concat('Re: ', role, ' ', conv_id) END AS subject",
         "text",
         "CAST(timestamp_ntz'2024-03-01 00:00:00' + make_interval(0, 0, 0, 0, 0, conv_id, turn) AS TIMESTAMP) AS received_at",
     )
@@ -362,7 +370,7 @@ def model_answers(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents as model answers: plain JSON, fenced JSON, or no JSON."""
     payload = F.to_json(
         F.struct(
-            F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("  "), F.substring("text", 1, 40))).alias("subject"),
+            F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("  "), F.col("source"), F.lit(" "), F.col("doc_id"))).alias("subject"),
             F.concat(F.col("text"), F.lit("\n ")).alias("body_text"),
         )
     )
@@ -455,8 +463,8 @@ def invitations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def probes(spark: SparkSession, sf: str) -> DataFrame:
-    """A health probe up to 19 seconds before each `signup`, so that some see it arrive in time."""
-    return table(spark, sf, "events").filter("event_type = 'signup'").selectExpr(
+    """A health probe up to 19 seconds before each event, so that some see it arrive in time."""
+    return table(spark, sf, "events").selectExpr(
         "CAST(event_id AS STRING) AS probe_id",
         "concat('w', user_id % 7) AS webhook_id",
         "CAST(ts - make_interval(0, 0, 0, 0, 0, 0, event_id % 20) AS TIMESTAMP) AS since",

@@ -19,6 +19,12 @@ def _stored_schema(entity: str, schema: StructType | None) -> tuple[StructType,
     return inside, (full[key] if key in full.fieldNames() else None)
 
 
+def _line_schema(key: StructField | None) -> StructType:
+    """A line of text and the key of its folder, whose type must not be guessed: `007` is no number."""
+    line = StructType().add("value", "string")
+    return line if key is None else line.add(key)
+
+
 def _parse_documents(lines: DataFrame, inside: StructType, key: StructField | None) -> DataFrame:
     """One JSON document per line; lines that are not JSON objects are skipped.
 
@@ -43,7 +49,7 @@ def read_entity(
     """Scan one store, or only the part under one key prefix, which prunes the other folders."""
     inside, key = _stored_schema(entity, schema)
     if fmt == "json":
-        df = _parse_documents(spark.read.text(path), inside, key)
+        df = _parse_documents(spark.read.schema(_line_schema(key)).text(path), inside, key)
     else:
         whole = StructType([*inside.fields, *([key] if key is not None else [])])
         df = spark.read.schema(whole).parquet(path)
@@ -64,8 +70,7 @@ def stream_entity(
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if fmt == "json":
-        text = StructType().add("value", "string")
-        lines = reader.schema(text if key is None else text.add(key)).text(path)
+        lines = reader.schema(_line_schema(key)).text(path)
         return _parse_documents(lines, inside, key)
     return reader.schema(StructType([*inside.fields, *([key] if key is not None else [])])).parquet(path)
 

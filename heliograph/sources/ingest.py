@@ -67,17 +67,20 @@ def parse_submissions(raw: DataFrame, forms: DataFrame) -> DataFrame:
     )
 
 
-def import_scraped_leads(raw: DataFrame, campaigns: DataFrame) -> DataFrame:
+# Fixed value: no search plan asks for more results than this.
+MOST_RESULTS = 200
+
+
+def import_scraped_leads(raw: DataFrame, campaigns: DataFrame, most: int = MOST_RESULTS) -> DataFrame:
     """`(campaign_id, item_no, item)` to new leads, at most `maxResults` per campaign's plan.
 
-    The first items win. The largest limit of all plans is looked up beforehand, one number, so that
-    Spark can cut each task's items per campaign before the shuffle. Each campaign's own limit follows.
+    The first items win. Plans are clamped to `most`, so Spark can cut each task's items per campaign to
+    that many before the shuffle. Each campaign's own limit follows.
     """
     limits = campaigns.select(
         F.col("id").alias("campaign_id"), F.col("structured_query.maxResults").alias("_limit")
     )
-    largest = limits.agg(F.max("_limit")).first()[0] or 0
-    first = top_per_group(raw, ["campaign_id"], ["item_no", "item"], largest)
+    first = top_per_group(raw, ["campaign_id"], ["item_no", "item"], most)
     kept = first.join(limits, "campaign_id").filter("_rn <= _limit")
     return normalize_leads(kept).select(
         F.concat_ws("-", F.lit("lead"), F.col("campaign_id"), F.col("_rn").cast("string")).alias("id"),

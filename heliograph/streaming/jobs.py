@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from heliograph.operators.correlation import click_stats
 from heliograph.operators.feed import activity_feed
-from heliograph.operators.lifecycle import NEGATIVE, STATUS_RANK, event_counters, fold_email_status
+from heliograph.operators.lifecycle import event_counters, fold_email_status, mark_applied, ranks_after
 from heliograph.sources.ingest import decode_click_tokens
 
 PROBE_SECONDS = 15
 
-MARKED_DDL = """email_id STRING, campaign_id STRING, at TIMESTAMP, event_id STRING, status STRING,
-    kind STRING, applied BOOLEAN"""
-
 
 def stream_email_status(events: DataFrame) -> DataFrame:
     """Status per e-mail, in update mode: the batch fold as it is.
@@ -30,43 +25,28 @@ def stream_email_status(events: DataFrame) -> DataFrame:
     return fold_email_status(events)
 
 
-def _arrival_order_marker() -> Callable[[tuple[str], Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """The state handler. It is made inside a function, so it travels to the executors by value and
-    they need nothing but pandas."""
-    def mark(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Judge the new events of one e-mail, starting from the rank it has reached."""
-        new = pd.concat(list(batches), ignore_index=True).sort_values(["at", "event_id"], kind="stable")
-        rank = new["status"].map(STATUS_RANK).fillna(0).astype("int32")
-        reset = (new["kind"] == "ack") | new["status"].isin(NEGATIVE)
-        segment = reset.cumsum()
-        reached = rank.groupby(segment).cummax()
-        entered = state.get[0] if state.exists else 0
-        first = segment == 0
-        reached[first] = reached[first].clip(lower=entered)
-        before = reached.groupby(segment).shift(1)
-        before[first] = before[first].fillna(entered)
-        state.update((int(reached.iloc[-1]),))
-        columns = ["email_id", "campaign_id", "at", "event_id", "status", "kind", "applied"]
-        yield new.assign(applied=reset | (rank >= before.fillna(0)))[columns]
+def arrival_order_marker(spark: SparkSession, state: str) -> Callable[[DataFrame, int], DataFrame]:
+    """What makes micro-batches of events into events with `applied`, judged in order of arrival.
 
-    return mark
+    The ranks that e-mails have reached are a table, written anew under `state` with each batch, and the
+    next batch enters with them; its own events are judged by the batch operator. A batch that is run again
+    finds the ranks of the batch before it and overwrites its own.
+    """
+    schema = "email_id STRING, rank INT"
+
+    def mark(batch: DataFrame, batch_id: int) -> DataFrame:
+        before = f"{state}/before={batch_id}"
+        entered = spark.read.schema(schema).parquet(before) if batch_id else spark.createDataFrame([], schema)
+        ranks_after(batch, entered).write.mode("overwrite").parquet(f"{state}/before={batch_id + 1}")
+        return mark_applied(batch, entered=entered)
 
+    return mark
 
-def stream_marked_events(events: DataFrame) -> DataFrame:
-    """Events with `applied`, judged in order of arrival, in append mode.
 
-    Whether an event took effect depends on the one before it, which no built-in aggregate keeps, so
-    a small state handler does it. One call holds the events of one e-mail in one micro-batch: the
-    source's admission limit (`maxFilesPerTrigger`, `maxOffsetsPerTrigger`) bounds it.
-    """
-    columns = ["email_id", "campaign_id", "at", "event_id", "status", "kind"]
-    return (
-        events.select(*columns)
-        .groupBy("email_id")
-        .applyInPandasWithState(
-            _arrival_order_marker(), MARKED_DDL, "reached INT", "append", GroupStateTimeout.NoTimeout
-        )
-    )
+def marked_increments(spark: SparkSession, state: str) -> Callable[[DataFrame, int], DataFrame]:
+    """The same, reduced to the increments of the campaign counters."""
+    mark = arrival_order_marker(spark, state)
+    return lambda batch, batch_id: campaign_increments(mark(batch, batch_id))
 
 
 def campaign_increments(marked_batch: DataFrame) -> DataFrame:

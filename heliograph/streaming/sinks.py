@@ -17,7 +17,7 @@ def stream_sink(
     checkpoint: str,
     output_mode: str = "append",
     interval: str | None = None,
-    transform: Callable[[DataFrame], DataFrame] | None = None,
+    transform: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Keep a table up to date from a stream.
 
@@ -26,7 +26,7 @@ def stream_sink(
     there and stops.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch if transform is None else transform(batch)
+        rows = batch if transform is None else transform(batch, batch_id)
         rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = df.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint).foreachBatch(write)
@@ -56,13 +56,14 @@ def run_available(
     spark: SparkSession,
     df: DataFrame,
     output_mode: str = "append",
-    transform: Callable[[DataFrame], DataFrame] | None = None,
+    transform: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
-    """Run a stream over what is there now, in the shared folder, and return the written batches."""
+    """Run a stream over what is there now, in the shared folder, and return the written batches.
+    `transform` gets each micro-batch with its number."""
     base = scratch_path(spark, "stream")
     # A stream without input runs no batch; the empty one gives the table its columns.
     none = spark.createDataFrame([], df.schema)
-    (none if transform is None else transform(none)).write.parquet(f"{base}/table/batch_id=-1")
+    (none if transform is None else transform(none, 0)).write.parquet(f"{base}/table/batch_id=-1")
     query = stream_sink(df, f"{base}/table", f"{base}/checkpoint", output_mode, transform=transform)
     query.awaitTermination()
     return read_batches(spark, f"{base}/table")

@@ -50,23 +50,24 @@ def test_status_over_batches(spark, event_files):
     assert rows(sinks.latest_per_key(out, ["email_id"])) == rows(batch)
 
 
-def test_marked_events_over_batches(spark, event_files):
-    out = sinks.run_available(spark, jobs.stream_marked_events(stream(spark, event_files))).drop("batch_id")
+def test_marked_events_over_batches(spark, event_files, tmp_path):
+    marker = jobs.arrival_order_marker(spark, str(tmp_path))
+    out = sinks.run_available(spark, stream(spark, event_files), transform=marker).drop("batch_id")
     batch = lifecycle.mark_applied(spark.read.parquet(f"{event_files}/*"))
     assert rows(out) == rows(batch.select(out.columns))
 
 
-def test_campaign_counters_over_batches(spark, event_files):
-    marked = jobs.stream_marked_events(stream(spark, event_files))
-    out = sinks.run_available(spark, marked, transform=jobs.campaign_increments)
+def test_campaign_counters_over_batches(spark, event_files, tmp_path):
+    increments = jobs.marked_increments(spark, str(tmp_path))
+    out = sinks.run_available(spark, stream(spark, event_files), transform=increments)
     batch = lifecycle.event_counters(lifecycle.mark_applied(spark.read.parquet(f"{event_files}/*")))
     assert rows(sinks.summed_per_key(out, ["campaign_id"])) == rows(batch)
 
 
 def test_a_batch_run_again_leaves_no_duplicates(spark, event_files, tmp_path):
     def start():
-        marked = jobs.stream_marked_events(stream(spark, event_files)).drop("applied")
-        return sinks.stream_sink(marked, f"{tmp_path}/table", f"{tmp_path}/checkpoint")
+        marker = jobs.arrival_order_marker(spark, f"{tmp_path}/ranks")
+        return sinks.stream_sink(stream(spark, event_files), f"{tmp_path}/table", f"{tmp_path}/checkpoint", transform=marker)
 
     start().awaitTermination()
     first = rows(sinks.read_batches(spark, f"{tmp_path}/table"))
@@ -90,6 +91,16 @@ def test_redeliveries_across_batches(spark, tmp_path):
     assert sorted(r["id"] for r in out.collect()) == ["a", "b0", "b1"]
 
 
+def test_a_late_call_is_not_a_redelivery(spark, tmp_path):
+    hours = lambda n: START - datetime.timedelta(hours=n)
+    for i, row in enumerate([("x", hours(0)), ("y", hours(0)), ("z", hours(5))]):
+        spark.createDataFrame([(row[0], row[0], row[1])], "id string, event_id string, received_at timestamp").coalesce(1).write.parquet(f"{tmp_path}/f{i}")
+    schema = "id string, event_id string, received_at timestamp"
+    calls = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*")
+    out = sinks.run_available(spark, dedupe_deliveries(calls))
+    assert sorted(r["id"] for r in out.collect()) == ["x", "y", "z"]
+
+
 def test_probe_window(spark):
     second = datetime.timedelta(seconds=1)
     events = spark.createDataFrame(
@@ -134,15 +145,3 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         session.shared_folder(Cluster())
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
-
-
-def test_the_state_handler_needs_no_package_on_executors(tmp_path):
-    import subprocess
-    import sys
-
-    from pyspark import cloudpickle
-
-    (tmp_path / "handler").write_bytes(cloudpickle.dumps(jobs._arrival_order_marker()))
-    code = "import pickle, sys; pickle.load(open('handler', 'rb')); assert 'heliograph' not in sys.modules"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
-    assert done.returncode == 0, done.stderr
