@@ -556,6 +556,53 @@ _STATEMENTS = {
           '{{"campaign_id":"' || campaign_id || '","lead_id":"' || lead_id || '","email_id":"' || id || '","framework":"'
             || coalesce(framework, 'one-off') || '","step":' || coalesce(sequence_position, 1) || '}}', created_at
           FROM emails WHERE source = 'agent_drafted'""",
+    "activity_feed_changes": """
+        SELECT 'move-' || id AS id, assignee_id AS agent_id, 'task' AS category, 'Task "' || title || '" → ' || coalesce(status, 'todo') AS summary,
+          CAST(NULL AS VARCHAR) AS details, created_at FROM tasks
+        UNION ALL SELECT 'convert-' || id, NULL, 'decision', title || ' converted to task', '{"task_id":"' || id || '","reply_id":"r' || id || '"}', created_at FROM tasks
+        UNION ALL SELECT 'agent-deleted-' || id, NULL, 'system', 'Agent ' || id || ' deleted', NULL, created_at FROM agents
+        UNION ALL SELECT 'session-' || id, NULL, 'system', 'Voice session ' || id, '{"session_id":"' || id || '"}', ended_at FROM sessions
+        UNION ALL SELECT 'page-update-' || slug, NULL, 'content', 'Landing page "' || CASE WHEN linked_form_slug IS NULL THEN slug ELSE title END
+          || '" updated (' || CASE WHEN linked_form_slug IS NULL THEN 'no fields' ELSE 'title, theme' END || ')',
+          '{"slug":"' || slug || '","changed":' || CASE WHEN linked_form_slug IS NULL THEN '[]' ELSE '["title","theme"]' END || '}',
+          TIMESTAMP '2024-01-05 00:00:00' FROM site_pages
+        UNION ALL SELECT 'scrape-start-' || id, NULL, 'research', 'Apify run started for "' || name || '"',
+          '{"campaign_id":"' || id || '","apify_run_id":"run' || id || '"}', created_at FROM campaigns
+        UNION ALL SELECT 'scrape-' || id, NULL, 'research', 'Apify scrape complete: ' || coalesce(leads_imported, 0) || ' leads imported for "' || name || '"',
+          '{"campaign_id":"' || id || '","imported":' || coalesce(leads_imported, 0) || '}', created_at FROM campaigns
+        UNION ALL SELECT 'drafts-' || id, NULL, 'content', 'Drafted ' || emails_clicked || ' emails for "' || name || '"',
+          '{"campaign_id":"' || id || '","generated":' || emails_clicked || ',"errors":' || emails_bounced || '}', created_at FROM campaigns
+        UNION ALL SELECT 'send-' || id, NULL, 'email', 'Sent ' || coalesce(emails_sent, 0) || ' of ' || emails_delivered || ' emails for "' || name || '"',
+          '{"campaign_id":"' || id || '","sent":' || coalesce(emails_sent, 0) || ',"errors":' || emails_bounced || '}', created_at FROM campaigns""",
+    "new_entries": """SELECT id, agent_id, category, summary, details, created_at FROM (SELECT * FROM activity ORDER BY created_at DESC, id LIMIT 1)
+        WHERE id NOT IN (SELECT id FROM activity WHERE created_at < (SELECT max(created_at) FROM activity) - INTERVAL 1 DAY ORDER BY created_at DESC, id LIMIT 5)""",
+    "feed_active": """SELECT max(created_at) AS newest_at, coalesce(TIMESTAMP '2024-01-05 00:00:00' - max(created_at) < INTERVAL 60 SECOND, false) AS active FROM activity""",
+    "inbox": """SELECT sender AS "from", subject, substring(coalesce(text, ''), 1, 280) AS preview, received_at, campaign_id FROM matched_replies""",
+    "tabulate_form": """SELECT received_at, nullif(k, '') AS "Key", nullif(e_mail, '') AS "E-Mail", id FROM submissions WHERE form_slug = 'form-3'""",
+    "agent_directory": """
+        SELECT id, substring(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 32) || '-' || substring(id, 1, 4) AS sign_in_name,
+          CASE WHEN last_heartbeat IS NULL THEN 'never' ELSE '5h ago' END AS seen,
+          'key-' || repeat('•', length(name) - 4) || right(name, 4) AS secret, repeat('•', length(id)) AS short_secret,
+          repeat('•', length(name)) || right(name, 4) AS listed FROM agents""",
+    "publish_pages": """SELECT * FROM (SELECT page_id, nullif(regexp_replace(regexp_replace(lower(url), '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g'), '') AS slug
+        FROM pages) WHERE slug IS NOT NULL""",
+    "event_properties": "SELECT event_id, nullif(json_extract_string(props, '$.k'), '') AS k FROM events",
+    "send_report_of_runs": """
+        SELECT c.id AS campaign_id, coalesce(s.sent, 0) AS sent, coalesce(s.total, 0) AS total, coalesce(s.errors, 0) AS errors,
+          CASE WHEN coalesce(s.sent, 0) > 0 THEN 'completed' ELSE 'failed' END AS status FROM campaigns c LEFT JOIN (
+          SELECT campaign_id, count(*) FILTER (ok) AS sent, count(*) AS total, count(*) FILTER (NOT ok) AS errors
+          FROM (SELECT campaign_id, CAST(campaign_id AS INTEGER) % 5 <> 0 AND CAST(id AS BIGINT) % 10 <> 0 AS ok
+            FROM emails WHERE status = 'drafted') GROUP BY campaign_id) s ON s.campaign_id = c.id""",
+    "normalize_steps": """
+        WITH d AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE o_orderkey % 5 WHEN 0 THEN 'pas' WHEN 1 THEN 'aida' ELSE 'one-off' END AS framework,
+          CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 9 - 1.5 END AS s, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 8 + 0.5 END AS t FROM orders)
+        SELECT id, framework, CAST(CASE WHEN s BETWEEN 1 AND 5 THEN floor(s) ELSE 1 END AS INTEGER) AS step,
+          CAST(CASE WHEN t BETWEEN 1 AND 5 THEN floor(t) WHEN framework = 'one-off' THEN 1 ELSE 3 END AS INTEGER) AS total_steps, 'model' AS "by" FROM d
+        UNION ALL SELECT id, framework, CAST(CASE WHEN s >= 1 THEN floor(s) ELSE 1 END AS INTEGER),
+          CAST(CASE WHEN t >= 1 THEN floor(t) WHEN s >= 1 THEN floor(s) ELSE 1 END AS INTEGER), 'agent' FROM d""",
+    "outbound_headers": """
+        SELECT id, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN to_name ELSE split_part(to_email, '@', 1) END AS to_name, split_part(to_email, '@', 1) AS mailbox,
+          replace(replace(replace(replace(replace(body_html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS escaped FROM emails""",
     "dedupe_feed": """SELECT DISTINCT id, agent_id, category, summary, details, created_at FROM activity
         ORDER BY created_at DESC, id LIMIT 20""",
     "route_activity": """SELECT id, CASE n % 8 WHEN 0 THEN '/outreach/' || user_id WHEN 1 THEN '/inbox'

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, TimestampType
 
+from heliograph.functions import html, text
 from heliograph.operators import (
     boards, correlation, feed, funnel, leads, lifecycle, ordering, pages, sequence, sessions, snapshots,
 )
@@ -375,6 +376,31 @@ def send_report(spark, sf):
     return sequence.send_report(v.send_results(spark, sf))
 
 
+@query
+def send_report_of_runs(spark, sf):
+    """The report for all campaigns that were run, those with nothing to send too."""
+    runs = v.campaigns(spark, sf).select(F.col("id").alias("campaign_id"))
+    return sequence.send_report(v.send_results(spark, sf), runs)
+
+
+@query
+def normalize_steps(spark, sf):
+    """Steps of drafts as a model and as an agent asks for them."""
+    asked = v.drafts(spark, sf)
+    model = sequence.normalize_step(asked).withColumn("by", F.lit("model"))
+    return model.unionByName(sequence.normalize_created_step(asked).withColumn("by", F.lit("agent")))
+
+
+@query
+def outbound_headers(spark, sf):
+    """Names and addresses of outgoing mail, and its text as HTML."""
+    name = F.when(F.col("id").cast("bigint") % 2 == 0, F.concat(F.lit(' "'), F.col("to_name"), F.lit('"\r\n')))
+    return v.emails(spark, sf).select(
+        "id", text.sanitize_display_name(text.default_name(name, F.col("to_email"))).alias("to_name"),
+        text.local_part(F.col("to_email")).alias("mailbox"), html.html_escape(F.col("body_html")).alias("escaped"),
+    )
+
+
 @query
 def map_run_status(spark, sf):
     return sequence.map_run_status(v.runs(spark, sf))
@@ -420,6 +446,27 @@ def activity_feed(spark, sf):
     return _feed(spark, sf)
 
 
+@query
+def activity_feed_changes(spark, sf):
+    """The feed's other nine sources."""
+    changed = v.changed_things(spark, sf)
+    return feed.activity_feed(*[getattr(feed, f"from_{kind}")(rows) for kind, rows in changed.items()])
+
+
+@query
+def new_entries(spark, sf):
+    """The newest entry, if it is none of those that were remembered a day before it."""
+    log = feed.from_log(v.activity(spark, sf))
+    newest = log.agg(F.max("created_at").alias("_newest"))
+    before = log.join(newest, F.col("created_at") < F.col("_newest") - F.expr("INTERVAL 1 DAY")).select(log.columns)
+    return feed.flag_new_entries(log, feed.remembered_ids(before))
+
+
+@query
+def feed_active(spark, sf):
+    return feed.feed_active(feed.from_log(v.activity(spark, sf)), F.lit("2024-01-05 00:00:00").cast("timestamp"))
+
+
 @query
 def dedupe_feed(spark, sf):
     """The live list over the feed with every logged row in it twice."""
@@ -461,6 +508,41 @@ def webhook_counts(spark, sf):
     return boards.webhook_counts(v.webhooks(spark, sf), v.raw_webhook_calls(v.table(spark, sf, "events")))
 
 
+@query
+def inbox(spark, sf):
+    matched = correlation.correlate_replies(v.replies(spark, sf), v.emails(spark, sf))
+    return boards.reply_preview(matched)
+
+
+@query
+def tabulate_form(spark, sf):
+    """Submissions of one form as a wide table."""
+    return boards.tabulate_form(_submissions(spark, sf), "form-3", [("k", "Key"), ("e_mail", "E-Mail")])
+
+
+@query
+def agent_directory(spark, sf):
+    """Agents as they are shown: sign-in name, last sign of life, masked key."""
+    now, key = F.lit("2024-01-02 05:00:00").cast("timestamp"), F.concat(F.lit("key-"), F.col("name"))
+    return v.agents(spark, sf).select(
+        "id", text.sign_in_name(F.col("name"), F.lit(None).cast("string"), F.col("id")).alias("sign_in_name"),
+        text.time_ago(F.col("last_heartbeat"), now).alias("seen"), text.mask_secret(key).alias("secret"),
+        text.mask_secret(F.col("id")).alias("short_secret"), text.mask_all_but_last4(key).alias("listed"),
+    )
+
+
+@query
+def publish_pages(spark, sf):
+    """Crawled pages under the slugs made of their addresses."""
+    named = v.table(spark, sf, "pages").select("page_id", F.col("url").alias("slug"))
+    return pages.normalize_page_slugs(named)
+
+
+@query
+def event_properties(spark, sf):
+    return v.table(spark, sf, "events").select("event_id", text.json_path(F.col("props"), "$.k").alias("k"))
+
+
 @query
 def submission_counts(spark, sf):
     return boards.submission_counts(v.forms(spark, sf), _submissions(spark, sf))

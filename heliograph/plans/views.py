@@ -279,6 +279,39 @@ def tasks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def changed_things(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """What changes tasks, replies, agents, sessions, pages and campaigns, by kind of feed source."""
+    listed = campaigns(spark, sf)
+    run = listed.selectExpr("id", "id AS campaign_id", "name", "concat('run', id) AS apify_run_id", "created_at")
+    counted = listed.selectExpr(
+        "id", "id AS campaign_id", "name", "coalesce(leads_imported, 0L) AS imported", "coalesce(emails_sent, 0L) AS sent",
+        "emails_delivered AS total", "emails_bounced AS errors", "emails_clicked AS generated", "created_at AS finished_at",
+    )
+    return {
+        "task_moves": tasks(spark, sf).selectExpr("id", "title", "coalesce(status, 'todo') AS status", "assignee_id", "created_at AS updated_at"),
+        "converted_replies": tasks(spark, sf).selectExpr("id", "title", "concat('r', id) AS reply_id", "created_at"),
+        "deleted_agents": agents(spark, sf).selectExpr("id", "created_at AS deleted_at"),
+        "sessions": sessions(spark, sf).selectExpr("id", "concat('Voice session ', id) AS summary", "ended_at"),
+        "page_updates": pages(spark, sf).selectExpr(
+            "slug AS id", "slug", "CASE WHEN linked_form_slug IS NOT NULL THEN title END AS title",
+            "CASE WHEN linked_form_slug IS NULL THEN array() ELSE array('title', 'theme') END AS changed", "created_at AS updated_at"),
+        "scrape_starts": run.withColumnRenamed("created_at", "started_at"),
+        "scrape_imports": counted,
+        "draft_batches": counted,
+        "send_runs": counted,
+    }
+
+
+def drafts(spark: SparkSession, sf: str) -> DataFrame:
+    """Drafts as they are asked for, with odd steps, totals and frameworks."""
+    return table(spark, sf, "orders").selectExpr(
+        "CAST(o_orderkey AS STRING) AS id",
+        "CASE o_orderkey % 5 WHEN 0 THEN 'pas' WHEN 1 THEN 'aida' WHEN 2 THEN 'odd' WHEN 3 THEN 'one-off' END AS framework",
+        "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 9 - 1.5D END AS step",
+        "CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 8 + 0.5D END AS total_steps",
+    )
+
+
 def forms(spark: SparkSession, sf: str) -> DataFrame:
     """One form per part; the field lists are as an agent sends them."""
     return table(spark, sf, "part").selectExpr(
