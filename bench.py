@@ -22,6 +22,8 @@ HEADLINE = (
     "extract_contact_emails", "rewrite_links", "normalize_drafts", "activity_feed", "route_activity",
     "activity_with_agent", "step_stats", "campaign_counters", "newest_per_group", "latest_snapshot",
     "fold_transcript", "session_summary", "tabulate_submissions", "import_scraped_leads",
+    "emails_with_status", "event_counters_from_calls", "stream_email_status", "stream_status_from_calls",
+    "stream_applied_events", "stream_campaign_counters", "webhook_health",
 )
 
 

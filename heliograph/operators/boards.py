@@ -41,6 +41,7 @@ def office_stats(agents: DataFrame, tasks: DataFrame, activity: DataFrame) -> Da
 
 def replies_to_tasks(replies: DataFrame, existing_tasks: DataFrame | None = None) -> DataFrame:
     """Replies as tasks that need an answer. With `existing_tasks`, replies that have one are left out."""
+    # The texts of such a task.
     if existing_tasks is not None:
         done = existing_tasks.select(F.col("reply_id").alias("id")).filter("id IS NOT NULL").distinct()
         replies = replies.join(done, "id", "left_anti")

@@ -44,6 +44,8 @@ def _text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+# Fixed values, in all sources below: the summaries and the keys of the details, which users and
+# `route_activity` match on.
 def from_log(activity: DataFrame) -> DataFrame:
     """Rows that agents logged themselves."""
     return activity.select(*FEED_COLUMNS)

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 
+from heliograph.operators.blocks import MOST_ROWS, time_blocks
+
 # How far an e-mail has come, and the statuses that end it.
 STATUS_RANK = {"drafted": 0, "sent": 1, "delivered": 2, "clicked": 3, "replied": 4}
 NEGATIVE = ("bounced", "complained", "failed")
@@ -146,20 +148,23 @@ def _reached(rank: Column, window: WindowSpec) -> Column:
     return F.max(F.col("_seg") * len(STATUS_RANK) + rank).over(window) - F.col("_seg") * len(STATUS_RANK)
 
 
-def mark_applied(events: DataFrame, block_seconds: int = 3600, entered: DataFrame | None = None) -> DataFrame:
+def mark_applied(
+    events: DataFrame, block_seconds: int = 3600, entered: DataFrame | None = None, block_rows: int = MOST_ROWS
+) -> DataFrame:
     """Add `applied`: whether the event changed or confirmed the status at its turn.
 
     `entered` has the rank that e-mails (`email_id`, `rank`) had reached before.
 
     This does depend on the order, so events are ranked by a window; to keep the events of one busy
-    e-mail from meeting in one task, the window covers one time block of one e-mail. Each block is
+    e-mail from meeting in one task, the window covers one time block of one e-mail, and a busy block is
+    cut into parts of about `block_rows` rows. Each block is
     reduced to (has a reset, highest rank after it), these few rows are folded per e-mail, and the
     rank an e-mail enters a block with becomes a first row of that block. No join is needed.
     """
     reset = is_reset()
-    ranked = events.select(
+    ranked = time_blocks(events, "email_id", "at", block_seconds, block_rows).select(
         *events.columns,
-        F.floor(F.unix_seconds("at") / block_seconds).alias("_block"),
+        "_block",
         reset.alias("_reset"),
         status_rank(F.col("status")).alias("_rank"),
         F.lit(False).alias("_entry"),

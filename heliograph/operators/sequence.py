@@ -133,6 +133,10 @@ def _labelled(label: str, c: Column) -> Column:
     return F.when(truthy(c), F.concat(F.lit(f"{label}: "), c))
 
 
+# Fixed value: the heading of the earlier steps.
+PREVIOUS_STEPS = "PREVIOUS STEPS (for continuity — reference implicitly, never copy):"
+
+
 def draft_context(
     plan: DataFrame,
     leads: DataFrame,
@@ -144,11 +148,13 @@ def draft_context(
 ) -> DataFrame:
     """What the model is told for each planned (lead, step), as ordered parts.
 
-    Part `context` has the recipient, the sender and the sequence header; parts `previous` follow
-    for the lead's earlier steps, by (`part_step`, `part_at`, `part_id`). A prompt is its parts in
-    this order, joined by blank lines. The parts stay rows: a lead may have any number of e-mails
-    (batch drafting repeats first steps), and rows are never gathered into one value.
+    Part `context` has the recipient, the sender and the sequence header; if the lead has earlier steps,
+    part `heading` and parts `previous` follow, by (`part_step`, `part_at`, `part_id`). A prompt is its
+    parts in this order, joined by blank lines, the heading and what follows by a line end. The parts
+    stay rows: a lead may have any number of e-mails (batch drafting repeats first steps), and rows are
+    never gathered into one value.
     """
+    # The labels and headings of the prompt.
     sender = sender or {}
     recipient = F.concat_ws(
         "\n",
@@ -209,7 +215,12 @@ def draft_context(
         .filter("part_step < step")
         .withColumn("part", F.lit("previous"))
     )
-    return context.unionByName(previous.select(context.columns))
+    first = earlier.groupBy("campaign_id", "lead_id").agg(F.min("part_step").alias("_first"))
+    heading = first.join(plan, ["campaign_id", "lead_id"]).filter("_first < step").select(
+        "campaign_id", "lead_id", "step", F.lit("heading").alias("part"), F.lit(0).alias("part_step"),
+        F.lit(None).cast("timestamp").alias("part_at"), F.lit("").alias("part_id"), F.lit(PREVIOUS_STEPS).alias("text"),
+    )
+    return context.unionByName(heading).unionByName(previous.select(context.columns))
 
 
 def dedupe_new_drafts(new: DataFrame, existing: DataFrame) -> DataFrame:

@@ -488,7 +488,19 @@ _STATEMENTS = {
         UNION ALL
         SELECT p.campaign_id, p.lead_id, p.step, 'previous', coalesce(e.sequence_position, 1), e.created_at, e.id,
           '--- STEP ' || coalesce(e.sequence_position, 1) || ' ---' || chr(10) || 'Subject: ' || e.subject || chr(10) || chr(10) || e.body_text
+        FROM planned p JOIN emails e ON e.campaign_id = p.campaign_id AND e.lead_id = p.lead_id AND coalesce(e.sequence_position, 1) < p.step
+        UNION ALL
+        SELECT DISTINCT p.campaign_id, p.lead_id, p.step, 'heading', 0, CAST(NULL AS TIMESTAMP), '',
+          'PREVIOUS STEPS (for continuity — reference implicitly, never copy):'
         FROM planned p JOIN emails e ON e.campaign_id = p.campaign_id AND e.lead_id = p.lead_id AND coalesce(e.sequence_position, 1) < p.step""",
+    "draft_context_one_off": """
+        SELECT p.campaign_id, p.lead_id, p.step, 'context' AS part, 0 AS part_step, CAST(NULL AS TIMESTAMP) AS part_at,
+          CAST(NULL AS VARCHAR) AS part_id,
+          'RECIPIENT' || chr(10) || concat_ws(chr(10), 'Business: ' || l.name,
+            CASE WHEN l.company <> l.name THEN 'Company: ' || l.company END, 'Category: ' || l.category,
+            'Location: ' || l.address, 'Website: ' || l.website, 'Notes: ' || l.notes)
+          || chr(10) || chr(10) || 'SENDER' || chr(10) || 'ICP context: ' || c.query AS text
+        FROM planned p JOIN leads l ON l.id = p.lead_id JOIN campaigns c ON c.id = p.campaign_id""",
     "dedupe_new_drafts": """
         SELECT n.id, NOT (row_number() OVER (PARTITION BY campaign_id, lead_id, coalesce(sequence_position, 1) ORDER BY created_at, id) = 1
           AND NOT EXISTS (SELECT 1 FROM emails o WHERE o.status IS DISTINCT FROM 'drafted' AND o.campaign_id = n.campaign_id

@@ -336,6 +336,13 @@ def draft_context(spark, sf):
     return sequence.draft_context(plan, people, v.campaigns(spark, sf), mails, sender=sender)
 
 
+@query
+def draft_context_one_off(spark, sf):
+    people, mails = v.leads(spark, sf), v.emails(spark, sf)
+    plan = sequence.plan_sequence(people, mails)
+    return sequence.draft_context(plan, people, v.campaigns(spark, sf), mails, framework="one-off")
+
+
 @query
 def dedupe_new_drafts(spark, sf):
     """Drafted e-mails as new ones beside the rest."""

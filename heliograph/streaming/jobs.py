@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from heliograph.operators.blocks import MOST_ROWS, time_blocks
 from heliograph.operators.correlation import click_stats
 from heliograph.operators.feed import activity_feed
 from heliograph.operators.lifecycle import event_counters, fold_email_status, mark_applied, ranks_after
@@ -66,24 +67,24 @@ def stream_clicks(tokens: DataFrame) -> DataFrame:
 
 
 def probe_arrivals(
-    events: DataFrame, probes: DataFrame, seconds: int = PROBE_SECONDS, block_seconds: int = 3600
+    events: DataFrame, probes: DataFrame, seconds: int = PROBE_SECONDS, block_seconds: int = 3600,
+    block_rows: int = MOST_ROWS,
 ) -> DataFrame:
     """Events that arrived within the window after each probe `(probe_id, webhook_id, since)`.
 
     No event is paired with a probe. Events and the two ends of every window are put in order, and
     the events before either end are counted by a running sum, whose difference is the answer. The
-    sum runs in time blocks of one webhook and starts from the total of the blocks before, so a busy
-    webhook is split over tasks. Probes without arrivals are left out.
+    sum runs in time blocks of one webhook, cut further where they are busy, and starts from the total of
+    the blocks before, so a busy webhook is split over tasks. Probes without arrivals are left out.
     """
     def end(offset: int, sign: int) -> DataFrame:
         at = F.timestamp_micros(F.unix_micros("since") + offset * 1_000_000)
         return probes.select("webhook_id", at.alias("at"), F.lit(0).alias("n"), "probe_id", F.lit(sign).alias("sign"))
 
-    rows = (
-        events.select("webhook_id", F.col("received_at").alias("at"), F.lit(1).alias("n"))
-        .unionByName(end(0, -1).unionByName(end(seconds, 1)), allowMissingColumns=True)
-        .withColumn("block", F.floor(F.unix_seconds("at") / block_seconds))
-    )
+    # Calls of one moment are one row.
+    counted = events.groupBy("webhook_id", F.col("received_at").alias("at")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    rows = counted.unionByName(end(0, -1).unionByName(end(seconds, 1)), allowMissingColumns=True)
+    rows = time_blocks(rows, "webhook_id", "at", block_seconds, block_rows, "block")
     by_block = W.partitionBy("webhook_id").orderBy("block")
     entries = (
         rows.groupBy("webhook_id", "block").agg(F.sum("n").alias("n"))

@@ -81,9 +81,11 @@ def test_context_parts(spark):
     plan = sequence.plan_sequence(people(spark), existing, 2)
     campaigns = spark.createDataFrame([("a", "cafes")], "id string, query string")
     parts = sequence.draft_context(plan, people(spark), campaigns, existing, total_steps=2).orderBy("part").collect()
-    assert [p["part"] for p in parts] == ["context", "previous"]
+    assert [p["part"] for p in parts] == ["context", "heading", "previous"]
     assert parts[0]["text"] == "RECIPIENT\nBusiness: Ann\nCategory: c\n\nSENDER\nICP context: cafes\n\nFRAMEWORK: pas\nSTEP: 2 of 2"
-    assert parts[1]["text"] == "--- STEP 1 ---\nSubject: Hi\n\n"
+    assert "\n".join(p["text"] for p in parts[1:]) == (
+        "PREVIOUS STEPS (for continuity — reference implicitly, never copy):\n--- STEP 1 ---\nSubject: Hi\n\n"
+    )
     alone = sequence.draft_context(plan, people(spark), campaigns, existing, framework="one-off").collect()
     assert len(alone) == 1 and "FRAMEWORK" not in alone[0]["text"]
 

@@ -110,6 +110,21 @@ def test_busy_email_is_ranked_in_many_tasks(spark):
     assert sum(sizes) == 30000 and max(sizes) < 4000
 
 
+def test_busy_ten_minutes_are_ranked_in_many_tasks(spark):
+    hot = F.col("id") % 3 == 0
+    at = F.when(hot, F.col("id") % 600).otherwise(F.col("id") * 997 % 2_000_000)
+    events = spark.range(0, 20_000, 1, 8).select(
+        F.when(hot, "hot").otherwise((F.col("id") % 4000).cast("string")).alias("email_id"),
+        F.timestamp_seconds(at + 1_700_000_000).alias("at"), F.col("id").cast("string").alias("event_id"),
+        F.element_at(F.array(*map(F.lit, ("sent", "delivered", "bounced", "clicked"))), (F.col("id") % 4 + 1).cast("int")).alias("status"),
+        F.lit("provider").alias("kind"),
+    )
+    sizes = even(spark, lambda: lifecycle.mark_applied(events, block_rows=60), "applied")
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
+    whole, cut = (lifecycle.mark_applied(events, block_rows=n) for n in (10**9, 60))
+    assert whole.exceptAll(cut).count() == 0 == cut.exceptAll(whole).count()
+
+
 def test_long_session_is_folded_in_many_tasks(spark):
     n = F.col("id")
     chunks = spark.range(0, 20000, 1, 8).select(
