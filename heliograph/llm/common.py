@@ -29,6 +29,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """Let Spark hand rows with texts to Python in batches of few megabytes: a batch stands in memory of
+    the executor and of its worker at the same time, and its buffers are kept for the next one. Returns the
+    rows as they are; the settings are those of the session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, everything else untouched."""
     return F.translate(text, UPPER, LOWER)
@@ -45,3 +54,25 @@ def worker_state(key: str, make: Callable[[], Any]) -> Any:
     if not hasattr(holder, key):
         setattr(holder, key, make())
     return getattr(holder, key)
+
+
+def _slot(value: Column, size: int) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(size))
+
+
+def member_bits(values: DataFrame, column: str, size: int) -> Column:
+    """A bit array of `size` bits, one set for each value of a column, to be used in other queries as one
+    value of a fixed size."""
+    slot = _slot(F.col(column), size)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    parts = values.groupBy(F.shiftright(slot, 6).alias("id")).agg(F.bit_or(bit).alias("bits"))
+    # As many rows as the array has parts: a fixed number.
+    every = values.sparkSession.range(size // 64).join(parts, "id", "left")
+    listed = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return every.agg(F.transform(listed, lambda p: p["bits"]).alias("bits")).scalar()
+
+
+def may_be_member(value: Column, bits: Column, size: int) -> Column:
+    """Whether a value's bit is set: always so for members, by chance for others."""
+    slot = _slot(value, size)
+    return F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1

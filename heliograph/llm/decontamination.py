@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from heliograph.llm.common import ascii_lower, text_key, written
+from heliograph.llm.common import ascii_lower, may_be_member, member_bits, text_key, written
 
 #: Everything that is not an ASCII digit or letter; other alphabets count as letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -40,30 +40,13 @@ def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return at.select("item_id", F.slice("words", F.col("at"), F.lit(size)).alias("window")).distinct()
 
 
-def _slot(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(FILTER_BITS))
-
-
-def _filter_bits(words: DataFrame) -> Column:
-    """The bit array of a column of words, as a value to be used in other queries."""
-    slot = _slot(F.col("word"))
-    part = F.shiftright(slot, 6)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-    parts = words.groupBy(part.alias("id")).agg(F.bit_or(bit).alias("bits"))
-    # As many rows as the array has parts: a fixed number.
-    every = words.sparkSession.range(FILTER_BITS // 64).join(parts, "id", "left")
-    listed = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
-    return every.agg(F.transform(listed, lambda p: p["bits"]).alias("bits")).scalar()
-
-
 def _may_be_in(word: Column, bits: Column) -> Column:
-    slot = _slot(word)
-    return F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return may_be_member(word, bits, FILTER_BITS)
 
 
 def rarity(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, n): in how many of all documents each word of the vocabulary occurs."""
-    bits = _filter_bits(vocabulary)
+    bits = member_bits(vocabulary, "word", FILTER_BITS)
     own = F.filter(F.array_distinct(words_of(F.col("text"))), lambda w: _may_be_in(w, F.col("_bits")))
     counted = docs.select("text", bits.alias("_bits")).select(F.explode(own).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return vocabulary.join(counted, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
@@ -90,7 +73,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     windows = written(item_windows(items, size), "item-windows")
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     keys = written(keyed_windows(windows, rarity(docs, vocabulary)), "window-keys")
-    bits = _filter_bits(keys.select("word").distinct())
+    bits = member_bits(keys, "word", FILTER_BITS)
     # One more entry per document, at place 0, stands for the document itself.
     itself = F.array(F.struct(F.lit(0).alias("place"), F.lit(0).alias("first"), F.lit("").alias("word"), F.array().cast("array<string>").alias("near")))
 
