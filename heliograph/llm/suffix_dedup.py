@@ -10,7 +10,7 @@ anchor gram is the same:
 1. blocks of documents tell the shards of hash space which anchor grams they have (40 bits each);
 2. a shard answers which of them occur in more than one document;
 3. a block sorts its distinct suffixes at those anchors and sends each shard its run, front-coded: of a
-   suffix only what differs from the one before;
+   suffix only what differs from the one before (and compressed as a whole);
 4. a shard merges the runs with a loser tree that knows the common prefix of every contender with the last
    winner. Contenders with different prefix lengths are ordered without looking at them, others are compared
    from there on. The merged order with its prefix lengths says which suffixes agree to the right of the
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LENGTH, GRAM = 50, 12
+LENGTH, GRAM = 50, 20
 WIDTH = LENGTH - GRAM + 1
 #: Bytes of text in a block, and anchors in a shard, about.
 BLOCK_BYTES, SHARD_ANCHORS = 8 << 20, 1 << 20
@@ -194,9 +194,12 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
 
 def _rows(data: np.ndarray, at: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
     """Bytes from each place on, in rows filled up with zeros."""
-    columns = np.arange(width)
-    inside = columns[None, :] < length[:, None]
-    return np.where(inside, data[np.minimum(at[:, None] + columns[None, :], max(len(data) - 1, 0))], 0).astype(np.uint8)
+    columns, out = np.arange(width)[None, :], np.zeros((len(at), width), np.uint8)
+    for a in range(0, len(at), 16384):  # places take eight times the room of bytes
+        some = slice(a, a + 16384)
+        places = np.minimum(at[some, None] + columns, len(data) - 1)
+        out[some] = np.where(columns < length[some, None], data[places], 0)
+    return out
 
 
 def _shared(rows: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -210,6 +213,10 @@ def _shared(rows: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def _send(bits: int) -> Callable:
     def send(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=3)
+        packed = lambda values: packer.compress(values.tobytes())
         rows: list[list] = [[] for _ in range(9)]
         if not docs.num_rows:
             return _table(rows, RUNS)
@@ -243,8 +250,9 @@ def _send(bits: int) -> Callable:
             lefts = near[back < left[some][:, None]]
             ids = block.ids[own.doc[chosen[some]]]
             for row, value in zip(rows, (
-                shard, key[0].as_py(), n.astype(np.uint8).tobytes(), same.astype(np.uint8).tobytes(), tails.tobytes(),
-                left[some].astype(np.uint8).tobytes(), lefts.tobytes(), ids.astype("<i8").tobytes(), own.run[chosen[some]].astype("<u8").tobytes(),
+                shard, key[0].as_py(), *map(packed, (
+                    n.astype(np.uint8), same.astype(np.uint8), tails, left[some].astype(np.uint8), lefts, ids.astype("<i8"),
+                )), own.run[chosen[some]].astype("<u8").tobytes(),
             )):
                 row.append(value)
         return _table(rows, RUNS)
@@ -348,7 +356,12 @@ def earlier_strings(length: np.ndarray, shared: np.ndarray, left: np.ndarray, le
 
 
 def _merge(key: tuple, table: pa.Table) -> pa.Table:
+    import zstandard
+
     rows = {c: table.column(c).to_pylist() for c in table.column_names}
+    unpacker = zstandard.ZstdDecompressor()
+    for c in ("lengths", "shared", "tails", "left_lengths", "lefts", "ids"):
+        rows[c] = [unpacker.decompress(x) for x in rows[c]]
     runs = [list(decode_run(*r)) for r in zip(rows["lengths"], rows["shared"], rows["tails"])]
     offsets = np.append(0, np.cumsum([len(r) for r in runs]))
     merged = np.array([(offsets[r] + i, n) for r, i, n in merge_runs(runs, rows["shared"])], dtype=np.int64).reshape(-1, 2)

@@ -97,7 +97,7 @@ def test_every_string_has_one_anchor():
     own = suffix_dedup.Anchors(data, np.array([len(data)]))
     strings = [s for a, b in zip(own.first, own.last) for s in range(a, b + 1)]
     assert sorted(strings) == list(range(len(data) - 49))
-    assert all(a <= p and p + 12 <= a + 50 and b <= p for a, b, p in zip(own.last, own.last, own.place))
+    assert all(b <= p and p + suffix_dedup.GRAM <= a + 50 for a, b, p in zip(own.first, own.last, own.place))
 
 
 def test_texts_without_repeats(spark):
