@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 LENGTH, GRAM = 50, 20
 WIDTH = LENGTH - GRAM + 1
 #: Bytes of text in a block, and anchors in a shard, about.
-BLOCK_BYTES, SHARD_ANCHORS = 8 << 20, 1 << 20
+BLOCK_BYTES, SHARD_ANCHORS = 4 << 20, 1 << 19
 #: Strings looked at together.
 CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -234,9 +234,10 @@ def _send(bits: int) -> Callable:
         length, left = own.last[chosen] + LENGTH - own.place[chosen], own.place[chosen] - own.first[chosen]
         suffix = _rows(block.data, own.place[chosen], length, LENGTH)
         shard_of = (own.gram[chosen] >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(chosen), np.int64)
-        order = np.argsort(length, kind="stable")
-        order = order[np.argsort(suffix[order].view(f"S{LENGTH}").ravel(), kind="stable")] if len(order) else order
-        order = order[np.argsort(shard_of[order], kind="stable")]
+        # By shard, then by the suffix, eight bytes at a time, then by its length.
+        words = np.ascontiguousarray(np.pad(suffix, ((0, 0), (0, -LENGTH % 8)))).view(">u8").astype(U)
+        order = np.lexsort((length, *words.T[::-1], shard_of))
+        del words
         edges = np.searchsorted(shard_of[order], np.arange((1 << bits) + 1))
         for shard in np.flatnonzero(np.diff(edges)).tolist():
             some = order[edges[shard] : edges[shard + 1]]
