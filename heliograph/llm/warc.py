@@ -120,7 +120,7 @@ def _writer(folder: str, min_bytes: int, level: int):
     return write
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 1) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 6) -> DataFrame:
     """Write pages (page_id, url, html) as WARC records, one gzip stream per file; returns the manifest.
 
     Of the pages with equal payloads of at least `min_bytes`, those with the smallest page_id are
