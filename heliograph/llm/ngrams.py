@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.llm.common import in_small_batches
+
 ORDER = 4
 BITS = 6
 SIGNS = ".,;:!?'\"-()/|#*$%&<>"
@@ -99,7 +101,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_grams(texts: DataFrame) -> DataFrame:
     """(gram, n) over whole texts: the one column of `texts`. Each task sends its own sums."""
-    return texts.mapInArrow(_counter, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return in_small_batches(texts).mapInArrow(_counter, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounted(counts: DataFrame) -> DataFrame:

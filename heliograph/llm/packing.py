@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import worker_state
+from heliograph.llm.common import in_small_batches, worker_state
 
 WINDOW, END_ID = 4096, 2
 #: Words that are one pre-token each: letters whose lower case is one letter again.
@@ -245,4 +245,4 @@ def pack_documents(
     two named ones are not read. `max_open` bounds the memory of a task, not what is packed.
     """
     rows = docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string"))
-    return rows.mapInArrow(_packer(tokenizer, window, end_id, max_open, id_column), PIECES)
+    return in_small_batches(rows).mapInArrow(_packer(tokenizer, window, end_id, max_open, id_column), PIECES)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import text_key, written
+from heliograph.llm.common import in_small_batches, text_key, written
 from heliograph.llm.components import components
 
 BITS = 64
@@ -60,7 +60,7 @@ def _fingerprints(shingle: int) -> Callable:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, a hash of the text, and the fingerprint of every document."""
     rows = docs.select(F.col("doc_id").cast("long"), text_key("text").alias("text_hash"), F.col("text").cast("string"))
-    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, text_hash long, fp long")
+    return in_small_batches(rows).mapInArrow(_fingerprints(shingle), "doc_id long, text_hash long, fp long")
 
 
 def _beyond(planes: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.llm.common import in_small_batches
+
 # Letters that look like others, and signs used for letters.
 LOOK_ALIKES = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y",
@@ -199,7 +201,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, m
     chosen = train_rows(labels).orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
     known = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     sample = known.join(F.broadcast(chosen), "_id").select("text", "_toxic")
-    counts = sample.mapInArrow(_count, COUNTS).groupBy("feature", "kind").agg(
+    counts = in_small_batches(sample).mapInArrow(_count, COUNTS).groupBy("feature", "kind").agg(
         *[F.sum(c).alias(c) for c in ("toxic_docs", "clean_docs", "toxic_n", "clean_n")]
     )
     total = counts.filter("feature = ''").first()
@@ -257,7 +259,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, keep: list[str], into: str
     """
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = docs.select(*keep).schema.add(into, "double")
-    return rows.mapInArrow(_scorer(lexicon, keep, into), schema)
+    return in_small_batches(rows).mapInArrow(_scorer(lexicon, keep, into), schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import written
+from heliograph.llm.common import in_small_batches, written
 from heliograph.session import scratch_path
 
 CHUNK = 1 << 20
@@ -61,6 +61,13 @@ def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
 
 
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of batches, few of them unpacked at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 256):
+            yield from zip(*(c.to_pylist() for c in batch.slice(begin, 256).columns))
+
+
 def record_head(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, nth: str) -> bytes:
     """Everything of a WARC record up to the payload. A revisit has the HTTP header of the payload it
     stands for, and with it its length, but no payload."""
@@ -95,23 +102,22 @@ def _writer(folder: str, min_bytes: int, level: int):
 
         attempt, files = TaskContext.get().taskAttemptId(), 0
         out = None
-        for batch in batches:
-            for page_id, url, html, first in zip(*(c.to_pylist() for c in batch.columns)):
-                if out is None:
-                    path = f"{folder}/monolith-{attempt}-{files}.warc.gz"
-                    out, packer, size, records = _open(path, True), zlib.compressobj(level, wbits=31), 0, 0
-                payload = (html or "").encode()
-                revisit = first is not None and page_id != first and len(payload) >= min_bytes
-                head = record_head(page_id, url, payload, first, revisit, f"{attempt} {files} {records}")
-                for part in (head, b"" if revisit else payload, b"\r\n\r\n"):
-                    out.write(packer.compress(part))
-                    size += len(part)
-                records += 1
-                if size >= FILE_BYTES:
-                    out.write(packer.flush())
-                    out.close()
-                    yield _batch([(path, records)], MANIFEST)
-                    out, files = None, files + 1
+        for page_id, url, html, first in _values(batches):
+            if out is None:
+                path = f"{folder}/monolith-{attempt}-{files}.warc.gz"
+                out, packer, size, records = _open(path, True), zlib.compressobj(level, wbits=31), 0, 0
+            payload = (html or "").encode()
+            revisit = first is not None and page_id != first and len(payload) >= min_bytes
+            head = record_head(page_id, url, payload, first, revisit, f"{attempt} {files} {records}")
+            for part in (head, b"" if revisit else payload, b"\r\n\r\n"):
+                out.write(packer.compress(part))
+                size += len(part)
+            records += 1
+            if size >= FILE_BYTES:
+                out.write(packer.flush())
+                out.close()
+                yield _batch([(path, records)], MANIFEST)
+                out, files = None, files + 1
         if out is not None:
             out.write(packer.flush())
             out.close()
@@ -134,7 +140,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
     first = first.select(F.concat(F.lit("="), "_sha").alias("_key"), "_first")
     marked = hashed.withColumn("_key", F.concat(F.lit("="), "_sha")).join(first, "_key", "left")
     rows = marked.select("page_id", "url", "html", "_first")
-    return written(rows.mapInArrow(_writer(folder, min_bytes, level), MANIFEST), "warc-manifest")
+    return written(in_small_batches(rows).mapInArrow(_writer(folder, min_bytes, level), MANIFEST), "warc-manifest")
 
 
 class _Stream:
