@@ -29,6 +29,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written intermediate results of one operator by name, dropped when their successors are written."""
+
+    def __init__(self, spark: SparkSession, prefix: str) -> None:
+        self.spark, self.prefix = spark, prefix
+        self.paths: dict[str, str] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """As `written`."""
+        self.paths[name] = path = scratch_path(self.spark, f"{self.prefix}-{name}")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete results that nothing reads any more; names without one are passed over."""
+        jvm = self.spark._jvm
+        for path in filter(None, (self.paths.pop(name, None) for name in names)):
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """Let Spark hand rows with texts to Python in batches of few megabytes: a batch stands in memory of
     the executor and of its worker at the same time, and its buffers are kept for the next one. Returns the

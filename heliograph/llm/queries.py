@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.llm import (
+    alignment,
     decontamination,
+    minmax,
     packing,
+    periodic_runs,
     perplexity_rules,
     sharding,
     simhash,
@@ -19,7 +22,7 @@ from heliograph.llm import (
 )
 from heliograph.llm.common import table
 
-WORD_BPE = "word_bpe_49k.json"
+WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHARDS = 24
 URL_RULES = (
     ("allow", "com", "/"),
@@ -109,6 +112,34 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_pattern() -> str:
+    """How the byte-level tokenizer splits texts before merging."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.alignment_counts(docs, tokenizer_path(BYTE_BPE), tokenizer_path(PIECE_BPE), tokenizer_pattern())
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = periodic_runs.periodic_runs(docs.select("doc_id", periodic_runs.repeated_by_rule(F.col("text"), number).alias("text")), ["doc_id"])
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    return found.withColumn("top", periodic_runs.longest_run(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("(1000 * top.length) div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.minmax_groups(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH rules(verdict, rhost, rpath) AS (VALUES
     ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
@@ -139,6 +170,9 @@ QUERIES = {
     "op6_feistel_sharding": op6_feistel_sharding,
     "op8_url_rules": op8_url_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_minmax_near_dedup": op13_minmax_near_dedup,
 }
 
 ORACLE_SQL = {"op8_url_rules": OP8_SQL}
