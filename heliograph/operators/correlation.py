@@ -56,17 +56,24 @@ def classify_event(events: DataFrame, event_type: Column | None = None) -> DataF
     return events.withColumn("status", status).filter(F.col("status").isNotNull())
 
 
-def _first_email(emails: DataFrame, id_column: str, key: str, hit: str) -> DataFrame:
-    """One row per provider id: the first e-mail in store order. Combines before the shuffle."""
+FOUND = "STRUCT<campaign_id: STRING, created_at: TIMESTAMP, email_id: STRING, lead_id: STRING>"
+
+
+def first_emails(emails: DataFrame, id_column: str) -> DataFrame:
+    """(provider_id, hit): the first e-mail in store order under each id of the provider. Combines before
+    the shuffle, and so does `merge_first_emails` of what was found before and what is new."""
     first = F.min(
         F.struct("campaign_id", "created_at", F.col("id").alias("email_id"), "lead_id")
     )
-    return (
-        emails.filter(truthy(F.col(id_column)))
-        .groupBy(id_column)
-        .agg(first.alias(hit))
-        .select(lookup_key(F.col(id_column)).alias(key), hit)
-    )
+    return emails.filter(truthy(F.col(id_column))).groupBy(F.col(id_column).alias("provider_id")).agg(first.alias("hit"))
+
+
+def merge_first_emails(one: DataFrame, other: DataFrame) -> DataFrame:
+    return one.unionByName(other).groupBy("provider_id").agg(F.min("hit").alias("hit"))
+
+
+def _found(first: DataFrame, key: str, hit: str) -> DataFrame:
+    return first.select(lookup_key(F.col("provider_id")).alias(key), F.col("hit").alias(hit))
 
 
 def correlate_events(events: DataFrame, emails: DataFrame, keep_unmatched: bool = False) -> DataFrame:
@@ -76,8 +83,14 @@ def correlate_events(events: DataFrame, emails: DataFrame, keep_unmatched: bool
     looks up a table with one row per id, so a busy thread on both sides makes no pairs and the
     event side may be split freely when skewed. Events without an id do not pile up on one key.
     """
-    by_message = _first_email(emails, "agentmail_message_id", "_message", "_m")
-    by_thread = _first_email(emails, "agentmail_thread_id", "_thread", "_t")
+    return match_events(
+        events, first_emails(emails, "agentmail_message_id"), first_emails(emails, "agentmail_thread_id"), keep_unmatched
+    )
+
+
+def match_events(events: DataFrame, by_message: DataFrame, by_thread: DataFrame, keep_unmatched: bool = False) -> DataFrame:
+    """The same with the first e-mails by message and by thread already found."""
+    by_message, by_thread = _found(by_message, "_message", "_m"), _found(by_thread, "_thread", "_t")
     joined = (
         events.withColumn("_message", spread_key(F.col("id"), F.col("message_id")))
         .withColumn("_thread", spread_key(F.col("id"), F.col("thread_id")))
@@ -97,7 +110,12 @@ def correlate_events(events: DataFrame, emails: DataFrame, keep_unmatched: bool
 
 def correlate_replies(replies: DataFrame, emails: DataFrame) -> DataFrame:
     """Replies to e-mails by thread alone. Unmatched ones stay, in the `unassigned` partition."""
-    by_thread = _first_email(emails, "agentmail_thread_id", "_thread", "_t")
+    return match_replies(replies, first_emails(emails, "agentmail_thread_id"))
+
+
+def match_replies(replies: DataFrame, by_thread: DataFrame) -> DataFrame:
+    """The same with the first e-mails by thread already found."""
+    by_thread = _found(by_thread, "_thread", "_t")
     return (
         replies.withColumn("_thread", spread_key(F.col("id"), F.col("agentmail_thread_id")))
         .join(by_thread, "_thread", "left")

@@ -118,20 +118,45 @@ def fold_email_status(events: DataFrame) -> DataFrame:
     with partial aggregation: an e-mail that holds a third of all events shuffles one row per task.
     The same plan runs as a streaming aggregation.
     """
+    return status_of(status_state(events))
+
+
+#: Columns of `status_state`: positions of the last reset and of the last of each forward status, and counters.
+STATUS_STATE = (
+    "email_id STRING, reset STRUCT<at: TIMESTAMP, event_id: STRING, status: STRING>, "
+    + ", ".join(f"{s} STRUCT<at: TIMESTAMP, event_id: STRING>" for s in _FORWARD)
+    + ", last_clicked_at TIMESTAMP, last_event_at TIMESTAMP, click_count BIGINT, events BIGINT"
+)
+_SUMS = ("click_count", "events")
+
+
+def status_state(events: DataFrame) -> DataFrame:
+    """All that the status of an e-mail depends on, one row each; states of different events merge."""
     reset = is_reset()
     here = F.struct("at", "event_id")
 
     def last(condition: Column) -> Column:
         return F.max(F.when(condition, here))
 
-    folded = events.groupBy("email_id").agg(
+    return events.groupBy("email_id").agg(
         F.max(F.when(reset, F.struct("at", "event_id", "status"))).alias("reset"),
         *[last(~reset & (F.col("status") == s)).alias(s) for s in _FORWARD],
-        F.count_if(F.col("kind") == "click").alias("click_count"),
         F.max(F.when(F.col("kind") == "click", F.col("at"))).alias("last_clicked_at"),
         F.max("at").alias("last_event_at"),
+        F.count_if(F.col("kind") == "click").alias("click_count"),
         F.count(F.lit(1)).alias("events"),
     )
+
+
+def merge_status_states(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The state after the events of both, in whatever order they came."""
+    both = one.unionByName(other)
+    values = [F.sum(c).alias(c) if c in _SUMS else F.max(c).alias(c) for c in both.columns if c != "email_id"]
+    return both.groupBy("email_id").agg(*values)
+
+
+def status_of(folded: DataFrame) -> DataFrame:
+    """Final status, clicks and last event per e-mail from its state."""
     floor = F.struct(F.col("reset.at").alias("at"), F.col("reset.event_id").alias("event_id"))
     status = F.coalesce(F.col("reset.status"), F.lit("drafted"))
     for s in _FORWARD:  # the highest comes last and wins

@@ -632,22 +632,26 @@ def pending_invitations(spark, sf):
 
 # --- streams ---------------------------------------------------------------------------------------
 
+def _latest(*keys: str):
+    return lambda rows: sinks.latest_per_key(rows, keys)
+
+
 @query
 def stream_email_status(spark, sf):
     status = jobs.stream_email_status(v.lifecycle(v.stream(spark, sf, "events", STREAM_BATCH_BYTES)))
-    return sinks.latest_per_key(sinks.run_available(spark, status, "update"), ["email_id"])
+    return sinks.run_available(spark, status, "update", merge=_latest("email_id"))
 
 
 @query
 def stream_status_from_calls(spark, sf):
-    """Raw webhook calls to the status of the e-mails they are about, in one streaming query."""
-    calls = ingest.parse_webhook_events(v.raw_webhook_calls(v.stream(spark, sf, "events", STREAM_BATCH_BYTES)))
-    hooks, mails = v.webhooks(spark, sf), v.emails(spark, sf)
-    log = lifecycle.lifecycle_events(_match_calls(calls, hooks, mails), _match_replies(calls, hooks, mails))
-    status = jobs.stream_email_status(log)
-    return sinks.latest_per_key(sinks.run_available(spark, status, "update"), ["email_id"]).select(
-        "email_id", "status", "events"
-    )
+    """E-mails as a stream into the look-up by their ids, then raw webhook calls as a stream to the status of
+    the e-mails they are about; clicks are not part of the calls."""
+    index = jobs.EmailIndex(spark, scratch_path(spark, "emails"))
+    sinks.run_updates(v.emails(spark, sf, v.stream(spark, sf, "orders", STREAM_BATCH_BYTES)), index.add)
+    hooks = v.webhooks(spark, sf)
+    states, update = jobs.status_keeper(spark, scratch_path(spark, "status"), lambda calls: jobs.status_of_calls(calls, hooks, index))
+    sinks.run_updates(ingest.parse_webhook_events(v.raw_webhook_calls(v.stream(spark, sf, "events", STREAM_BATCH_BYTES))), update)
+    return lifecycle.status_of(states.read()).select("email_id", "status", "events")
 
 
 @query
@@ -660,8 +664,8 @@ def stream_applied_events(spark, sf):
 @query
 def stream_campaign_counters(spark, sf):
     events = v.lifecycle_with_campaign(v.stream(spark, sf, "events", STREAM_BATCH_BYTES))
-    batches = sinks.run_available(spark, events, transform=jobs.marked_increments(spark, scratch_path(spark, "ranks")))
-    return sinks.summed_per_key(batches, ["campaign_id"])
+    increments = jobs.marked_increments(spark, scratch_path(spark, "ranks"))
+    return sinks.run_available(spark, events, transform=increments, merge=lambda rows: sinks.summed_per_key(rows, ["campaign_id"]))
 
 
 @query
@@ -679,7 +683,7 @@ def stream_activity_feed(spark, sf):
 @query
 def stream_clicks(spark, sf):
     stats = jobs.stream_clicks(v.click_tokens(v.stream(spark, sf, "lineitem", STREAM_BATCH_BYTES)))
-    return sinks.latest_per_key(sinks.run_available(spark, stats, "update"), ["email_id"])
+    return sinks.run_available(spark, stats, "update", merge=_latest("email_id"))
 
 
 @query

@@ -102,10 +102,10 @@ _STATUS = """CASE o_orderstatus
         WHEN '3-MEDIUM' THEN 'sent' WHEN '4-NOT SPECIFIED' THEN NULL ELSE '' END END AS status"""
 
 
-def emails(spark: SparkSession, sf: str) -> DataFrame:
-    """E-mails without click counters."""
+def emails(spark: SparkSession, sf: str, orders: DataFrame | None = None) -> DataFrame:
+    """E-mails without click counters, of all orders or of a stream of them."""
     people = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_name")
-    return table(spark, sf, "orders").join(people, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
+    return (table(spark, sf, "orders") if orders is None else orders).join(people, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
         "CAST(o_orderkey AS STRING) AS id",
         "CAST(c_nationkey AS STRING) AS campaign_id",
         "CAST(o_custkey AS STRING) AS lead_id",

@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from heliograph.operators.blocks import MOST_ROWS, time_blocks
-from heliograph.operators.correlation import click_stats
+from heliograph.operators.correlation import (
+    FOUND, classify_event, click_stats, extract_message_ids, extract_replies, first_emails, match_events,
+    match_replies, merge_first_emails, route_events,
+)
 from heliograph.operators.feed import activity_feed
-from heliograph.operators.lifecycle import event_counters, fold_email_status, mark_applied, ranks_after
+from heliograph.operators.lifecycle import (
+    STATUS_STATE, event_counters, fold_email_status, lifecycle_events, mark_applied, merge_status_states,
+    ranks_after, status_state,
+)
 from heliograph.sources.ingest import decode_click_tokens
+from heliograph.streaming.state import KeyedState
 
 PROBE_SECONDS = 15
 
@@ -26,24 +33,74 @@ def stream_email_status(events: DataFrame) -> DataFrame:
     return fold_email_status(events)
 
 
-def arrival_order_marker(spark: SparkSession, state: str) -> Callable[[DataFrame, int], DataFrame]:
+def arrival_order_marker(spark: SparkSession, state: str, buckets: int | None = None) -> Callable[[DataFrame, int], DataFrame]:
     """What makes micro-batches of events into events with `applied`, judged in order of arrival.
 
-    The ranks that e-mails have reached are a table, written anew under `state` with each batch, and the
-    next batch enters with them; its own events are judged by the batch operator. A batch that is run again
-    finds the ranks of the batch before it and overwrites its own.
+    The ranks that e-mails have reached are kept by hash bucket under `state`. A batch enters with the ranks of
+    its own buckets and is judged by the batch operator; other buckets are neither read nor written. A batch
+    that is run again finds the ranks of the batch before it and overwrites its own.
     """
-    schema = "email_id STRING, rank INT"
+    ranks = KeyedState(spark, state, "email_id STRING, rank INT", "email_id", buckets)
 
     def mark(batch: DataFrame, batch_id: int) -> DataFrame:
-        before = f"{state}/before={batch_id}"
-        entered = spark.read.schema(schema).parquet(before) if batch_id else spark.createDataFrame([], schema)
-        ranks_after(batch, entered).write.mode("overwrite").parquet(f"{state}/before={batch_id + 1}")
+        merge = lambda before, events: ranks_after(events, before)
+        entered = ranks.update(batch, [batch.select("email_id")], batch_id, merge)
         return mark_applied(batch, entered=entered)
 
     return mark
 
 
+class EmailIndex:
+    """The first e-mail under each message and thread id, kept by the stream of e-mails by hash bucket. Calls
+    look up the buckets of their own ids; no batch scans the e-mails."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
+        schema = f"provider_id STRING, hit {FOUND}"
+        self.by_message = KeyedState(spark, f"{path}/message", schema, "provider_id", buckets)
+        self.by_thread = KeyedState(spark, f"{path}/thread", schema, "provider_id", buckets)
+
+    def add(self, emails: DataFrame, batch_id: int) -> None:
+        """E-mails of one micro-batch; a repetition changes nothing."""
+        for table, column in ((self.by_message, "agentmail_message_id"), (self.by_thread, "agentmail_thread_id")):
+            first = first_emails(emails, column)
+            table.update(first, [first.select("provider_id")], batch_id, merge_first_emails)
+
+    @staticmethod
+    def _held(table: KeyedState, ids: DataFrame) -> DataFrame:
+        """What a table knows of some ids, from their buckets."""
+        return table.read(table.touched(ids.filter(F.col(ids.columns[0]).isNotNull())))
+
+    def match_events(self, events: DataFrame) -> DataFrame:
+        """As `correlate_events`, against all e-mails added so far."""
+        messages, threads = events.select("message_id"), events.select("thread_id")
+        return match_events(events, self._held(self.by_message, messages), self._held(self.by_thread, threads))
+
+    def match_replies(self, replies: DataFrame) -> DataFrame:
+        """As `correlate_replies`, against all e-mails added so far."""
+        return match_replies(replies, self._held(self.by_thread, replies.select("agentmail_thread_id")))
+
+
+def status_of_calls(calls: DataFrame, webhooks: DataFrame, index: EmailIndex) -> DataFrame:
+    """The lifecycle events in one micro-batch of webhook calls; clicks don't come as calls and aren't in it."""
+    routed = route_events(calls, webhooks)
+    provider = classify_event(extract_message_ids(routed)).select("id", "message_id", "thread_id", "status", "received_at")
+    return lifecycle_events(index.match_events(provider), index.match_replies(extract_replies(routed)))
+
+
+def status_keeper(spark: SparkSession, state: str, events_of: Callable[[DataFrame], DataFrame], buckets: int | None = None) -> tuple[KeyedState, Callable[[DataFrame, int], None]]:
+    """A table of e-mail states by hash bucket, and what merges the events of a micro-batch into it."""
+    states = KeyedState(spark, state, STATUS_STATE, "email_id", buckets)
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        new = status_state(events_of(batch)).persist()
+        try:
+            states.update(new, [new.select("email_id")], batch_id, merge_status_states)
+        finally:
+            new.unpersist()
+
+    return states, update
+
+
 def marked_increments(spark: SparkSession, state: str) -> Callable[[DataFrame, int], DataFrame]:
     """The same, reduced to the increments of the campaign counters."""
     mark = arrival_order_marker(spark, state)
