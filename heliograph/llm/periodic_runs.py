@@ -219,5 +219,8 @@ def repeated_by_rule(text: Column, number: Column) -> Column:
     rest = F.floor(number / 10)
     begin = rest % F.greatest(n, F.lit(1))
     period = 1 + F.floor((n - begin) / (3 + rest % 8))
-    one = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < begin, i).otherwise(begin + (i - begin) % period).cast("int")))
+    # Whole arrays at once: a function per word would split the text again for each.
+    first = F.slice(words, F.lit(1), begin.cast("int"))
+    again = F.flatten(F.array_repeat(F.slice(words, (begin + 1).cast("int"), period.cast("int")), F.ceil((n - begin) / period).cast("int")))
+    one = F.concat(first, F.slice(again, F.lit(1), (n - begin).cast("int")))
     return F.when((number % 10 == 0) & (n > 0), F.array_join(one, " ")).otherwise(text)
