@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,6 +183,39 @@ def orphans(children: DataFrame, parents: DataFrame, key: str, parent_id: str =
     return children.filter(truthy(F.col(key).cast("string"))).join(known, key, "left_anti")
 
 
+#: What names what: child kind, column, parent kind; parents come before their children.
+CHILD_LINKS = (
+    ("leads", "campaign_id", "campaigns"),
+    ("emails", "campaign_id", "campaigns"),
+    ("emails", "lead_id", "leads"),
+    ("replies", "campaign_id", "campaigns"),
+    ("replies", "original_email_id", "emails"),
+    ("clicks", "email_id", "emails"),
+    ("webhook_events", "webhook_id", "webhooks"),
+    ("agent_keys", "agent_id", "agents"),
+)
+
+
+def orphan_sweep(tables: dict[str, DataFrame], links: Sequence[tuple[str, str, str]] = CHILD_LINKS) -> DataFrame:
+    """(kind, id, cause) of all rows that a deletion leaves without a parent, on every level: a row goes if
+    it names a parent that isn't there or that goes itself. `cause` is the kind of the first such parent.
+
+    Each level is looked up in what stays of the one above, by equality joins with one row per parent, so a
+    parent with most of the children may be split. Rows that name no parent stay.
+    """
+    staying, swept = dict(tables), []
+    for kind in dict.fromkeys(child for child, _, _ in links):
+        rows, cause = tables[kind].withColumn("_row", F.col("id").cast("string")), []
+        for n, (_, key, parent) in enumerate(link for link in links if link[0] == kind):
+            known = staying[parent].select(lookup_key(F.col("id")).alias(f"_k{n}"), F.lit(True).alias(f"_there{n}"))
+            rows = rows.withColumn(f"_k{n}", spread_key(F.col("_row"), F.col(key))).join(known, f"_k{n}", "left")
+            cause.append(F.when(truthy(F.col(key).cast("string")) & F.col(f"_there{n}").isNull(), parent))
+        rows = rows.withColumn("_cause", F.coalesce(*cause))
+        staying[kind] = rows.filter(F.col("_cause").isNull()).select(*tables[kind].columns)
+        swept.append(rows.filter(F.col("_cause").isNotNull()).select(F.lit(kind).alias("kind"), F.col("_row").alias("id"), F.col("_cause").alias("cause")))
+    return reduce(DataFrame.unionByName, swept)
+
+
 def dedupe_deliveries(events: DataFrame, at: str = "received_at") -> DataFrame:
     """Drop redelivered provider events by their `event_id`; optional, off in the default pipeline.
 

@@ -697,6 +697,53 @@ _STATEMENTS = {
     "stream_dedupe_deliveries": """SELECT DISTINCT CASE WHEN event_type IS NOT NULL THEN provider_event_id END AS event_id,
         CASE WHEN event_type IS NULL THEN id END AS id FROM calls""",
 }
+_STATEMENTS["merged_snapshot"] = _STATEMENTS["latest_snapshot"]
+_STATEMENTS["orphan_sweep"] = """
+    WITH kept_leads AS (SELECT id FROM leads WHERE CAST(id AS BIGINT) % 10 <> 7),
+    kept_campaigns AS (SELECT id FROM campaigns WHERE status <> 'draft'),
+    l AS (SELECT id, campaign_id NOT IN (SELECT id FROM kept_campaigns) AS gone FROM leads WHERE id IN (SELECT id FROM kept_leads)),
+    e AS (SELECT id, CASE WHEN campaign_id NOT IN (SELECT id FROM kept_campaigns) THEN 'campaigns'
+      WHEN lead_id NOT IN (SELECT id FROM l WHERE NOT gone) THEN 'leads' END AS cause FROM emails),
+    r AS (SELECT id, CASE WHEN campaign_id IS NOT NULL AND campaign_id NOT IN (SELECT id FROM kept_campaigns) THEN 'campaigns'
+      WHEN email_id IS NOT NULL AND email_id NOT IN (SELECT id FROM e WHERE cause IS NULL) THEN 'emails' END AS cause FROM matched_replies)
+    SELECT 'leads' AS kind, id, 'campaigns' AS cause FROM l WHERE gone
+    UNION ALL SELECT 'emails', id, cause FROM e WHERE cause IS NOT NULL
+    UNION ALL SELECT 'replies', id, cause FROM r WHERE cause IS NOT NULL
+    UNION ALL SELECT 'clicks', id, 'emails' FROM clicks WHERE email_id NOT IN (SELECT id FROM e WHERE cause IS NULL)
+    UNION ALL SELECT 'webhook_events', id, 'webhooks' FROM calls WHERE webhook_id NOT IN (SELECT id FROM webhooks)
+    UNION ALL SELECT 'agent_keys', 'key-' || id, 'agents' FROM agents WHERE status = 'error'"""
+_CHANGED = """
+    {n}_n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "at", seq) AS rn FROM {n}_log),
+    {n}_m AS (SELECT *, max(CASE WHEN op = 'put' THEN rn END) OVER w AS p, max(CASE WHEN op = 'delete' THEN rn END) OVER w AS g FROM {n}_n
+      WINDOW w AS (PARTITION BY id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    {n}_met AS (SELECT m.id, m.rn, arg_max(x.title, x.rn) AS title{more} FROM {n}_m m JOIN {n}_n x ON x.id = m.id AND x.rn >= m.p AND x.rn < m.rn
+      WHERE m.op = 'patch' AND m.p > coalesce(m.g, 0) GROUP BY m.id, m.rn)"""
+_STATEMENTS["activity_feed_from_changes"] = f"""
+    WITH t_log AS (SELECT CAST(o_custkey AS VARCHAR) AS id, o_orderdate AS "at", o_orderkey AS seq,
+      CASE WHEN o_orderkey % 10 = 9 THEN 'delete' WHEN o_orderkey % 3 = 0 THEN 'put' ELSE 'patch' END AS op,
+      CASE WHEN o_orderkey % 4 <> 0 THEN 'Task ' || o_orderkey END AS title,
+      CASE o_orderkey % 5 WHEN 0 THEN 'todo' WHEN 1 THEN 'doing' WHEN 2 THEN 'done' END AS status,
+      CASE WHEN o_orderkey % 2 = 0 THEN 'agent' || o_orderkey % 7 END AS assignee_id FROM orders),
+    {_CHANGED.format(n='t', more=', arg_max(x.assignee_id, x.rn) AS assignee_id')},
+    p_log AS (SELECT 'page-' || user_id AS id, ts AS "at", event_id AS seq, CASE event_type WHEN 'signup' THEN 'put' WHEN 'error' THEN 'delete' ELSE 'patch' END AS op,
+      CASE WHEN event_id % 4 <> 0 THEN 'Page ' || event_id END AS title, CASE WHEN event_id % 3 = 0 THEN 'dark' END AS theme FROM events),
+    {_CHANGED.format(n='p', more='')}
+    SELECT 'move-' || id || '-' || seq AS id, m.assignee_id AS agent_id, 'task' AS category, 'Task "' || m.title || '" → ' || status AS summary,
+      CAST(NULL AS VARCHAR) AS details, "at" AS created_at FROM t_n JOIN (SELECT id AS mid, rn AS mrn, title, assignee_id FROM t_met) m ON mid = id AND mrn = rn WHERE status IS NOT NULL
+    UNION ALL SELECT 'page-update-' || id || '-' || seq, NULL, 'content', 'Landing page "' || coalesce(m.title, id) || '" updated ('
+        || CASE WHEN p_n.title IS NOT NULL AND theme IS NOT NULL THEN 'title, theme' WHEN p_n.title IS NOT NULL THEN 'title' WHEN theme IS NOT NULL THEN 'theme' ELSE 'no fields' END || ')',
+      '{{"slug":"' || id || '","changed":[' || CASE WHEN p_n.title IS NOT NULL AND theme IS NOT NULL THEN '"title","theme"' WHEN p_n.title IS NOT NULL THEN '"title"' WHEN theme IS NOT NULL THEN '"theme"' ELSE '' END || ']}}',
+      "at" FROM p_n JOIN (SELECT id AS mid, rn AS mrn, title FROM p_met) m ON mid = id AND mrn = rn
+    UNION ALL SELECT 'agent-deleted-' || o_custkey, NULL, 'system', 'Agent ' || o_custkey || ' deleted', NULL, o_orderdate FROM orders WHERE o_orderkey % 10 = 9"""
+_STATEMENTS["stream_live_feed"] = f"""
+    WITH live AS (SELECT id, agent_id, category, summary, details, created_at FROM activity UNION ALL {_WEBHOOK_FEED}
+      UNION ALL SELECT * FROM ({_CLICK_FEED}) WHERE id NOT LIKE '%-1' AND id NOT LIKE '%-2' AND id NOT LIKE '%-3'
+      UNION ALL SELECT 'submission-' || id, NULL, 'system', 'Form "' || form_slug || '" received a submission',
+          '{{"submission_id":"' || id || '","data":' || CASE WHEN e_mail IS NULL THEN '{{}}'
+            ELSE '{{"k":"' || k || '","e_mail":"' || e_mail || '"}}' END || '}}', received_at FROM submissions),
+    top AS (SELECT *, CAST(row_number() OVER (ORDER BY created_at DESC, id) AS INTEGER) AS position FROM live)
+    SELECT *, CASE WHEN position = 1 THEN true END AS flashed,
+      CASE WHEN position = 1 THEN TIMESTAMP '2024-01-05 00:00:00' - created_at < INTERVAL 60 SECOND END AS active FROM top WHERE position <= 20"""
 _STATEMENTS["stream_email_status"] = _STATEMENTS["fold_email_status"]
 _STATEMENTS["stream_applied_events"] = _STATEMENTS["applied_events"]
 _STATEMENTS["stream_campaign_counters"] = _STATEMENTS["event_counters"]

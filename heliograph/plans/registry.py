@@ -176,6 +176,23 @@ def orphan_emails(spark, sf):
     return correlation.orphans(v.emails(spark, sf), running, "campaign_id").select("id", "campaign_id")
 
 
+@query
+def orphan_sweep(spark, sf):
+    """What is left without a parent once campaigns in draft, some leads and webhooks and failing agents are deleted."""
+    mails = v.emails(spark, sf)
+    return correlation.orphan_sweep({
+        "campaigns": v.campaigns(spark, sf).filter("status <> 'draft'"),
+        "leads": v.leads(spark, sf).filter("CAST(id AS BIGINT) % 10 <> 7"),
+        "emails": mails,
+        "replies": correlation.correlate_replies(v.replies(spark, sf), mails),
+        "clicks": v.clicks(spark, sf),
+        "webhooks": v.webhooks(spark, sf),
+        "webhook_events": v.raw_webhook_calls(v.table(spark, sf, "events")),
+        "agents": v.agents(spark, sf).filter("status <> 'error'"),
+        "agent_keys": v.agents(spark, sf).select(F.concat(F.lit("key-"), F.col("id")).alias("id"), F.col("id").alias("agent_id")),
+    })
+
+
 @query
 def dedupe_deliveries(spark, sf):
     events = _webhook_events(spark, sf).withColumn("event_id", F.col("event.event_id"))
@@ -464,8 +481,8 @@ def activity_feed_changes(spark, sf):
 def new_entries(spark, sf):
     """The newest entry, if it is none of those that were remembered a day before it."""
     log = feed.from_log(v.activity(spark, sf))
-    newest = log.agg(F.max("created_at").alias("_newest"))
-    before = log.join(newest, F.col("created_at") < F.col("_newest") - F.expr("INTERVAL 1 DAY")).select(log.columns)
+    newest = log.agg(F.max("created_at")).scalar()
+    before = log.filter(F.col("created_at") < newest - F.expr("INTERVAL 1 DAY"))
     return feed.flag_new_entries(log, feed.remembered_ids(before))
 
 
@@ -596,6 +613,27 @@ def latest_snapshot(spark, sf):
     return snapshots.latest_snapshot(v.changes(spark, sf), ["id"], ["title", "priority"], ["at", "seq"])
 
 
+@query
+def merged_snapshot(spark, sf):
+    """The snapshot of the older changes, kept by hash bucket, and the later ones merged into it."""
+    log, fields, order = v.changes(spark, sf), ["title", "priority"], ["at", "seq"]
+    states, update = jobs.snapshot_keeper(spark, scratch_path(spark, "snapshot"), log, "id", fields, order)
+    later = F.col("at") >= F.lit("1995-06-01").cast("timestamp")
+    update(log.filter(~later), 0)
+    update(log.filter(later), 1)
+    return snapshots.snapshot_of(states.read(), ["id"], fields, order)
+
+
+@query
+def activity_feed_from_changes(spark, sf):
+    """Moved tasks, updated pages and deleted agents, from the change logs of tasks, pages and agents."""
+    return feed.activity_feed(
+        feed.from_task_moves(snapshots.task_moves(v.task_changes(spark, sf))),
+        feed.from_page_updates(snapshots.page_updates(v.page_changes(spark, sf), ["title", "theme"])),
+        feed.from_deleted_agents(snapshots.deletions(v.changes(spark, sf))),
+    )
+
+
 @query
 def agent_presence(spark, sf):
     beats = v.table(spark, sf, "events").selectExpr("CAST(user_id AS STRING) AS agent_id", "CAST(ts AS TIMESTAMP) AS at")
@@ -688,10 +726,30 @@ def stream_clicks(spark, sf):
 
 @query
 def webhook_health(spark, sf):
-    events = v.raw_webhook_calls(v.stream(spark, sf, "events", STREAM_BATCH_BYTES))
-    probes = v.probes(spark, sf)
-    arrived = sinks.run_available(spark, events, transform=lambda batch, _: jobs.probe_arrivals(batch, probes))
-    return jobs.webhook_health(probes, sinks.summed_per_key(arrived, ["probe_id"]))
+    """Calls and probes as streams; either may come first."""
+    source = v.stream(spark, sf, "events", STREAM_BATCH_BYTES)
+    calls = v.raw_webhook_calls(source).select(F.lit("call").alias("kind"), "webhook_id", F.col("received_at").alias("at"), F.lit(None).cast("string").alias("probe_id"))
+    probes = v.probes(spark, sf, source).select(F.lit("probe").alias("kind"), "webhook_id", F.col("since").alias("at"), "probe_id")
+    counter = jobs.ArrivalCounter(spark, scratch_path(spark, "probes"), span_seconds=7 * 86_400)
+    arrived = sinks.run_available(spark, calls.unionByName(probes), transform=counter, merge=lambda rows: sinks.summed_per_key(rows, ["probe_id"]))
+    return jobs.webhook_health(v.probes(spark, sf), arrived)
+
+
+@query
+def stream_live_feed(spark, sf):
+    """The live list over the streams that the feed has, with the entry that flashes and whether the feed is active."""
+    events = v.stream(spark, sf, "events", STREAM_BATCH_BYTES)
+    tokens = v.click_tokens(v.stream(spark, sf, "lineitem", STREAM_BATCH_BYTES))
+    entries = jobs.stream_activity_feed(
+        feed.from_log(v.activity(spark, sf, events)),
+        feed.from_webhook_events(v.raw_webhook_calls(events), v.webhooks(spark, sf)),
+        feed.from_clicks(ingest.decode_click_tokens(tokens).filter("logged"), v.campaigns(spark, sf)),
+        feed.from_submissions(ingest.parse_submissions(v.raw_submissions(events), v.forms(spark, sf))),
+    )
+    live = sinks.run_available(spark, entries, transform=jobs.LiveFeed(spark, scratch_path(spark, "live")), merge=sinks.last_batch)
+    active = feed.feed_active(live, F.lit("2024-01-05 00:00:00").cast("timestamp")).select("active").scalar()
+    first = F.col("position") == 1
+    return live.select(*feed.FEED_COLUMNS, "position", F.when(first, F.col("flashed")).alias("flashed"), F.when(first, active).alias("active"))
 
 
 @query

@@ -238,9 +238,9 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def activity(spark: SparkSession, sf: str) -> DataFrame:
+def activity(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     """Feed rows that agents logged, with ids of many kinds in their details."""
-    return table(spark, sf, "events").selectExpr(
+    return (table(spark, sf, "events") if events is None else events).selectExpr(
         "concat('a', event_id) AS id",
         "CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS STRING) END AS agent_id",
         "CASE event_type WHEN 'signup' THEN 'content' WHEN 'view' THEN 'research' WHEN 'click' THEN 'email'"
@@ -446,6 +446,31 @@ def changes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def task_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """A change log of tasks, one per customer."""
+    return table(spark, sf, "orders").selectExpr(
+        "CAST(o_custkey AS STRING) AS id",
+        "CAST(o_orderdate AS TIMESTAMP) AS at",
+        "o_orderkey AS seq",
+        "CASE WHEN o_orderkey % 10 = 9 THEN 'delete' WHEN o_orderkey % 3 = 0 THEN 'put' ELSE 'patch' END AS op",
+        "CASE WHEN o_orderkey % 4 <> 0 THEN concat('Task ', o_orderkey) END AS title",
+        "CASE o_orderkey % 5 WHEN 0 THEN 'todo' WHEN 1 THEN 'doing' WHEN 2 THEN 'done' END AS status",
+        "CASE WHEN o_orderkey % 2 = 0 THEN concat('agent', o_orderkey % 7) END AS assignee_id",
+    )
+
+
+def page_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """A change log of published pages, one per user."""
+    return table(spark, sf, "events").selectExpr(
+        "concat('page-', user_id) AS slug",
+        "CAST(ts AS TIMESTAMP) AS at",
+        "event_id AS seq",
+        "CASE event_type WHEN 'signup' THEN 'put' WHEN 'error' THEN 'delete' ELSE 'patch' END AS op",
+        "CASE WHEN event_id % 4 <> 0 THEN concat('Page ', event_id) END AS title",
+        "CASE WHEN event_id % 3 = 0 THEN 'dark' END AS theme",
+    )
+
+
 def transcript_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as live transcript chunks: two in a row have the same speaker, a third are final."""
     return table(spark, sf, "conversations").selectExpr(
@@ -495,9 +520,9 @@ def invitations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def probes(spark: SparkSession, sf: str) -> DataFrame:
+def probes(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     """A health probe up to 19 seconds before each event, so that some see it arrive in time."""
-    return table(spark, sf, "events").selectExpr(
+    return (table(spark, sf, "events") if events is None else events).selectExpr(
         "CAST(event_id AS STRING) AS probe_id",
         "concat('w', user_id % 7) AS webhook_id",
         "CAST(ts - make_interval(0, 0, 0, 0, 0, 0, event_id % 20) AS TIMESTAMP) AS since",

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from heliograph.operators.blocks import MOST_ROWS, time_blocks
 from heliograph.operators.correlation import (
     FOUND, classify_event, click_stats, extract_message_ids, extract_replies, first_emails, match_events,
     match_replies, merge_first_emails, route_events,
 )
-from heliograph.operators.feed import activity_feed
+from heliograph.operators.feed import FEED_COLUMNS, LIVE_ROWS, REMEMBERED_ROWS, activity_feed, dedupe_feed
 from heliograph.operators.lifecycle import (
     STATUS_STATE, event_counters, fold_email_status, lifecycle_events, mark_applied, merge_status_states,
     ranks_after, status_state,
 )
+from heliograph.operators.snapshots import merge_snapshot_states, snapshot_state
+from heliograph.sources.files import Files
 from heliograph.sources.ingest import decode_click_tokens
-from heliograph.streaming.state import KeyedState
+from heliograph.streaming.state import KeyedState, TimedState
 
 PROBE_SECONDS = 15
 
@@ -160,6 +163,88 @@ def probe_arrivals(
     )
 
 
+class ArrivalCounter:
+    """Calls and probes as one stream of rows (`kind` call or probe, `webhook_id`, `at`, `probe_id`) to the
+    number of calls within each probe's window.
+
+    Either may come first: a micro-batch counts its calls in the windows of the probes up to then, and the
+    earlier calls in the windows of its own probes. Both are kept by spans of time, and a batch opens the
+    spans that its own windows reach into, no others. Its counts are increments, to be summed.
+    """
+
+    def __init__(self, spark: SparkSession, state: str, seconds: int = PROBE_SECONDS, span_seconds: int = 3600) -> None:
+        self.seconds = seconds
+        self.calls = TimedState(spark, f"{state}/calls", "webhook_id STRING, received_at TIMESTAMP", "received_at", span_seconds)
+        self.probes = TimedState(spark, f"{state}/probes", "probe_id STRING, webhook_id STRING, since TIMESTAMP", "since", span_seconds)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        calls = batch.filter("kind = 'call'").select("webhook_id", F.col("at").alias("received_at"))
+        probes = batch.filter("kind = 'probe'").select("probe_id", "webhook_id", F.col("at").alias("since"))
+        earlier = probe_arrivals(calls, self._near(self.probes, batch, "call", -self.seconds, batch_id).unionByName(probes), self.seconds)
+        later = probe_arrivals(self._near(self.calls, batch, "probe", self.seconds, batch_id), probes, self.seconds)
+        self.calls.add(calls, batch_id)
+        self.probes.add(probes, batch_id)
+        return earlier.unionByName(later).groupBy("probe_id").agg(F.sum("new_events").alias("new_events"))
+
+    def _near(self, state: TimedState, batch: DataFrame, kind: str, offset: int, batch_id: int) -> DataFrame:
+        """What earlier batches left in the spans of a batch's rows and of the other end of their windows."""
+        other = F.timestamp_micros(F.unix_micros("at") + offset * 1_000_000)
+        spans = batch.filter(F.col("kind") == kind).select(F.explode(F.array(state.span(F.col("at")), state.span(other))).alias("s"))
+        # One number per span of the batch.
+        return state.read([r.s for r in spans.distinct().collect()], batch_id)
+
+
+class LiveFeed:
+    """The live list over micro-batches of feed rows: the newest rows so far, with what was flashed.
+
+    The list is all that is remembered: LIVE_ROWS rows, written anew for each batch. As in `flag_new_entries`
+    the newest row flashes unless it was remembered before, and the top rows are remembered with a flash; ids that
+    have left the list are forgotten, for nothing that is older than the list comes back to its top. An entry's
+    time is taken not to change: an older row of an id whose newer one is in the list replaces it, one that
+    comes after that has left doesn't count.
+    """
+
+    def __init__(self, spark: SparkSession, state: str, n: int = LIVE_ROWS) -> None:
+        self.spark, self.state, self.n = spark, state, n
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        schema = [*batch.select(*FEED_COLUMNS).schema.fields, StructField("flashed", BooleanType()), StructField("remembered", BooleanType())]
+        before = self.spark.createDataFrame([], StructType(schema))
+        if batch_id:
+            before = self.spark.read.schema(before.schema).parquet(f"{self.state}/before={batch_id}")
+        rows = dedupe_feed(before.select(*FEED_COLUMNS).unionByName(batch.select(*FEED_COLUMNS)), self.n)
+        # A list of at most n rows: one task is right for it.
+        whole = W.orderBy(F.col("created_at").desc_nulls_last(), "id")
+        known = before.select("id", "flashed", "remembered").dropDuplicates(["id"])
+        old = F.coalesce("remembered", F.lit(False))
+        placed = rows.join(known, "id", "left").withColumn("position", F.row_number().over(whole)).withColumn("_flash", (F.col("position") == 1) & ~old)
+        flash = F.max("_flash").over(whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        now = placed.select(
+            *FEED_COLUMNS, (F.coalesce("flashed", F.lit(False)) | F.col("_flash")).alias("flashed"),
+            (old | (flash & (F.col("position") <= REMEMBERED_ROWS))).alias("remembered"), "position",
+        )
+        now.drop("position").coalesce(1).write.mode("overwrite").parquet(f"{self.state}/before={batch_id + 1}")
+        Files(self.spark, self.state).delete(f"before={batch_id - 1}")
+        return self.spark.read.schema(before.schema).parquet(f"{self.state}/before={batch_id + 1}").withColumn("position", F.row_number().over(whole))
+
+
+def snapshot_keeper(
+    spark: SparkSession, state: str, changes: DataFrame, key: str, fields: Sequence[str], order: Sequence[str], buckets: int | None = None,
+) -> tuple[KeyedState, Callable[[DataFrame, int], None]]:
+    """A snapshot's state by hash bucket, and what merges more changes into it. `changes` gives the columns."""
+    empty = snapshot_state(changes.limit(0), [key], fields, order)
+    states = KeyedState(spark, state, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in empty.schema), key, buckets)
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        new = snapshot_state(batch, [key], fields, order).persist()
+        try:
+            states.update(new, [new.select(key)], batch_id, lambda one, other: merge_snapshot_states(one, other, [key]))
+        finally:
+            new.unpersist()
+
+    return states, update
+
+
 def webhook_health(probes: DataFrame, arrivals: DataFrame) -> DataFrame:
     """Probes with their verdict; those without any arrival fail."""
     n = F.coalesce("new_events", F.lit(0))

@@ -105,6 +105,12 @@ def summed_per_key(batches: DataFrame, keys: Sequence[str]) -> DataFrame:
     return batches.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in values])
 
 
+def last_batch(batches: DataFrame) -> DataFrame:
+    """Rows of the last batch alone, for streams whose every batch is the whole result."""
+    last = batches.agg(F.max("batch_id")).scalar()
+    return batches.filter(F.col("batch_id") == last).drop("batch_id")
+
+
 def run_updates(df: DataFrame, update: Callable[[DataFrame, int], None]) -> None:
     """Run a stream over what is there now into an update of state, which must bear to be repeated."""
     def write(batch: DataFrame, batch_id: int) -> None:

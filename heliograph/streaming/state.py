@@ -82,28 +82,26 @@ class KeyedState:
 
 
 class TimedState:
-    """Rows by the hour of their time, added to by every micro-batch and read by the hour."""
+    """Rows by the span of time they fall into, added to by every micro-batch and read by the span."""
 
-    SECONDS = 3600
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, at: str) -> None:
-        self.spark, self.path, self.at = spark, path.rstrip("/"), at
+    def __init__(self, spark: SparkSession, path: str, schema: str, at: str, span_seconds: int) -> None:
+        self.spark, self.path, self.at, self.span_seconds = spark, path.rstrip("/"), at, span_seconds
         self.schema = rows_of(spark, schema).schema
 
-    def hour(self, at: Column) -> Column:
-        return F.floor(F.unix_seconds(at) / self.SECONDS)
+    def span(self, at: Column) -> Column:
+        return F.floor(F.unix_seconds(at) / self.span_seconds)
 
     def add(self, rows: DataFrame, batch_id: int) -> None:
         """Rows of one batch; a repetition replaces them."""
-        placed = rows.select(*self.schema.names, self.hour(F.col(self.at)).alias("hour"), F.lit(batch_id).alias("batch"))
-        writer = placed.hint("rebalance", "hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("hour", "batch").parquet(self.path)
+        placed = rows.select(*self.schema.names, self.span(F.col(self.at)).alias("span"), F.lit(batch_id).alias("batch"))
+        writer = placed.hint("rebalance", "span").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("span", "batch").parquet(self.path)
 
-    def read(self, hours: Iterable[int], before: int) -> DataFrame:
-        """Rows of some hours from the batches before one; no other folder is opened."""
+    def read(self, spans: Iterable[int], before: int) -> DataFrame:
+        """Rows of some spans from the batches before one; no other folder is opened."""
         files = Files(self.spark, self.path)
         paths = []
-        for hour in sorted(set(hours)):
-            own = [n for n in files.names(f"hour={hour}") if n.startswith("batch=")]
-            paths += [f"{self.path}/hour={hour}/{n}" for n in own if int(n.removeprefix("batch=")) < before]
+        for span in sorted(set(spans)):
+            own = [n for n in files.names(f"span={span}") if n.startswith("batch=")]
+            paths += [f"{self.path}/span={span}/{n}" for n in own if int(n.removeprefix("batch=")) < before]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else rows_of(self.spark, self.schema)

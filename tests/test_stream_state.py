@@ -137,3 +137,63 @@ def test_a_repeated_batch_of_a_view(spark, tmp_path, many_files):
         p.unlink()
     start()
     assert rows(total(sinks.read_batches(spark, path))) == first
+
+
+def test_probes_and_calls_in_any_order(spark, tmp_path):
+    rng = random.Random(7)
+    at = lambda s: START + datetime.timedelta(seconds=s)
+    calls = [("call", f"w{rng.randrange(3)}", at(rng.randrange(40_000)), None) for _ in range(3000)]
+    probes = [("probe", f"w{rng.randrange(3)}", at(rng.randrange(40_000)), f"p{i}") for i in range(300)]
+    ddl = "kind string, webhook_id string, at timestamp, probe_id string"
+    whole = calls + probes
+    rng.shuffle(whole)
+    counter = jobs.ArrivalCounter(spark, str(tmp_path))
+    parts = [counter(spark.createDataFrame(whole[n::4], ddl), n).collect() for n in range(4)]
+    again = counter(spark.createDataFrame(whole[3::4], ddl), 3).collect()
+    assert sorted(again) == sorted(parts[3])
+    got = {}
+    for r in (r for part in parts for r in part):
+        got[r.probe_id] = got.get(r.probe_id, 0) + r.new_events
+    want = {p: sum(w == v and s <= t < s + datetime.timedelta(seconds=15) for _, v, t, _ in calls) for _, w, s, p in probes}
+    assert got == {p: n for p, n in want.items() if n}
+
+
+def test_probes_out_of_range_are_not_read(spark, tmp_path):
+    ddl = "kind string, webhook_id string, at timestamp, probe_id string"
+    day = datetime.timedelta(days=1)
+    counter = jobs.ArrivalCounter(spark, str(tmp_path))
+    counter(spark.createDataFrame([("probe", "w", START + i * day, f"p{i}") for i in range(20)], ddl), 0)
+    call = spark.createDataFrame([("call", "w", START + 3 * day + datetime.timedelta(seconds=5), None)], ddl)
+    opened = counter._near(counter.probes, call, "call", -15, 1).inputFiles()
+    assert len({f.split("span=")[1].split("/")[0] for f in opened}) == 1
+    assert rows(counter(call, 1)) == [("p3", 1)]
+
+
+FEED = "id string, agent_id string, category string, summary string, details string, created_at timestamp"
+
+
+def plain_live(batches):
+    """The list, the flashed ids and the remembered ones after every batch, as a client keeps them."""
+    whole, seen, flashed = {}, set(), set()
+    for batch in batches:
+        for r in batch:
+            whole.setdefault(r[0], r)
+        top = sorted(whole.values(), key=lambda r: (-r[5].timestamp(), r[0]))[:20]
+        if top and top[0][0] not in seen:
+            flashed.add(top[0][0])
+            seen |= {r[0] for r in top[:5]}
+        yield [(r[0], r[0] in flashed) for r in top]
+
+
+def test_live_feed_over_batches(spark, tmp_path):
+    rng = random.Random(8)
+    entries = [(f"e{i}", None, "system", f"s{i}", None, START + datetime.timedelta(minutes=rng.randrange(300))) for i in range(200)]
+    batches = [entries[n : n + 25] + rng.sample(entries[: n + 25], 3) for n in range(0, 200, 25)] + [[]]
+    live = jobs.LiveFeed(spark, str(tmp_path))
+    for n, want in enumerate(plain_live(batches)):
+        got = live(spark.createDataFrame(batches[n], FEED), n).orderBy("position").collect()
+        assert [(r.id, r.flashed) for r in got] == want
+    again = live(spark.createDataFrame(batches[-1], FEED), len(batches) - 1).orderBy("position").collect()
+    assert [(r.id, r.flashed) for r in again] == want
+    # The state is the list.
+    assert len(folders(tmp_path, "before")) == 2 and spark.read.parquet(f"{tmp_path}/before={len(batches)}").count() == 20
