@@ -14,7 +14,7 @@ from heliograph.operators import (
 )
 from heliograph.plans import views as v
 from heliograph.session import configure, scratch_path
-from heliograph.sources import ingest
+from heliograph.sources import entities, ingest
 from heliograph.streaming import jobs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,35 @@ def import_scraped_leads(spark, sf):
     return ingest.import_scraped_leads(v.scraped_items(spark, sf), v.campaigns(spark, sf)).drop("raw", "tags")
 
 
+@query
+def stored_round_trip(spark, sf):
+    """Clicks written under their campaign, half of them by a run that is repeated, read back for one campaign
+    whose id looks like a number."""
+    clicks, path = v.clicks(spark, sf), scratch_path(spark, "clicks")
+    clicks = clicks.withColumn("campaign_id", F.concat(F.lit("00"), F.col("campaign_id")))
+    odd = F.col("email_id").cast("bigint") % 2 == 1
+    for part, run in ((~odd, "even"), (odd, "odd"), (odd, "odd")):
+        entities.write_partitioned(clicks.filter(part), path, "campaign_id", run_id=run)
+    return entities.read_entity(spark, path, "clicks", partition="007").select("id", "campaign_id", "email_id", "clicked_at")
+
+
+@query
+def newest_stored(spark, sf):
+    """The newest e-mails of a store by days, of which only the last are opened."""
+    mails, path = v.emails(spark, sf).select("id", "campaign_id", "created_at"), scratch_path(spark, "mails")
+    months = mails.withColumn("created_at", F.date_trunc("month", "created_at"))
+    entities.write_clustered(months, path, "created_at", "first")
+    return entities.newest_stored(spark, path, months.schema, "created_at", 100)
+
+
+@query
+def lookup(spark, sf):
+    """One e-mail by its id, from a store in which only the row groups that may hold it are read."""
+    mails, path = v.emails(spark, sf).select("id", "campaign_id", "created_at"), scratch_path(spark, "mails")
+    entities.write_clustered(mails.withColumn("created_at", F.date_trunc("year", "created_at")), path, "created_at", "first")
+    return entities.lookup(entities.read_clustered(spark, path, mails.schema), "7")
+
+
 # --- leads and plans -------------------------------------------------------------------------------
 
 @query

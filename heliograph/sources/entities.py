@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from heliograph.functions.json import is_json
 from heliograph.functions.text import js_trim_start
+from heliograph.operators.ordering import newest_first
 from heliograph.schemas import PARTITION_KEYS, schema_of
+from heliograph.sources.files import Files
 
 
 def _stored_schema(entity: str, schema: StructType | None) -> tuple[StructType, StructField | None]:
@@ -52,7 +54,8 @@ def read_entity(
         df = _parse_documents(spark.read.schema(_line_schema(key)).text(path), inside, key)
     else:
         whole = StructType([*inside.fields, *([key] if key is not None else [])])
-        df = spark.read.schema(whole).parquet(path)
+        # Folders of runs above those of the key add a column.
+        df = spark.read.schema(whole).parquet(path).select(*whole.names)
     return df if partition is None else df.filter(F.col(key.name) == partition)
 
 
@@ -72,18 +75,61 @@ def stream_entity(
     if fmt == "json":
         lines = reader.schema(_line_schema(key)).text(path)
         return _parse_documents(lines, inside, key)
-    return reader.schema(StructType([*inside.fields, *([key] if key is not None else [])])).parquet(path)
+    whole = StructType([*inside.fields, *([key] if key is not None else [])])
+    return reader.schema(whole).parquet(path).select(*whole.names)
 
 
-def write_partitioned(df: DataFrame, path: str, key: str, fmt: str = "parquet") -> None:
+def write_partitioned(df: DataFrame, path: str, key: str, fmt: str = "parquet", run_id: str | None = None) -> None:
     """Append rows under their leading key.
 
     The rebalance gathers small keys, so that folders do not fill up with one file per task, and
-    splits a key that holds most of the rows into writes of ordinary size.
+    splits a key that holds most of the rows into writes of ordinary size. With a `run_id` the rows go
+    under a folder of that run, and the run written again replaces itself: a job that is repeated after a failure
+    leaves one copy. A store is written with run ids throughout, or without.
     """
-    df.hint("rebalance", key).write.partitionBy(key).mode("append").format(fmt).save(path)
+    writer = df.hint("rebalance", key).write.partitionBy(key).format(fmt)
+    if run_id is None:
+        writer.mode("append").save(path)
+    else:
+        writer.mode("overwrite").save(f"{path}/run={run_id}")
 
 
 def lookup(df: DataFrame, value: str, column: str = "id") -> DataFrame:
     """Point read by id; the predicate reaches the scan."""
     return df.filter(F.col(column) == value).limit(1)
+
+
+#: Rows of a row group of a clustered store, about: what a point read decodes.
+GROUP_BYTES = 16 << 20
+
+
+def write_clustered(df: DataFrame, path: str, at: str, run_id: str, key: str = "id", group_bytes: int = GROUP_BYTES) -> None:
+    """Append rows to a store laid out for the newest rows and for single ids: a folder per day of `at`, in
+    it files of consecutive keys, sorted, with the least and greatest key and a Bloom filter of the keys in
+    every row group. A run written again replaces what it wrote.
+    """
+    day = F.to_date(F.col(at))
+    placed = df.withColumn("day", day).withColumn("run", F.lit(run_id))
+    # Ranges of (day, key): a busy day is split over tasks, a quiet one is one file.
+    ranged = placed.repartitionByRange("day", key).sortWithinPartitions("day", key)
+    writer = ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "run")
+    writer = writer.option("parquet.block.size", group_bytes).option(f"parquet.bloom.filter.enabled#{key}", "true")
+    writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
+
+
+def read_clustered(spark: SparkSession, path: str, schema: StructType, days: list[str] | None = None) -> DataFrame:
+    """A clustered store, or some of its days alone. A `lookup` on it skips the row groups without the id."""
+    whole = StructType([*schema.fields, StructField("day", DateType()), StructField("run", StringType())])
+    folders = [path] if days is None else [f"{path}/{d}" for d in days]
+    return spark.read.schema(whole).option("basePath", path).parquet(*folders).select(*schema.names)
+
+
+def newest_stored(spark: SparkSession, path: str, schema: StructType, at: str, limit: int, tie: str = "id") -> DataFrame:
+    """The newest rows of a clustered store. Days are opened from the newest on, twice as many at a time, until
+    they hold enough rows; their numbers of rows come from the files' footers. Rows without a time come last."""
+    names = [n for n in Files(spark, path).names() if n.startswith("day=")]
+    names.sort(key=lambda n: "" if "HIVE_DEFAULT" in n else n, reverse=True)
+    count = 1
+    while count < len(names) and read_clustered(spark, path, schema, names[:count]).count() < limit:
+        count *= 2
+    return newest_first(read_clustered(spark, path, schema, names[:count]), at, limit, tie)
