@@ -10,7 +10,7 @@ is compared pair by pair. Every link is confirmed on the whole sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,8 @@ from heliograph.llm.components import components
 SHINGLE = 5
 #: Similarity from which sets are linked, in hundredths.
 LEAST = 85
-#: Bands, and permutations of each; a permutation gives two values.
-BANDS, DEPTH = 32, 3
+#: Bands, and permutations of each; a permutation gives two values. A caller may ask for up to MOST_BANDS.
+BANDS, DEPTH, MOST_BANDS = 32, 3, 64
 #: Rounds with one leader per band, before what is still apart is compared in pairs.
 STARS = 4
 #: Bits, at most, of the filter of bands that several classes have.
@@ -36,7 +36,7 @@ def _constants(count: int, seed: int) -> np.ndarray:
 
 
 #: x -> x * FACTOR + OFFSET permutes the numbers of 64 bits, as the factors are odd.
-FACTORS, OFFSETS = _constants(BANDS * DEPTH, 11) | np.uint64(1), _constants(BANDS * DEPTH, 12)
+FACTORS, OFFSETS = _constants(MOST_BANDS * DEPTH, 11) | np.uint64(1), _constants(MOST_BANDS * DEPTH, 12)
 
 
 def folded(values: list[np.ndarray], seed: int) -> np.ndarray:
@@ -75,12 +75,12 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+def band_keys(sets: list[np.ndarray], bands: int = BANDS) -> np.ndarray:
     """A row of band keys for each set, none of them empty."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets)])[:-1]
-    keys = np.empty((len(sets), BANDS), np.uint64)
-    for band in range(BANDS):
+    keys = np.empty((len(sets), bands), np.uint64)
+    for band in range(bands):
         values = []
         for k in range(band * DEPTH, (band + 1) * DEPTH):
             moved = flat * FACTORS[k] + OFFSETS[k]
@@ -105,14 +105,18 @@ def _signed_lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = shingle_sets(batch.column(2).to_pylist())
-        full = [s for s in sets if len(s)]
-        rows = iter(band_keys(full) if full else [])
-        keys = [next(rows) if len(s) else s for s in sets]
-        columns = [batch.column(0), batch.column(1), _signed([_signature(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), _signed_lists(keys)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "sig", "n", "bands"])
+def _banded(bands: int, summary: Callable[[np.ndarray], int] | None) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(2).to_pylist())
+            full = [s for s in sets if len(s)]
+            rows = iter(band_keys(full, bands) if full else [])
+            keys = [next(rows) if len(s) else s for s in sets]
+            prints = [summary(s) if summary and len(s) else 0 for s in sets]
+            columns = [batch.column(0), batch.column(1), _signed([_signature(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), _signed(prints), _signed_lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "sig", "n", "fp", "bands"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,17 +131,17 @@ def _other(key: str, name: str) -> Column:
     return F.bitwise_not(F.col(key)).alias(name)
 
 
-def _sizes_fit(a: str, b: str) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * LEAST
+def _sizes_fit(a: str, b: str, least: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * least
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Of pairs (u, v) of classes those whose whole sets are similar enough."""
     left = sets.select(_other("sig", "_u"), F.col("hashes").alias("x"))
     right = sets.select(_other("sig", "_v"), F.col("hashes").alias("y"))
     both = pairs.withColumn("_u", _other("u", "_u")).join(left, "_u").withColumn("_v", _other("v", "_v")).join(right, "_v")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared * (100 + LEAST) >= (F.size("x") + F.size("y")) * LEAST).select("u", "v")
+    return both.filter(shared * (100 + least) >= (F.size("x") + F.size("y")) * least).select("u", "v")
 
 
 def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -153,7 +157,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _linked(shared: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+def _linked(shared: DataFrame, sets: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     """(node, root) of the classes connected by links, except the roots themselves.
 
     Only row counts come to the driver.
@@ -172,10 +176,10 @@ def _linked(shared: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
         else:
             other = left.select("band", *(F.col(c).alias(f"o_{c}") for c in ("sig", "n", "root")))
             pairs = left.join(other, "band").filter("root < o_root")
-        pairs = _ordered(pairs.filter(_sizes_fit("n", "o_n")).select(F.col("sig").alias("u"), F.col("o_sig").alias("v")))
+        pairs = _ordered(pairs.filter(_sizes_fit("n", "o_n", least)).select(F.col("sig").alias("u"), F.col("o_sig").alias("v")))
         pairs = scratch.keep(pairs.join(tried, ["u", "v"], "left_anti"), f"pairs-{turn}")
         tried = tried.unionByName(pairs)
-        found = scratch.keep(_confirmed(pairs, sets), f"links-{turn}")
+        found = scratch.keep(_confirmed(pairs, sets, least), f"links-{turn}")
         scratch.drop(f"apart-{turn}")
         if not found.isEmpty():
             links = links.unionByName(found)
@@ -183,24 +187,31 @@ def _linked(shared: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     return roots
 
 
-def minmax_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, `n_shingles` (the size of the text's set of distinct 5-word shingles), `component_id` (the
-    smallest doc_id reachable over links) and `kept` (whether that is the row's own id).
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a document's id and text."""
+    return F.xxhash64(docs["doc_id"].cast("long"), text_key(docs["text"].cast("string")))
 
-    Sets link when they share 85 hundredths of their union or more. Texts without words (missing, empty,
-    blank) are linked with nothing; fewer than five words are one shingle; whole texts of any length count.
-    Rows without doc_id get the component of the others, null if there are none, and aren't kept; repeated
-    rows stay; an empty table gives an empty result; other columns of `docs` are not read.
+
+def linked_groups(
+    docs: DataFrame, least: int = LEAST, bands: int = BANDS, summary: Callable[[np.ndarray], int] | None = None,
+    more_bands: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """doc_id, `row` (see `row_key`), `n` (the number of shingles), `root` (the same for all rows of a group) and
+    `component_id` (the group's smallest doc_id).
+
+    Texts without words are one group. `summary` makes one number `fp` of a set, and `more_bands` finds further
+    bands (band, sig, n) from the classes (sig, n, fp), whose members are compared like those of the others.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minmax")
-    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    rows = in_small_batches(docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text_key(text)).alias("row"), text.alias("text")))
-    records = scratch.keep(rows.mapInArrow(_banded, "doc_id long, row long, sig long, n long, bands array<long>"), "records")
-    full = records.filter("n > 0")
+    rows = in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), F.col("text").cast("string").alias("text")))
+    records = scratch.keep(rows.mapInArrow(_banded(bands, summary), "doc_id long, row long, sig long, n long, fp long, bands array<long>"), "records")
     # A row of each class stands for it.
-    classes = scratch.keep(full.groupBy("sig").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "classes")
-    spread = full.select("sig", "n", F.explode("bands").alias("band"))
+    first = [F.min("row").alias("row"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("fp").alias("fp")]
+    classes = scratch.keep(records.groupBy("sig").agg(*first), "classes")
+    spread = records.filter("n > 0").select(F.explode("bands").alias("band"), "sig", "n")
+    if more_bands is not None:
+        spread = spread.unionByName(scratch.keep(more_bands(classes.filter("n > 0").select("sig", "n", "fp")), "more"))
     several = spread.groupBy("band").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).filter("a <> b")
     several = scratch.keep(several.select(_other("band", "_band")), "several")
     # Most bands belong to one class: they are left out before the join, so that they need not be shuffled.
@@ -214,12 +225,23 @@ def minmax_groups(docs: DataFrame) -> DataFrame:
     texts = rows.filter(may_be_member(F.col("row"), member_bits(wanted, "row", size), size)).select("row", "text")
     found = in_small_batches(texts).mapInArrow(_sets, "row long, sig long, hashes array<long>")
     sets = scratch.keep(found.join(wanted, "row", "left_semi").dropDuplicates(["row"]).select("sig", "hashes"), "sets")
-    roots = scratch.keep(_linked(shared, sets, scratch), "parts")
-    scratch.drop("several", "shared", "wanted", "sets")
+    roots = scratch.keep(_linked(shared, sets, least, scratch), "parts")
+    scratch.drop("more", "several", "shared", "wanted", "sets")
     named = classes.join(roots, classes.sig == roots.node, "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     named = scratch.keep(named, "named")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id")).select(_other("root", "_root"), "component_id")
-    named = named.withColumn("_root", _other("root", "_root")).join(smallest, "_root").select(_other("sig", "_sig"), "component_id")
-    out = records.select("doc_id", "sig", "n").withColumn("_sig", F.when(F.col("n") > 0, _other("sig", "_sig"))).join(named, "_sig", "left")
+    named = named.withColumn("_root", _other("root", "_root")).join(smallest, "_root").select(_other("sig", "_sig"), "root", "component_id")
+    return records.select("doc_id", "row", "n", _other("sig", "_sig")).join(named, "_sig").drop("_sig")
+
+
+def minmax_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, `n_shingles` (the size of the text's set of distinct 5-word shingles), `component_id` (the
+    smallest doc_id reachable over links) and `kept` (whether that is the row's own id).
+
+    Sets link when they share 85 hundredths of their union or more. Texts without words (missing, empty,
+    blank) are linked with nothing; fewer than five words are one shingle; whole texts of any length count.
+    Rows without doc_id get the component of the others, null if there are none, and aren't kept; repeated
+    rows stay; an empty table gives an empty result; other columns of `docs` are not read.
+    """
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return linked_groups(docs).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

@@ -3,9 +3,10 @@
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from heliograph.llm import near_copies
+from heliograph.llm import minmax, near_copies
 from heliograph.llm.common import table
 
 
@@ -53,10 +54,11 @@ def frame(spark):
     return spark.createDataFrame(rows, "doc_id long, text string"), rows
 
 
-@pytest.mark.parametrize("common", [3, 10**9])
-def test_all_pairs(spark, monkeypatch, common):
-    monkeypatch.setattr(near_copies, "COMMON", common)
+@pytest.mark.parametrize("stars", [4, 0])
+def test_all_pairs(spark, monkeypatch, stars):
+    monkeypatch.setattr(minmax, "STARS", stars)
     df, rows = frame(spark)
+    df = df.select("*", F.lit(1).alias("_row"), F.lit(2).alias("_stays"))
     got = near_copies.near_copy_groups(df).collect()
     assert Counter((r.doc_id, r.component_id) for r in got) == Counter((d, f) for (d, _), f in zip(rows, firsts(rows)))
     kept = near_copies.first_of_each_group(df)

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 from test_decontamination import plain as plain_hits
-from test_simhash import plain_fingerprint, roots
+from test_near_copies import firsts
 from test_suffix_dedup import plain as plain_repeats
 from tokenizers import Tokenizer
 
@@ -27,8 +27,7 @@ def test_stages(spark, sf):
         if name == "toxicity":
             want = [r for r in before if scores[r[0]] < 0.5]
         elif name == "near_duplicates":
-            root = roots([d for d, _ in before], [plain_fingerprint(t) for _, t in before], 2)
-            want = [r for r, first in zip(before, root) if r[0] == first]
+            want = [r for r, first in zip(before, firsts(before)) if r[0] == first]
         elif name == "repeated_passages":
             want = [(d, kept.decode("utf-8", "ignore")) for d, _, _, kept in plain_repeats(before)]
         else:
