@@ -216,14 +216,19 @@ def orphan_sweep(tables: dict[str, DataFrame], links: Sequence[tuple[str, str, s
     return reduce(DataFrame.unionByName, swept)
 
 
+def delivery_key() -> Column:
+    """What deliveries of one event have in common; calls without an event are by themselves."""
+    return F.coalesce("event_id", F.concat(F.lit("\u0000"), F.col("id")))
+
+
 def dedupe_deliveries(events: DataFrame, at: str = "received_at") -> DataFrame:
     """Drop redelivered provider events by their `event_id`; optional, off in the default pipeline.
 
     On a table the first delivery of an event stays, on a stream the one that comes in first. A stream
     remembers every id in its state store, on disk: a call that comes late is only dropped if its event was
-    seen, never for its age.
+    seen, never for its age. `streaming.jobs.redelivery_filter` keeps the ids in tables instead.
     """
-    keyed = events.withColumn("_delivery", F.coalesce("event_id", F.concat(F.lit("\u0000"), F.col("id"))))
+    keyed = events.withColumn("_delivery", delivery_key())
     if events.isStreaming:
         return keyed.dropDuplicates(["_delivery"]).drop("_delivery")
     first = F.min_by(F.struct(*events.columns), F.struct(at, "id"))

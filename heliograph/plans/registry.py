@@ -785,6 +785,6 @@ def stream_live_feed(spark, sf):
 def stream_dedupe_deliveries(spark, sf):
     calls = ingest.parse_webhook_events(v.raw_webhook_calls(v.stream(spark, sf, "events", STREAM_BATCH_BYTES)))
     events = calls.withColumn("event_id", F.col("event.event_id")).select("id", "event_id", "received_at")
-    kept = sinks.run_available(spark, correlation.dedupe_deliveries(events))
+    kept = sinks.run_available(spark, events, transform=jobs.redelivery_filter(spark, scratch_path(spark, "seen")))
     # Which delivery of an event comes in first is up to the files; that there is one is not.
     return kept.select("event_id", F.when(F.col("event_id").isNull(), F.col("id")).alias("id"))

@@ -11,7 +11,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from heliograph.operators.blocks import MOST_ROWS, time_blocks
 from heliograph.operators.correlation import (
-    FOUND, classify_event, click_stats, extract_message_ids, extract_replies, first_emails, match_events,
+    FOUND, classify_event, click_stats, dedupe_deliveries, delivery_key, extract_message_ids, extract_replies, first_emails, match_events,
     match_replies, merge_first_emails, route_events,
 )
 from heliograph.operators.feed import FEED_COLUMNS, LIVE_ROWS, REMEMBERED_ROWS, activity_feed, dedupe_feed
@@ -22,7 +22,7 @@ from heliograph.operators.lifecycle import (
 from heliograph.operators.snapshots import merge_snapshot_states, snapshot_state
 from heliograph.sources.files import Files
 from heliograph.sources.ingest import decode_click_tokens
-from heliograph.streaming.state import KeyedState, TimedState
+from heliograph.streaming.state import KeyedState, SeenIds, TimedState
 
 PROBE_SECONDS = 15
 
@@ -163,6 +163,21 @@ def probe_arrivals(
     )
 
 
+def redelivery_filter(spark: SparkSession, state: str, fanout: int = 8) -> Callable[[DataFrame, int], DataFrame]:
+    """What drops redelivered provider events from micro-batches, as `dedupe_deliveries` does on a table: of
+    each batch the first delivery of events that no batch before had. Ids are kept in tables, never dropped for
+    their age, and only compared exactly where Bloom bits say that they may have come before."""
+    ids = SeenIds(spark, state, fanout)
+
+    def first(batch: DataFrame, batch_id: int) -> DataFrame:
+        once = dedupe_deliveries(batch)
+        keyed = once.withColumn("_key", delivery_key())
+        new = ids.admit(keyed.select(F.col("_key").alias("key")), batch_id)
+        return keyed.join(new, keyed["_key"] == new["key"], "left_semi").drop("_key")
+
+    return first
+
+
 class ArrivalCounter:
     """Calls and probes as one stream of rows (`kind` call or probe, `webhook_id`, `at`, `probe_id`) to the
     number of calls within each probe's window.

@@ -105,3 +105,83 @@ class TimedState:
             own = [n for n in files.names(f"span={span}") if n.startswith("batch=")]
             paths += [f"{self.path}/span={span}/{n}" for n in own if int(n.removeprefix("batch=")) < before]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else rows_of(self.spark, self.schema)
+
+
+class SeenIds:
+    """All ids that a stream has had, in segments by arrival, each with Bloom bits.
+
+    The ids of a batch are looked up in the bits, a word of 64 per id and size of segment, and only where all
+    bits of an id are set in a segment is that segment's list opened for an exact answer: an id is new or not for
+    certain, however late it comes. Nothing is held in memory between batches. Segments of one level are merged
+    into one of the next as soon as there are `fanout`, so their number grows with the logarithm of the batches.
+    """
+
+    BITS = "segment STRING, e INT, word BIGINT, bits BIGINT"
+    LISTED = "segment STRING, key STRING"
+
+    def __init__(self, spark: SparkSession, path: str, fanout: int = 8) -> None:
+        self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
+
+    def segments(self, before: int | None = None) -> list[dict]:
+        """Name, level and size (as a power of two) of each segment."""
+        return Commits(self.spark, self.path).last(before).get("segments", [])
+
+    @staticmethod
+    def _word(e: Column) -> Column:
+        return F.xxhash64("key").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), e) - 1)
+
+    @staticmethod
+    def _mask() -> Column:
+        spots, mask = F.xxhash64("key", F.lit(1)), F.lit(0).cast("long")
+        for k in range(4):
+            mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(spots, 6 * k).bitwiseAND(F.lit(63)).cast("int")))
+        return mask
+
+    def _read(self, kind: str, names: Sequence[str]) -> DataFrame:
+        schema = self.BITS if kind == "bits" else self.LISTED
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{kind}/{n}" for n in names])
+
+    def _write(self, keys: DataFrame, name: str, level: int) -> dict:
+        listed = keys.select(F.lit(name).alias("segment"), "key")
+        listed.write.mode("overwrite").parquet(f"{self.path}/list/{name}")
+        # Sixteen bits per id: about one id in four hundred is looked up in vain.
+        e = max(4, (self._read("list", [name]).count() // 4).bit_length())
+        bits = self._read("list", [name]).groupBy("segment", F.lit(e).alias("e"), self._word(F.lit(e)).alias("word")).agg(F.bit_or(self._mask()).alias("bits"))
+        bits.write.mode("overwrite").parquet(f"{self.path}/bits/{name}")
+        return {"name": name, "level": level, "e": e}
+
+    def _likely(self, keys: DataFrame, segments: list[dict]) -> DataFrame:
+        """(segment, key) wherever all bits of a key are set."""
+        if not segments:
+            return rows_of(self.spark, self.LISTED)
+        sizes = F.array(*[F.lit(e) for e in sorted({s["e"] for s in segments})])
+        asked = keys.select("key", F.explode(sizes).alias("e")).withColumn("word", self._word(F.col("e"))).withColumn("mask", self._mask())
+        found = asked.join(self._read("bits", [s["name"] for s in segments]), ["e", "word"])
+        return found.filter(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select("segment", "key")
+
+    def admit(self, keys: DataFrame, batch_id: int) -> DataFrame:
+        """Of the `key` values of a batch those that no batch before had, once each. A repeated batch gives the same."""
+        commits, keys = Commits(self.spark, self.path), keys.select("key").distinct()
+        segments, name = self.segments(batch_id), f"0-{batch_id}"
+        likely = self._likely(keys, segments).persist()
+        try:
+            # One name per segment.
+            opened = sorted(r.segment for r in likely.select("segment").distinct().collect())
+            if opened:
+                seen = likely.join(self._read("list", opened), ["segment", "key"], "left_semi")
+                keys = keys.join(seen.select("key").distinct(), "key", "left_anti")
+            segments.append(self._write(keys, name, 0))
+        finally:
+            likely.unpersist()
+        level = 0
+        while len(own := [s for s in segments if s["level"] == level]) >= self.fanout:
+            level += 1
+            whole = self._write(self._read("list", [s["name"] for s in own]), f"{level}-{batch_id}", level)
+            segments = [s for s in segments if s["level"] != level - 1] + [whole]
+        before = {s["name"] for s in self.segments(batch_id)}
+        commits.add(batch_id, {"segments": segments})
+        files, kept = Files(self.spark, self.path), before | {s["name"] for s in segments} | {name}
+        for kind in ("list", "bits"):
+            for old in set(files.names(kind)) - kept:
+                files.delete(f"{kind}/{old}")
+        return self._read("list", [name]).select("key")

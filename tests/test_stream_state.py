@@ -197,3 +197,28 @@ def test_live_feed_over_batches(spark, tmp_path):
     assert [(r.id, r.flashed) for r in again] == want
     # The state is the list.
     assert len(folders(tmp_path, "before")) == 2 and spark.read.parquet(f"{tmp_path}/before={len(batches)}").count() == 20
+
+
+def test_seen_ids_over_many_batches(spark, tmp_path):
+    from heliograph.streaming.state import SeenIds
+
+    rng = random.Random(9)
+    first = jobs.redelivery_filter(spark, str(tmp_path), fanout=3)
+    ddl, seen, kept = "id string, event_id string, received_at timestamp", set(), []
+    for n in range(10):
+        # Some new events, some of any earlier batch, one within the batch twice, one without an event.
+        ids = [f"e{n}-{i}" for i in range(6)] + [f"e{rng.randrange(n + 1)}-{rng.randrange(6)}" for _ in range(4)]
+        batch = [(f"c{n}-{i}", e, START - datetime.timedelta(hours=rng.randrange(90))) for i, e in enumerate([*ids, ids[0], None])]
+        df = spark.createDataFrame(batch, ddl)
+        got = {(r.event_id, r.event_id is None and r.id) for r in first(df, n).collect()}
+        want = {(e, e is None and i) for i, e, _ in batch if e is None or e not in seen}
+        assert got == want
+        if n in (4, 8):
+            assert {(r.event_id, r.event_id is None and r.id) for r in first(df, n).collect()} == want
+        seen |= {e for _, e, _ in batch}
+        kept += want
+    assert len(kept) == len(set(kept)) == 70
+    segments = SeenIds(spark, str(tmp_path)).segments()
+    assert len(segments) <= 6 and {s["level"] for s in segments} >= {0, 2}
+    # What no batch names any more is gone.
+    assert len(os.listdir(tmp_path / "list")) <= 2 * len(segments) + 3
