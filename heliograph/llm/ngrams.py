@@ -158,6 +158,10 @@ class SortedModel:
     contexts: list[np.ndarray]
     rests: list[np.ndarray]
 
+    def arrays(self) -> tuple[list[np.ndarray], ...]:
+        """What the constructor takes: a broadcast of plain arrays needs no class on the executors."""
+        return self.grams, self.logs, self.contexts, self.rests
+
     @classmethod
     def collected(cls, tables: list[DataFrame]) -> SortedModel:
         """At most 64 ** 4 entries of 16 bytes an order, for any corpus."""

@@ -54,11 +54,11 @@ def counted(text: str | None) -> tuple[int, ...]:
 
 def _measures(model: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = ngrams.symbol_table()
+        tables, known = ngrams.symbol_table(), ngrams.SortedModel(*model.value)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             counts = [counted(t) for t in texts]
-            means = list(ngrams.mean_logs(texts, model.value.log_probabilities, tables))
+            means = list(ngrams.mean_logs(texts, known.log_probabilities, tables))
             columns = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in zip(*counts))]
             columns += [pa.array([m for m, _ in means], pa.float64()), pa.array([n for _, n in means], pa.int64())]
             if len(columns) == 9:
@@ -79,7 +79,7 @@ def quality_rules(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -
     text = F.col("text").cast("string")
     spark = docs.sparkSession
     counts = written(ngrams.count_grams(docs.select(text.alias("text"))), "ngram-counts")
-    model = spark.sparkContext.broadcast(ngrams.SortedModel.collected(ngrams.kneser_ney(counts)))
+    model = spark.sparkContext.broadcast(ngrams.SortedModel.collected(ngrams.kneser_ney(counts)).arrays())
     ddl = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTED) + ", mean_log double, symbols long"
     rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), text)
     base = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))

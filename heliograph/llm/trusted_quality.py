@@ -37,7 +37,7 @@ class Shards:
         self.parts: list[Broadcast] = [broadcast((grams[c : c + entries], logs[c : c + entries])) for c in cuts]
         empty = np.empty(0, np.uint32), np.empty(0, np.float32)
         rest = ngrams.SortedModel([*model.grams[:-1], empty[0]], [*model.logs[:-1], empty[1]], model.contexts, model.rests)
-        self.rest = broadcast(rest)
+        self.rest = broadcast(rest.arrays())
 
     def log_probabilities(self, grams: np.ndarray) -> np.ndarray:
         """As the whole model would give them."""
@@ -49,7 +49,7 @@ class Shards:
             at, found = ngrams._places(keys, grams[mine])
             out[mine[found]] = logs[at[found]]
             seen[mine[found]] = True
-        out[~seen] = self.rest.value.log_probabilities(grams[~seen])
+        out[~seen] = ngrams.SortedModel(*self.rest.value).log_probabilities(grams[~seen])
         return out
 
 
