@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from heliograph.functions.text import js_round, truthy
 from heliograph.operators.lifecycle import NEGATIVE
+from heliograph.operators.ordering import newest_first
 
 # Fixed value: the share of bounces from which a sender counts as unhealthy.
 UNHEALTHY_BOUNCE_SHARE = 0.05
@@ -60,9 +61,9 @@ def _per_campaign(campaigns: DataFrame, emails: DataFrame) -> DataFrame:
     )
 
 
-def campaign_summary(campaigns: DataFrame, emails: DataFrame, limit: int = 50) -> DataFrame:
-    """Counters of the newest campaigns. Campaigns without e-mails show zeros."""
-    return _per_campaign(campaigns, emails).orderBy(F.col("created_at").desc_nulls_last(), "id").limit(limit)
+def campaign_summary(campaigns: DataFrame, emails: DataFrame, limit: int | None = 50) -> DataFrame:
+    """Counters of the newest campaigns, or of all without a limit. Campaigns without e-mails show zeros."""
+    return newest_first(_per_campaign(campaigns, emails), "created_at", limit)
 
 
 def outreach_totals(campaigns: DataFrame, emails: DataFrame) -> DataFrame:
@@ -129,26 +130,32 @@ def campaign_counters(leads: DataFrame, emails: DataFrame) -> DataFrame:
     )
 
 
+#: Longest gap between two steps of a campaign that is filled with empty steps.
+MOST_GAP = 10_000
+
+
 def step_stats(emails: DataFrame) -> DataFrame:
     """Counters per campaign and step, for every step from 1 to the campaign's last.
 
-    The label of a step is the framework of its newest e-mail, found inside the same aggregation.
+    The label of a step is the framework of its newest e-mail, found inside the same aggregation. Empty
+    steps are made from the distance to the step before, so one pass is enough; of a gap of more than MOST_GAP
+    steps the last ones are filled: a draft numbered two billion doesn't make as many rows. Steps below 1 count
+    nowhere, but their campaign has a first step.
     """
     step = F.coalesce("sequence_position", F.lit(1))
-    by_step = emails.groupBy("campaign_id", step.alias("step")).agg(
-        F.count_if(_drafted()).alias("drafted"),
-        F.count_if(_not_drafted()).alias("sent"),
-        F.count_if(_delivered()).alias("delivered"),
-        F.count_if(_clicked()).alias("clicked"),
-        F.count_if(_replied()).alias("replied"),
-        F.max(F.struct("created_at", "id", "framework")).alias("_newest"),
+    counts = {"drafted": _drafted(), "sent": _not_drafted(), "delivered": _delivered(), "clicked": _clicked(), "replied": _replied()}
+    by_step = emails.groupBy("campaign_id", F.greatest(step, F.lit(1)).alias("_step")).agg(
+        *[F.count_if((step >= 1) & flag).alias(name) for name, flag in counts.items()],
+        F.max(F.when(step >= 1, F.struct("created_at", "id", "framework"))).alias("_newest"),
     )
-    last = by_step.groupBy("campaign_id").agg(F.greatest(F.lit(1), F.max("step")).alias("max_step"))
-    grid = last.select("campaign_id", "max_step", F.explode(F.sequence(F.lit(1), "max_step")).alias("step"))
-    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("drafted", "sent", "delivered", "clicked", "replied")]
-    return grid.join(by_step, ["campaign_id", "step"], "left").select(
-        "campaign_id", "step", *counts,
-        F.col("_newest.framework").alias("framework"),
+    campaign = W.partitionBy("campaign_id")
+    before = F.coalesce(F.lag("_step").over(campaign.orderBy("_step")), F.lit(0))
+    first = F.greatest(before + 1, F.col("_step") - MOST_GAP)
+    spread = by_step.withColumn("max_step", F.max("_step").over(campaign)).withColumn("step", F.sequence(first, "_step")).withColumn("step", F.explode("step"))
+    own = F.col("step") == F.col("_step")
+    return spread.select(
+        "campaign_id", "step", *[F.when(own, F.col(c)).otherwise(0).alias(c) for c in counts],
+        F.when(own, F.col("_newest.framework")).alias("framework"),
         (F.col("max_step") > 1).alias("is_sequence"),
     )
 

@@ -185,6 +185,8 @@ def mark_applied(
     cut into parts of about `block_rows` rows. Each block is
     reduced to (has a reset, highest rank after it), these few rows are folded per e-mail, and the
     rank an e-mail enters a block with becomes a first row of that block. No join is needed.
+    Events are read four times, for counts, blocks and rows: hand in a table (`session.stored`) rather than the
+    joins that make one.
     """
     reset = is_reset()
     ranked = time_blocks(events, "email_id", "at", block_seconds, block_rows).select(

@@ -13,7 +13,7 @@ from heliograph.operators import (
     boards, correlation, feed, funnel, leads, lifecycle, ordering, pages, sequence, sessions, snapshots,
 )
 from heliograph.plans import views as v
-from heliograph.session import configure, scratch_path
+from heliograph.session import configure, scratch_path, stored
 from heliograph.sources import entities, ingest
 from heliograph.streaming import jobs, sinks
 
@@ -275,10 +275,10 @@ def _matched_log(spark: SparkSession, sf: str) -> DataFrame:
     """The event log from raw webhook calls, clicks and replies."""
     calls, hooks, mails = _webhook_events(spark, sf), v.webhooks(spark, sf), v.emails(spark, sf)
     called = _match_replies(calls, hooks, mails)
-    stored = correlation.correlate_replies(v.replies(spark, sf), mails)
+    kept = correlation.correlate_replies(v.replies(spark, sf), mails)
     return lifecycle.lifecycle_events(
         _match_calls(calls, hooks, mails),
-        called.unionByName(stored, allowMissingColumns=True).withColumn(
+        called.unionByName(kept, allowMissingColumns=True).withColumn(
             "arrived_at", F.coalesce("arrived_at", "received_at")
         ),
         correlation.attribute_clicks(v.clicks(spark, sf), mails),
@@ -288,8 +288,9 @@ def _matched_log(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def event_counters_from_calls(spark, sf):
     """Campaign counters from all that was received, on top of the stored e-mails."""
-    stored = v.emails(spark, sf).select(F.col("id").alias("email_id"), lifecycle.status_rank(F.col("status")).alias("rank"))
-    counters = lifecycle.event_counters(lifecycle.mark_applied(_matched_log(spark, sf), entered=stored))
+    before = v.emails(spark, sf).select(F.col("id").alias("email_id"), lifecycle.status_rank(F.col("status")).alias("rank"))
+    log = stored(_matched_log(spark, sf), "event-log")
+    counters = lifecycle.event_counters(lifecycle.mark_applied(log, entered=before))
     return lifecycle.count_logged_clicks(counters, v.clicks(spark, sf))
 
 
@@ -301,7 +302,7 @@ def lifecycle_events(spark, sf):
 @query
 def emails_with_status(spark, sf):
     """E-mails after all that was received about them."""
-    return lifecycle.with_status(v.emails(spark, sf), _matched_log(spark, sf)).select(
+    return lifecycle.with_status(v.emails(spark, sf), stored(_matched_log(spark, sf), "event-log")).select(
         "id", "status", "click_count", "last_clicked_at", "sent_at", "delivered_at", "bounced_at", "complained_at",
         "failed_at", "replied_at",
     )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the operators rely on. Everything here may be changed on a running session.
 #
@@ -56,18 +57,28 @@ def local_session(cpus: int | str = "*", app: str = "heliograph", memory: str =
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by the cluster in `spark.checkpoint.dir`.
 
-    Only a local session may fall back to a temporary folder.
+    Only a local session may fall back to a temporary folder, one for the whole process.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; never reused between runs."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table that is read several times, written to the shared folder once and read from there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
