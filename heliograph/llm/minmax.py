@@ -3,9 +3,9 @@
 Both tell for an equal share of the sets whether they agree, so one permutation gives two values of a
 signature and half as many are evaluated. Values are cut into bands of six, three permutations each; sets of
 similarity 0.85 agree on a given band with probability 0.38 and miss all 32 with less than 3 in ten million. Texts with
-equal sets are one class from the start. The classes of a band are linked to one leader per band first, so
-that a large group costs one pair per member; what isn't connected by then gets other leaders, and the rest
-is compared pair by pair. Every link is confirmed on the whole sets.
+equal sets are one class from the start. The classes of a band are compared to one leader per band first, so
+that a large group costs one pair per member. What isn't connected by then is compared where its rarer shingles,
+their places and the sizes leave room for the similarity. Every link is confirmed on the whole sets.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ SHINGLE = 5
 LEAST = 85
 #: Bands, and permutations of each; a permutation gives two values. A caller may ask for up to MOST_BANDS.
 BANDS, DEPTH, MOST_BANDS = 32, 3, 64
-#: Rounds with one leader per band, before what is still apart is compared in pairs.
-STARS = 4
+#: Rounds with one leader per band.
+STARS = 2
 #: Bits, at most, of the filter of bands that several classes have.
 MOST_BITS = 1 << 27
 
@@ -157,6 +157,55 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _popularity(shared: DataFrame) -> DataFrame:
+    """How many other classes each one meets in its bands. What a group of near copies was made from is nearer to
+    all of them than they are to each other, and so meets most."""
+    sizes = shared.groupBy("band").agg(F.count(F.lit(1)).alias("k")).select(_other("band", "_band"), "k")
+    met = shared.withColumn("_band", _other("band", "_band")).join(sizes, "_band")
+    return met.groupBy("sig").agg(F.sum("k").alias("met")).select(_other("sig", "_sig"), "met")
+
+
+def _led(left: DataFrame, popularity: DataFrame, turn: int, least: int) -> DataFrame:
+    """Pairs of the classes of a band with its leader: the most popular one at first, then any other."""
+    if turn:
+        rank = F.struct(F.xxhash64("sig", F.lit(turn)))
+    else:
+        rank = F.struct("met", "sig")
+        left = left.withColumn("_sig", _other("sig", "_sig")).join(popularity, "_sig").drop("_sig")
+    other = left.groupBy("band").agg(F.max_by(F.struct("sig", "n", "root"), rank).alias("o"))
+    other = other.select(_other("band", "_band"), *(F.col(f"o.{c}").alias(f"o_{c}") for c in ("sig", "n", "root")))
+    pairs = left.withColumn("_band", _other("band", "_band")).join(other, "_band").filter("root <> o_root").filter(_sizes_fit("n", "o_n", least))
+    return _ordered(pairs.select(F.col("sig").alias("u"), F.col("o_sig").alias("v")))
+
+
+def _by_prefix(left: DataFrame, sets: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """Pairs of classes of different roots that may still be similar, none of them left out.
+
+    Shingles that no other of these classes has come first in the order of each set, the rest in that of their
+    hashes. Similar sets share a shingle before both run out of room for enough shared ones behind it. A copy's
+    own changes come first and use up its room, so copies of one text that aren't similar to each
+    other give no pairs, however many they are.
+    """
+    open_ = left.select(_other("sig", "_sig"), "root").distinct()
+    open_ = scratch.keep(sets.withColumn("_sig", _other("sig", "_sig")).join(open_, "_sig").select("sig", "root", "hashes"), "open")
+    common = open_.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    common = scratch.keep(common.select("h"), "common")
+    size = min(MOST_BITS, max(1 << 20, 8 << common.count().bit_length()))
+    bits = member_bits(common, "h", size)
+    tokens = open_.select("sig", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("h")).filter(may_be_member(F.col("h"), bits, size))
+    split = tokens.groupBy("sig", "root", "n").agg(F.sort_array(F.collect_list("h")).alias("often"))
+    alone, room = F.col("n") - F.size("often"), F.col("n") - F.ceil(F.col("n") * least / 100)
+    first = F.slice("often", F.lit(1), F.greatest(F.lit(0), room - alone + 1).cast("int"))
+    rows = split.select("sig", "root", "n", alone.alias("alone"), F.posexplode(first).alias("k", "h"))
+    rows = scratch.keep(rows.select("sig", "root", "n", (F.col("n") - F.col("alone") - F.col("k")).alias("rest"), "h"), "prefixes")
+    several = rows.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select(_other("h", "_h"))
+    rows = rows.withColumn("_h", _other("h", "_h")).join(several, "_h", "left_semi").drop("_h")
+    other = rows.select(_other("h", "_h"), *(F.col(c).alias(f"o_{c}") for c in ("sig", "root", "n", "rest")))
+    enough = F.least("rest", "o_rest") * (100 + least) >= (F.col("n") + F.col("o_n")) * least
+    pairs = rows.join(other, (_other("h", "_own") == F.col("_h")) & (F.col("root") < F.col("o_root")) & enough)
+    return _ordered(pairs.select(F.col("sig").alias("u"), F.col("o_sig").alias("v")))
+
+
 def _linked(shared: DataFrame, sets: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     """(node, root) of the classes connected by links, except the roots themselves.
 
@@ -165,22 +214,16 @@ def _linked(shared: DataFrame, sets: DataFrame, least: int, scratch: Scratch) ->
     spark = shared.sparkSession
     links = tried = spark.createDataFrame([], "u long, v long")
     roots = spark.createDataFrame([], "node long, root long")
+    popularity = scratch.keep(_popularity(shared), "popularity")
     for turn in range(STARS + 1):
         left = scratch.keep(_apart(shared, roots), f"apart-{turn}")
         if left.isEmpty():
             break
-        if turn < STARS:
-            first = F.min_by(F.struct("sig", "n", "root"), F.xxhash64("sig", F.lit(turn)))
-            other = left.groupBy("band").agg(first.alias("o")).select(_other("band", "_band"), *(F.col(f"o.{c}").alias(f"o_{c}") for c in ("sig", "n", "root")))
-            pairs = left.withColumn("_band", _other("band", "_band")).join(other, "_band").filter("root <> o_root")
-        else:
-            other = left.select("band", *(F.col(c).alias(f"o_{c}") for c in ("sig", "n", "root")))
-            pairs = left.join(other, "band").filter("root < o_root")
-        pairs = _ordered(pairs.filter(_sizes_fit("n", "o_n", least)).select(F.col("sig").alias("u"), F.col("o_sig").alias("v")))
+        pairs = _led(left, popularity, turn, least) if turn < STARS else _by_prefix(left, sets, least, scratch)
         pairs = scratch.keep(pairs.join(tried, ["u", "v"], "left_anti"), f"pairs-{turn}")
         tried = tried.unionByName(pairs)
         found = scratch.keep(_confirmed(pairs, sets, least), f"links-{turn}")
-        scratch.drop(f"apart-{turn}")
+        scratch.drop(f"apart-{turn}", "open", "common", "prefixes")
         if not found.isEmpty():
             links = links.unionByName(found)
             roots = components(links, "minmax-parts")

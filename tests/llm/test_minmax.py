@@ -48,7 +48,7 @@ def copies():
     return [(200 - i, t) for i, t in enumerate(texts)] + [(None, texts[7]), (None, "alone"), (200, None), (3, "other text"), (3, "other text")]
 
 
-@pytest.mark.parametrize("stars", [4, 0])
+@pytest.mark.parametrize("stars", [2, 0])
 def test_all_pairs(spark, monkeypatch, stars):
     monkeypatch.setattr(minmax, "STARS", stars)
     rows = copies()
