@@ -219,3 +219,23 @@ def test_send_run_without_mails_failed(spark):
     runs = spark.createDataFrame([("a",), ("b",)], "campaign_id string")
     got = {r["campaign_id"]: (r["total"], r["status"]) for r in sequence.send_report(results, runs).collect()}
     assert got == {"a": (1, "completed"), "b": (0, "failed")}
+
+
+def test_steps_with_gaps(spark):
+    rows = [
+        ("1", "a", "l", "sent", None, 3, "pas", DAY), ("2", "a", "l", "drafted", None, None, "sdr", DAY), ("3", "a", "l", "sent", None, 0, "aida", DAY),
+        ("4", "b", "l", "sent", None, -2, "pas", DAY), ("5", "c", "l", "sent", None, 2_000_000_000, "pas", DAY), ("6", "c", "l", "sent", None, 2, "pas", DAY),
+    ]
+    stats = funnel.step_stats(emails(spark, rows))
+    small = sorted((r["campaign_id"], r["step"], r["drafted"], r["sent"], r["framework"], r["is_sequence"]) for r in stats.filter("campaign_id <> 'c'").collect())
+    assert small == [("a", 1, 1, 0, "sdr", True), ("a", 2, 0, 0, None, True), ("a", 3, 0, 1, "pas", True), ("b", 1, 0, 0, None, False)]
+    # A step far behind the others doesn't make a row for every number between.
+    far = stats.filter("campaign_id = 'c'")
+    assert far.count() == 2 + funnel.MOST_GAP + 1 and far.agg(F.sum("sent")).first()[0] == 2
+
+
+def test_summary_of_all_campaigns(spark):
+    campaigns = spark.createDataFrame([(str(i), f"n{i}", "ready", 0, DAY) for i in range(60)], "id string, name string, status string, leads_imported bigint, created_at timestamp")
+    none = spark.createDataFrame([], EMAILS)
+    assert funnel.campaign_summary(campaigns, none).count() == 50
+    assert funnel.campaign_summary(campaigns, none, limit=None).count() == 60
