@@ -701,6 +701,7 @@ _STATEMENTS["stored_round_trip"] = "SELECT id, '00' || campaign_id AS campaign_i
 _STATEMENTS["newest_stored"] = """SELECT id, campaign_id, CAST(date_trunc('month', created_at) AS TIMESTAMP) AS created_at FROM emails
     ORDER BY date_trunc('month', created_at) DESC NULLS LAST, id LIMIT 100"""
 _STATEMENTS["lookup"] = "SELECT id, campaign_id, CAST(date_trunc('year', created_at) AS TIMESTAMP) AS created_at FROM emails WHERE id = '7'"
+_STATEMENTS["stream_whole_feed"] = _STATEMENTS["activity_feed"]
 _STATEMENTS["merged_snapshot"] = _STATEMENTS["latest_snapshot"]
 _STATEMENTS["orphan_sweep"] = """
     WITH kept_leads AS (SELECT id FROM leads WHERE CAST(id AS BIGINT) % 10 <> 7),

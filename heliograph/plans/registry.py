@@ -748,6 +748,33 @@ def stream_activity_feed(spark, sf):
     return sinks.run_available(spark, entries).drop("batch_id")
 
 
+@query
+def stream_whole_feed(spark, sf):
+    """Twelve sources of the feed as streams; replies find their e-mails in the look-up that the stream of e-mails keeps."""
+    def rows(name):
+        return v.stream(spark, sf, name, STREAM_BATCH_BYTES)
+
+    index = jobs.EmailIndex(spark, scratch_path(spark, "emails"))
+    sinks.run_updates(v.emails(spark, sf, rows("orders")), index.add)
+    answers = v.replies(spark, sf, rows("conversations"))
+    replied = sinks.run_available(spark, answers, transform=lambda batch, _: feed.from_replies(index.match_replies(batch)))
+    events, campaigns = rows("events"), v.campaigns(spark, sf)
+    entries = jobs.stream_activity_feed(
+        feed.from_log(v.activity(spark, sf, events)),
+        feed.from_webhook_events(v.raw_webhook_calls(events), v.webhooks(spark, sf)),
+        feed.from_clicks(v.clicks(spark, sf, rows("lineitem")), campaigns),
+        feed.from_submissions(ingest.parse_submissions(v.raw_submissions(events), v.forms(spark, sf))),
+        feed.from_new_tasks(v.tasks(spark, sf, rows("orders"))),
+        feed.from_new_agents(v.agents(spark, sf, rows("supplier"))),
+        feed.from_invitations(v.invitations(spark, sf, rows("supplier"))),
+        feed.from_new_pages(v.pages(spark, sf, rows("pages"))),
+        feed.from_new_campaigns(v.campaigns(spark, sf, rows("nation"))),
+        feed.from_test_leads(v.leads(spark, sf, rows("customer")), campaigns),
+        feed.from_agent_drafts(v.emails(spark, sf, rows("orders"))),
+    )
+    return sinks.run_available(spark, entries).unionByName(replied).drop("batch_id")
+
+
 @query
 def stream_clicks(spark, sf):
     stats = jobs.stream_clicks(v.click_tokens(v.stream(spark, sf, "lineitem", STREAM_BATCH_BYTES)))

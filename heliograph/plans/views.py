@@ -39,6 +39,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf}/{name}.parquet")
 
 
+def _rows(spark: SparkSession, sf: str, name: str, given: DataFrame | None) -> DataFrame:
+    """A driver table, or what is given in its place: a stream of it."""
+    return table(spark, sf, name) if given is None else given
+
+
 def stream(spark: SparkSession, sf: str, name: str, max_bytes: int) -> DataFrame:
     """A driver table as a file stream that admits so many bytes per micro-batch.
 
@@ -48,8 +53,8 @@ def stream(spark: SparkSession, sf: str, name: str, max_bytes: int) -> DataFrame
     return reader.parquet(f"{sf}/{name}[.]parquet")
 
 
-def campaigns(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "nation").selectExpr(
+def campaigns(spark: SparkSession, sf: str, given: DataFrame | None = None) -> DataFrame:
+    return _rows(spark, sf, "nation", given).selectExpr(
         "CAST(n_nationkey AS STRING) AS id",
         "n_name AS name",
         "concat('find ', lower(n_name)) AS query",
@@ -75,8 +80,8 @@ def counted_campaigns(spark: SparkSession, sf: str) -> DataFrame:
     return campaigns(spark, sf).drop(*cached).join(counted, "id", "left").join(people, "id", "left")
 
 
-def leads(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").selectExpr(
+def leads(spark: SparkSession, sf: str, given: DataFrame | None = None) -> DataFrame:
+    return _rows(spark, sf, "customer", given).selectExpr(
         "CAST(c_custkey AS STRING) AS id",
         "CAST(c_nationkey AS STRING) AS campaign_id",
         "c_name AS name",
@@ -102,10 +107,10 @@ _STATUS = """CASE o_orderstatus
         WHEN '3-MEDIUM' THEN 'sent' WHEN '4-NOT SPECIFIED' THEN NULL ELSE '' END END AS status"""
 
 
-def emails(spark: SparkSession, sf: str, orders: DataFrame | None = None) -> DataFrame:
-    """E-mails without click counters, of all orders or of a stream of them."""
+def emails(spark: SparkSession, sf: str, given: DataFrame | None = None) -> DataFrame:
+    """E-mails without click counters."""
     people = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_name")
-    return (table(spark, sf, "orders") if orders is None else orders).join(people, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
+    return _rows(spark, sf, "orders", given).join(people, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
         "CAST(o_orderkey AS STRING) AS id",
         "CAST(c_nationkey AS STRING) AS campaign_id",
         "CAST(o_custkey AS STRING) AS lead_id",
@@ -127,9 +132,9 @@ def emails(spark: SparkSession, sf: str, orders: DataFrame | None = None) -> Dat
     )
 
 
-def clicks(spark: SparkSession, sf: str) -> DataFrame:
+def clicks(spark: SparkSession, sf: str, given: DataFrame | None = None) -> DataFrame:
     """Tracked clicks; the campaign is right for some and wrong for most."""
-    return table(spark, sf, "lineitem").selectExpr(
+    return _rows(spark, sf, "lineitem", given).selectExpr(
         "concat(l_orderkey, '-', l_linenumber) AS id",
         "CAST(l_suppkey % 25 AS STRING) AS campaign_id",
         "CAST(l_partkey AS STRING) AS lead_id",
@@ -226,9 +231,9 @@ def webhooks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def replies(spark: SparkSession, sf: str) -> DataFrame:
+def replies(spark: SparkSession, sf: str, given: DataFrame | None = None) -> DataFrame:
     """Turns as inbound replies; some threads are unknown."""
-    return table(spark, sf, "conversations").selectExpr(
+    return _rows(spark, sf, "conversations", given).selectExpr(
         "concat('r', conv_id, '-', turn) AS id",
         "CASE WHEN conv_id % 9 <> 0 THEN concat('t', conv_id * 20) END AS agentmail_thread_id",
         "CASE WHEN conv_id % 8 <> 0 THEN concat('user', conv_id, '@example.org') END AS `from`",
@@ -238,9 +243,9 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def activity(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
+def activity(spark: SparkSession, sf: str, given: DataFrame | None = None) -> DataFrame:
     """Feed rows that agents logged, with ids of many kinds in their details."""
-    return (table(spark, sf, "events") if events is None else events).selectExpr(
+    return _rows(spark, sf, "events", given).selectExpr(
         "concat('a', event_id) AS id",
         "CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS STRING) END AS agent_id",
         "CASE event_type WHEN 'signup' THEN 'content' WHEN 'view' THEN 'research' WHEN 'click' THEN 'email'"
@@ -256,8 +261,8 @@ def activity(spark: SparkSession, sf: str, events: DataFrame | None = None) -> D
     )
 
 
-def agents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "supplier").selectExpr(
+def agents(spark: SparkSession, sf: str, given: DataFrame | None = None) -> DataFrame:
+    return _rows(spark, sf, "supplier", given).selectExpr(
         "CAST(s_suppkey AS STRING) AS id",
         "s_name AS name",
         "replace(lower(s_name), '#', '-') AS sign_in_name",
@@ -268,8 +273,8 @@ def agents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def tasks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").selectExpr(
+def tasks(spark: SparkSession, sf: str, given: DataFrame | None = None) -> DataFrame:
+    return _rows(spark, sf, "orders", given).selectExpr(
         "CAST(o_orderkey AS STRING) AS id",
         "concat('Order ', o_orderkey) AS title",
         "CASE WHEN o_orderstatus = 'P' THEN 'blocked' ELSE CASE o_orderkey % 6 WHEN 0 THEN 'todo' WHEN 1 THEN 'doing'"
@@ -337,9 +342,9 @@ def raw_submissions(events: DataFrame) -> DataFrame:
     )
 
 
-def pages(spark: SparkSession, sf: str) -> DataFrame:
+def pages(spark: SparkSession, sf: str, given: DataFrame | None = None) -> DataFrame:
     """Published pages: crawled HTML, some with form markers, linked forms or leading blanks."""
-    return table(spark, sf, "pages").selectExpr(
+    return _rows(spark, sf, "pages", given).selectExpr(
         "concat('page-', page_id) AS slug",
         "concat('Page ', page_id) AS title",
         "CASE page_id % 4 WHEN 0 THEN concat(html, '{{FORM:form-', page_id * 9, '}}{{form:Form-', page_id, '}}')"
@@ -509,8 +514,8 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def invitations(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "supplier").selectExpr(
+def invitations(spark: SparkSession, sf: str, given: DataFrame | None = None) -> DataFrame:
+    return _rows(spark, sf, "supplier", given).selectExpr(
         "concat('i', s_suppkey) AS id",
         "s_name AS agent_name",
         "CAST(s_suppkey AS STRING) AS agent_id",
@@ -520,9 +525,9 @@ def invitations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def probes(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
+def probes(spark: SparkSession, sf: str, given: DataFrame | None = None) -> DataFrame:
     """A health probe up to 19 seconds before each event, so that some see it arrive in time."""
-    return (table(spark, sf, "events") if events is None else events).selectExpr(
+    return _rows(spark, sf, "events", given).selectExpr(
         "CAST(event_id AS STRING) AS probe_id",
         "concat('w', user_id % 7) AS webhook_id",
         "CAST(ts - make_interval(0, 0, 0, 0, 0, 0, event_id % 20) AS TIMESTAMP) AS since",
