@@ -27,6 +27,8 @@ LEAST = 85
 BANDS, DEPTH, MOST_BANDS = 32, 3, 64
 #: Rounds with one leader per band.
 STARS = 2
+#: Numbers of classes from which a shingle counts as less rare.
+RARITY = (2, 8, 64, 512)
 #: Bits, at most, of the filter of bands that several classes have.
 MOST_BITS = 1 << 27
 
@@ -181,22 +183,26 @@ def _led(left: DataFrame, popularity: DataFrame, turn: int, least: int) -> DataF
 def _by_prefix(left: DataFrame, sets: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     """Pairs of classes of different roots that may still be similar, none of them left out.
 
-    Shingles that no other of these classes has come first in the order of each set, the rest in that of their
-    hashes. Similar sets share a shingle before both run out of room for enough shared ones behind it. A copy's
-    own changes come first and use up its room, so copies of one text that aren't similar to each
-    other give no pairs, however many they are.
+    Shingles stand in the order of their rarity among these classes, in steps, and then of their hashes. Similar
+    sets share a shingle before both run out of room for enough shared ones behind it. A copy's own changes come
+    first and use up its room, so copies of one text that aren't similar to it give no pairs under
+    its shingles, however many they are. Rarity is told by bit arrays: a shingle that is taken for a more
+    frequent one is so for all sets, which costs pairs but loses none.
     """
     open_ = left.select(_other("sig", "_sig"), "root").distinct()
     open_ = scratch.keep(sets.withColumn("_sig", _other("sig", "_sig")).join(open_, "_sig").select("sig", "root", "hashes"), "open")
     common = open_.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    common = scratch.keep(common.select("h"), "common")
-    size = min(MOST_BITS, max(1 << 20, 8 << common.count().bit_length()))
-    bits = member_bits(common, "h", size)
-    tokens = open_.select("sig", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("h")).filter(may_be_member(F.col("h"), bits, size))
-    split = tokens.groupBy("sig", "root", "n").agg(F.sort_array(F.collect_list("h")).alias("often"))
+    common = scratch.keep(common, "common")
+    level = F.lit(0)
+    for least_k in RARITY:
+        these = common.filter(F.col("k") >= least_k)
+        size = min(MOST_BITS, max(1 << 20, 64 << these.count().bit_length()))
+        level = level + may_be_member(F.col("h"), member_bits(these, "h", size), size).cast("int")
+    tokens = open_.select("sig", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("h")).select("*", level.alias("level")).filter("level > 0")
+    split = tokens.groupBy("sig", "root", "n").agg(F.sort_array(F.collect_list(F.struct("level", "h"))).alias("often"))
     alone, room = F.col("n") - F.size("often"), F.col("n") - F.ceil(F.col("n") * least / 100)
     first = F.slice("often", F.lit(1), F.greatest(F.lit(0), room - alone + 1).cast("int"))
-    rows = split.select("sig", "root", "n", alone.alias("alone"), F.posexplode(first).alias("k", "h"))
+    rows = split.select("sig", "root", "n", alone.alias("alone"), F.posexplode(first).alias("k", "t")).withColumn("h", F.col("t.h"))
     rows = scratch.keep(rows.select("sig", "root", "n", (F.col("n") - F.col("alone") - F.col("k")).alias("rest"), "h"), "prefixes")
     several = rows.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select(_other("h", "_h"))
     rows = rows.withColumn("_h", _other("h", "_h")).join(several, "_h", "left_semi").drop("_h")
