@@ -29,6 +29,8 @@ BANDS, DEPTH, MOST_BANDS = 32, 3, 64
 STARS = 2
 #: Numbers of classes from which a shingle counts as less rare.
 RARITY = (2, 8, 64, 512)
+#: Bits, at most, of each array that tells them: four of these pass through the driver.
+RARITY_BITS = 1 << 24
 #: Bits, at most, of the filter of bands that several classes have.
 MOST_BITS = 1 << 27
 
@@ -196,7 +198,7 @@ def _by_prefix(left: DataFrame, sets: DataFrame, least: int, scratch: Scratch) -
     level = F.lit(0)
     for least_k in RARITY:
         these = common.filter(F.col("k") >= least_k)
-        size = min(MOST_BITS, max(1 << 20, 64 << these.count().bit_length()))
+        size = min(RARITY_BITS, max(1 << 20, 64 << these.count().bit_length()))
         level = level + may_be_member(F.col("h"), member_bits(these, "h", size), size).cast("int")
     tokens = open_.select("sig", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("h")).select("*", level.alias("level")).filter("level > 0")
     split = tokens.groupBy("sig", "root", "n").agg(F.sort_array(F.collect_list(F.struct("level", "h"))).alias("often"))
