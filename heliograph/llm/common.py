@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +59,14 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(columns: Sequence[str], name: str) -> str:
+    """A column name that isn't among those given, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, everything else untouched."""
     return F.translate(text, UPPER, LOWER)

@@ -4,9 +4,10 @@ A window of a benchmark item occurs in a document only if all of its words do, s
 enough to look for it: the prefix that must be joined is the word that is rarest in the corpus. Rarity
 is counted over all documents. Documents give the places of such words, each with the words around it
 that a window could reach; the join on the word is bounded by the window's position and length within
-the document and verified word by word.
+the document and verified word by word. The word next to it is part of the join's key, so that a word that is
+frequent, or the rarest of many windows, doesn't gather under one key.
 
-Words are first tested against a bit array of fixed size, made of the benchmark's words and carried as
+Words are first tested against a bit array, made of the benchmark's words, sized by their number and carried as
 one value, so that nearly all places without a chance never become rows. It decides nothing: a bit set
 by chance costs a row, and no place of a benchmark word is lost.
 """
@@ -17,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from heliograph.llm.common import ascii_lower, may_be_member, member_bits, text_key, written
+from heliograph.llm.common import ascii_lower, fresh, may_be_member, member_bits, text_key, written
 
 #: Everything that is not an ASCII digit or letter; other alphabets count as letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Bits of the filter: 128 KB, whatever the input.
-FILTER_BITS = 1 << 20
+#: Bits of a filter: so many a member, within these bounds.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
 
 
 def words_of(text: Column) -> Column:
@@ -40,14 +41,16 @@ def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return at.select("item_id", F.slice("words", F.col("at"), F.lit(size)).alias("window")).distinct()
 
 
-def _may_be_in(word: Column, bits: Column) -> Column:
-    return may_be_member(word, bits, FILTER_BITS)
+def filter_size(members: int) -> int:
+    """Bits of a filter of so many members."""
+    return min(MOST_BITS, max(LEAST_BITS, BITS_EACH << members.bit_length()))
 
 
 def rarity(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, n): in how many of all documents each word of the vocabulary occurs."""
-    bits = member_bits(vocabulary, "word", FILTER_BITS)
-    own = F.filter(F.array_distinct(words_of(F.col("text"))), lambda w: _may_be_in(w, F.col("_bits")))
+    size = filter_size(vocabulary.count())
+    bits = member_bits(vocabulary, "word", size)
+    own = F.filter(F.array_distinct(words_of(F.col("text"))), lambda w: may_be_member(w, F.col("_bits"), size))
     counted = docs.select("text", bits.alias("_bits")).select(F.explode(own).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return vocabulary.join(counted, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -61,6 +64,31 @@ def keyed_windows(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return placed.groupBy("window").agg(rarest).select("key.word", "key.at", "window")
 
 
+def _pair(word: Column, side: Column | int, other: Column) -> Column:
+    """A join key of a word and the one after it (side 1), before it (2), or none (0)."""
+    return F.xxhash64(word, F.lit(side) if isinstance(side, int) else side, other)
+
+
+def paired_windows(keys: DataFrame) -> DataFrame:
+    """Windows with the `pair` of their rarest word and a neighbour: the next word or, at the end, the one before."""
+    after, before = F.get("window", F.col("at") + 1), F.get("window", F.col("at") - 1)
+    side = F.when(after.isNotNull(), 1).when(before.isNotNull(), 2).otherwise(0)
+    return keys.withColumn("pair", _pair(F.col("word"), side, F.coalesce(after, before, F.lit(""))))
+
+
+def paired_places(found: DataFrame, keys: DataFrame) -> DataFrame:
+    """Places once for each `pair` that windows may have."""
+    size = filter_size(keys.count())
+    here = F.col("place") - F.col("first")
+    after, before = F.get("near", here + 1), F.get("near", here - 1)
+    pairs = F.array(
+        _pair(F.col("word"), 0, F.lit("")), F.when(after.isNotNull(), _pair(F.col("word"), 1, after)),
+        F.when(before.isNotNull(), _pair(F.col("word"), 2, before)),
+    )
+    spread = found.filter("place > 0").withColumn("pair", F.explode(pairs)).filter("pair IS NOT NULL")
+    return spread.withColumn("_bits", member_bits(keys, "pair", size)).filter(may_be_member(F.col("pair"), F.col("_bits"), size)).drop("_bits")
+
+
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Per document: doc_id, text_hash, `n_words`, `n_hit` (words inside any occurrence of a window),
     `n_items`, `items` (ids of the items with an occurring window, sorted as strings).
@@ -71,15 +99,16 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     results or no hits; other columns are not read.
     """
     windows = written(item_windows(items, size), "item-windows")
-    vocabulary = windows.select(F.explode("window").alias("word")).distinct()
-    keys = written(keyed_windows(windows, rarity(docs, vocabulary)), "window-keys")
-    bits = member_bits(keys, "word", FILTER_BITS)
+    vocabulary = written(windows.select(F.explode("window").alias("word")).distinct(), "window-words")
+    keys = written(paired_windows(keyed_windows(windows, rarity(docs, vocabulary))), "window-keys")
+    bits_size = filter_size(keys.count())
+    bits = member_bits(keys, "word", bits_size)
     # One more entry per document, at place 0, stands for the document itself.
     itself = F.array(F.struct(F.lit(0).alias("place"), F.lit(0).alias("first"), F.lit("").alias("word"), F.array().cast("array<string>").alias("near")))
 
     def places(words: Column) -> Column:
         every = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(F.array().cast("array<int>"))
-        chosen = F.filter(every, lambda i: _may_be_in(F.element_at(words, i), F.col("_bits")))
+        chosen = F.filter(every, lambda i: may_be_member(F.element_at(words, i), F.col("_bits"), bits_size))
 
         def context(i: Column) -> Column:
             first = F.greatest(i - (size - 1), F.lit(1))
@@ -99,7 +128,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     fits = (start >= F.col("first")) & (start + length - 1 <= F.col("n_words"))
     equal = F.slice("near", start - F.col("first") + 1, length) == F.col("window")
     hits = (
-        found.filter("place > 0").join(keys, "word").filter(fits)
+        paired_places(found, keys).drop("word").join(keys, "pair").filter(fits)
         .filter(equal)
         .select("doc_id", "text_hash", start.alias("start"), (start + length).alias("end"), "window")
         .distinct()
@@ -130,8 +159,13 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Documents that contain no window of any item; columns are those of `docs`."""
+    """Documents that contain no window of any item; columns are those of `docs`, whatever their names.
+
+    Missing and empty texts stay; repeated rows stay or go together; rows without doc_id are judged like
+    others; without items, or without documents, the table is returned as it is.
+    """
+    id_, hash_ = fresh(docs.columns, "_id"), fresh(docs.columns, "_hash")
     hit = contamination(docs, items, size).filter("n_hit > 0")
-    hit = hit.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key("text") == F.col("_hash"))
+    hit = hit.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (text_key("text") == F.col(hash_))
     return docs.join(hit, same, "left_anti")

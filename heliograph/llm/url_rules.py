@@ -1,10 +1,10 @@
 """URL rules by a sort-merge range join, in DataFrame operations only.
 
-A host read from its end, label by label, makes a rule a prefix: the rule fits where the key of the
-page, cut at the rule's depth, starts with the key of the rule. A prefix is an interval of sorted keys,
-and intervals of prefixes nest or lie apart. One sorted sweep over rule starts and page keys therefore
-needs nothing but the stack of rules that are open at the latest rule start; those of them that still
-cover the page's key are found on that stack.
+A host read from its end, label by label and with a closing dot, turns "this host and all below" into a prefix, and a
+prefix is an interval of sorted keys. Such intervals nest or lie apart. Rules and pages are swept twice in the
+order of their keys: over reversed hosts, which gives each host the rule hosts open at its place, and below each of
+these over paths. A sweep keeps a stack of open rules: at each rule the ones that don't reach this far are taken
+off and the rule is put on top; a page finds its rules on the stack of the latest rule before it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from heliograph.llm.common import ascii_lower
+from heliograph.llm.common import ascii_lower, fresh
+
+#: Rules that one fold of the stack runs over.
+BLOCK = 256
+#: Pages of one group from which they are dealt to several sweeps.
+POINTS = 100_000
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -33,29 +38,66 @@ def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> Da
     return spark.createDataFrame(list(rules), "verdict string, host string, path string")
 
 
-def _reversed(labels: Column) -> Column:
-    return F.array_join(F.reverse(labels), ".")
+def _reversed(host: Column) -> Column:
+    """A host's labels from the last to the first, each closed by a dot."""
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
+
+
+def _top_label(key: Column) -> Column:
+    return F.substring_index(key, ".", 1)
 
 
-def _with_stacks(rules: DataFrame) -> DataFrame:
-    """Rules with the stack of rules open at their start, outermost first, themselves included.
+def rule_stacks(rules: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(group, key, stack): of rules (group, key, entry), one per group and key, the rules open at each one's
+    start, outermost first, itself included.
 
-    A rule's enclosing rules are those of the same host whose path is a proper prefix, found by
-    joining each rule's own prefixes, which are as many as its path is long, to the rules."""
-    keyed = rules.select(
-        _reversed(F.split(F.col("host"), r"\.")).alias("key"), "host", "path",
-        F.struct("path", "verdict", F.concat("host", "path").alias("rule")).alias("entry"),
-    )
-    keyed = keyed.groupBy("key", "path").agg(F.min("entry").alias("entry"))
-    cuts = F.explode(F.sequence(F.lit(0), F.length("path")))
-    prefixes = keyed.select("key", F.col("path").alias("start"), cuts.alias("cut"))
-    prefixes = prefixes.withColumn("path", F.substring("start", F.lit(1), F.col("cut")))
-    return (
-        prefixes.join(keyed, ["key", "path"])
-        .groupBy("key", "start")
-        .agg(F.array_sort(F.collect_list("entry")).alias("stack"))
-        .withColumnRenamed("start", "path")
-    )
+    The stack is folded over sorted blocks of rules. Where a block starts, the stack is made of the prefixes
+    of its first key that are rules.
+    """
+    item = f"struct<key:string,entry:{rules.schema['entry'].dataType.simpleString()}>"
+    empty = F.array().cast(f"array<{item}>")
+    number = F.row_number().over(W.partitionBy("group").orderBy("key")) - 1
+    numbered = rules.withColumn("at", number).withColumn("block", F.floor(F.col("at") / block))
+    heads = numbered.filter((F.col("at") % block == 0) & (F.col("at") > 0) & (F.length("key") > 0))
+    cuts = heads.select("group", "block", "key", F.explode(F.sequence(F.lit(0), F.length("key") - 1)).alias("cut"))
+    cuts = cuts.select("group", "block", F.substring("key", F.lit(1), F.col("cut")).alias("key"))
+    carried = cuts.join(rules, ["group", "key"]).groupBy("group", "block").agg(F.array_sort(F.collect_list(F.struct("key", "entry"))).alias("carried"))
+    blocks = numbered.groupBy("group", "block").agg(F.array_sort(F.collect_list(F.struct("key", "entry"))).alias("rules"))
+    blocks = blocks.join(carried, ["group", "block"], "left").withColumn("carried", F.coalesce("carried", empty))
+
+    def step(state: Column, rule: Column) -> Column:
+        still = F.filter(state["stack"], lambda open_: F.startswith(rule["key"], open_["key"]))
+        stack = F.concat(still, F.array(rule))
+        return F.struct(stack.alias("stack"), F.concat(state["out"], F.array(F.struct(rule["key"].alias("key"), stack.alias("stack")))).alias("out"))
+
+    start = F.struct(F.col("carried").alias("stack"), F.array().cast(f"array<struct<key:string,stack:array<{item}>>>").alias("out"))
+    return blocks.select("group", F.inline(F.aggregate("rules", start, step)["out"]))
+
+
+def sweep_rows(rules: DataFrame, points: DataFrame, salts: int | None = None) -> DataFrame:
+    """Rows of one sweep: rules with their stacks, and points (group, key, …), with the `salt` of a sweep.
+
+    Points of a group are dealt to several sweeps if they are more than POINTS and more than the group's
+    rules, and only to so many that the copies of the rules are no more than the points.
+    """
+    stacks = rule_stacks(rules)
+    own = rules.groupBy("group").agg(F.count(F.lit(1)).alias("own"))
+    if salts is None:
+        sizes = points.groupBy("group").agg(F.count(F.lit(1)).alias("n")).join(own, "group")
+        dealt = sizes.select("group", F.ceil(F.col("n") / F.greatest("own", F.lit(POINTS))).cast("int").alias("sweeps"))
+    else:
+        dealt = own.select("group", F.lit(salts).alias("sweeps"))
+    # A group without rules, or without points, drops out here.
+    starts = stacks.join(dealt, "group").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("sweeps") - 1))).drop("sweeps")
+    at = points.join(dealt, "group").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("sweeps")).cast("int")).drop("sweeps")
+    return starts.withColumn("turn", F.lit(0)).unionByName(at.withColumn("turn", F.lit(1)), allowMissingColumns=True)
+
+
+def open_rules(rules: DataFrame, points: DataFrame, salts: int | None = None) -> DataFrame:
+    """Points with `stack`: the rules of their group whose keys are prefixes of theirs, outermost first."""
+    sweep = W.partitionBy("group", "salt").orderBy("key", "turn").rowsBetween(W.unboundedPreceding, 0)
+    swept = sweep_rows(rules, points, salts).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).filter("turn = 1")
+    return swept.withColumn("stack", F.filter("stack", lambda rule: F.startswith(F.col("key"), rule["key"]))).drop("salt", "turn")
 
 
 def judge_urls(
@@ -67,44 +109,28 @@ def judge_urls(
     longest rule wins, by length of path and host together, then by host. Of two rules with equal host
     and path, the one that allows wins. Pages without rule get `otherwise`.
 
-    The keys of a host are dealt to `salts` sweeps, as many as there are shuffle partitions if not
-    given; the host's rules go to each of them.
+    `salts` deals every group of a sweep to so many sweeps; if it isn't given, only busy groups are dealt, by
+    their counted size.
 
-    Nulls and URLs without "://" have empty host and path; empty tables give empty results; repeated
-    URLs are judged once and looked up; columns of `pages` are kept, and those named like the four
-    results are replaced.
+    Nulls and URLs without "://" have empty host and path; rules without host or path fit nothing; empty tables give
+    empty results; repeated URLs are judged once and looked up; columns of `pages` are kept, whatever
+    their names, and those named like the four results are replaced.
     """
     host, path = url_parts(F.col(url_column))
     pages = pages.drop(*({"host", "path", "rule", "verdict"} - {url_column}))
-    parted = pages.withColumn("_host", host).withColumn("_path", path)
-    salts = salts or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    depth = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
-    # A key for each cut of the host that a rule could have; deeper cuts cannot match.
-    labels = F.split("_host", r"\.")
-    cuts = F.sequence(F.lit(1), F.least(F.size(labels), F.lit(depth)))
-    probes = (
-        parted.select("_host", "_path").distinct()
-        .select("_host", "_path", F.explode(cuts).alias("_cut"))
-        .withColumn("key", _reversed(F.slice(labels, -F.col("_cut"), F.col("_cut"))))
-        .select("_host", "_path", "key")
-    )
-    stacks = _with_stacks(rules)
-    probes = probes.join(stacks.select("key").distinct(), "key", "left_semi")
-    salt = F.pmod(F.xxhash64("_path"), F.lit(salts)).cast("int")
-    starts = stacks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    points = probes.select("key", salt.alias("salt"), F.col("_path").alias("path"), F.lit(1).alias("turn"), "_host")
-    events = starts.withColumn("turn", F.lit(0)).unionByName(points, allowMissingColumns=True)
-    sweep = W.partitionBy("key", "salt").orderBy("path", "turn").rowsBetween(W.unboundedPreceding, 0)
-    swept = events.withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).filter("turn = 1")
-    covering = F.filter("stack", lambda entry: F.startswith(F.col("path"), entry["path"]))
-    found = swept.withColumn("top", F.try_element_at(covering, F.lit(-1))).filter("top IS NOT NULL")
-    longest = F.max(F.struct(F.length("top.rule").alias("n"), F.length("key").alias("h"), F.col("top")))
-    decided = found.groupBy("_host", F.col("path").alias("_path")).agg(longest.alias("best"))
-    decided = decided.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "best.top.rule", "best.top.verdict")
-    return (
-        parted.join(decided, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_p")), "left")
-        .drop("_h", "_p")
-        .withColumnRenamed("_host", "host")
-        .withColumnRenamed("_path", "path")
-        .withColumn("verdict", F.coalesce("verdict", F.lit(otherwise)))
-    )
+    h, p, h2, p2 = (fresh(pages.columns, name) for name in ("_host", "_path", "_h", "_p"))
+    parted = pages.withColumn(h, host).withColumn(p, path)
+    urls = parted.select(F.col(h).alias("host"), F.col(p).alias("path")).distinct()
+    named = rules.filter("host IS NOT NULL AND path IS NOT NULL").withColumn("group", _reversed(F.col("host")))
+    named = named.groupBy("group", F.col("path").alias("key")).agg(F.min(F.struct("verdict", F.concat("host", "path").alias("rule"))).alias("entry"))
+    ruled = named.select(_top_label(F.col("group")).alias("group"), F.col("group").alias("key"), F.lit(True).alias("entry")).distinct()
+    hosts = urls.select("host").distinct().withColumn("key", _reversed(F.col("host"))).withColumn("group", _top_label(F.col("key")))
+    within = open_rules(ruled, hosts, salts).select(F.col("host").alias("_host"), F.explode("stack.key").alias("group"))
+    probes = urls.join(within, F.col("host") == F.col("_host")).select("group", F.col("path").alias("key"), "host")
+    found = open_rules(named, probes, salts).withColumn("top", F.try_element_at("stack", F.lit(-1))["entry"]).filter("top IS NOT NULL")
+    longest = F.max(F.struct(F.length("top.rule").alias("n"), F.length("group").alias("h"), F.col("top")))
+    decided = found.groupBy("host", "key").agg(longest.alias("best"))
+    decided = decided.select(F.col("host").alias(h2), F.col("key").alias(p2), "best.top.rule", "best.top.verdict")
+    judged = parted.join(decided, (F.col(h) == F.col(h2)) & (F.col(p) == F.col(p2)), "left").drop(h2, p2)
+    out = judged.withColumnRenamed(h, "host").withColumnRenamed(p, "path")
+    return out.withColumn("verdict", F.coalesce("verdict", F.lit(otherwise)))

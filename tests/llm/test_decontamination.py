@@ -75,3 +75,24 @@ def test_query(spark, sf):
     }
     assert {tuple(r) for r in queries.op10_decontamination(spark, sf).collect()} == want
     assert sum(h > 0 for _, _, h, _, _ in plain(docs, items)) > 0
+
+
+def test_hot_word(spark):
+    """One word is the rarest of hundreds of windows and stands in a third of all documents."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("abcdefghij") for _ in range(n))
+    items = [(i, f"{text(4)} hot {text(4)}") for i in range(300)]
+    docs = [(i, " ".join([text(5), "hot", text(5)]) if i % 3 else text(30)) for i in range(300)]
+    docs += [(1000 + k, "x " + items[k][1] + " hot") for k in range(20)]
+    compare(spark, docs, items)
+    windows = decontamination.item_windows(spark.createDataFrame(items, "item_id long, text string"))
+    counts = decontamination.rarity(spark.createDataFrame(docs, "doc_id long, text string"), windows.selectExpr("explode(window) word").distinct())
+    keys = decontamination.paired_windows(decontamination.keyed_windows(windows, counts))
+    assert keys.groupBy("pair").count().agg({"count": "max"}).first()[0] < 300 // 2
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "one two", "a", "b", "c"), (2, "three", "a", "b", "c")], "doc_id long, text string, _id string, _hash string, place string")
+    items = spark.createDataFrame([(7, "ONE two")], "item_id long, text string")
+    kept = decontamination.without_contaminated(docs, items)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
