@@ -20,7 +20,7 @@ from heliograph.llm.common import ascii_lower, fresh
 #: Rules that one fold of the stack runs over.
 BLOCK = 256
 #: Pages of one group from which they are dealt to several sweeps.
-POINTS = 100_000
+POINTS = 1_000
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -87,17 +87,25 @@ def sweep_rows(rules: DataFrame, points: DataFrame, salts: int | None = None) ->
         dealt = sizes.select("group", F.ceil(F.col("n") / F.greatest("own", F.lit(POINTS))).cast("int").alias("sweeps"))
     else:
         dealt = own.select("group", F.lit(salts).alias("sweeps"))
-    # A group without rules, or without points, drops out here.
-    starts = stacks.join(dealt, "group").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("sweeps") - 1))).drop("sweeps")
-    at = points.join(dealt, "group").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("sweeps")).cast("int")).drop("sweeps")
+    # A group without rules, or without points, drops out here. The key is made anew, so that Spark can split
+    # the points of a busy group.
+    dealt = dealt.select(F.struct("group").alias("own_group"), "sweeps")
+
+    def with_sweeps(df: DataFrame) -> DataFrame:
+        return df.withColumn("own_group", F.struct("group")).join(dealt, "own_group").drop("own_group")
+
+    starts = with_sweeps(stacks).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("sweeps") - 1))).drop("sweeps")
+    at = with_sweeps(points).withColumn("salt", F.pmod(F.xxhash64("key"), F.col("sweeps")).cast("int")).drop("sweeps")
     return starts.withColumn("turn", F.lit(0)).unionByName(at.withColumn("turn", F.lit(1)), allowMissingColumns=True)
 
 
 def open_rules(rules: DataFrame, points: DataFrame, salts: int | None = None) -> DataFrame:
     """Points with `stack`: the rules of their group whose keys are prefixes of theirs, outermost first."""
-    sweep = W.partitionBy("group", "salt").orderBy("key", "turn").rowsBetween(W.unboundedPreceding, 0)
-    swept = sweep_rows(rules, points, salts).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).filter("turn = 1")
-    return swept.withColumn("stack", F.filter("stack", lambda rule: F.startswith(F.col("key"), rule["key"]))).drop("salt", "turn")
+    # One value for both: rows that lie together by group already would else not be dealt out by salt.
+    sweep = W.partitionBy("sweep").orderBy("key", "turn").rowsBetween(W.unboundedPreceding, 0)
+    rows = sweep_rows(rules, points, salts).withColumn("sweep", F.struct("group", "salt"))
+    swept = rows.withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).filter("turn = 1")
+    return swept.withColumn("stack", F.filter("stack", lambda rule: F.startswith(F.col("key"), rule["key"]))).drop("salt", "turn", "sweep")
 
 
 def judge_urls(
