@@ -1,8 +1,9 @@
 """Quality rules with perplexity bands.
 
 Simple counts reject what no model is needed for. The rest is judged by an n-gram model of the whole
-corpus: a document stays if its mean log perplexity lies within its language's band, which is drawn from
-the quartiles of that language's documents. Far above lies noise, far below lies text that repeats.
+corpus: a document stays if its log perplexity per word lies within its language's band, which is drawn from
+the quartiles of that language's documents. Far above lies noise, far below lies text that repeats. Words are
+runs of letters, so that signs cost without counting: noise made of common signs is as likely by the symbol as prose.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ SYMBOLS = "#*$%&|<>"
 REPEATED = 5
 FEWEST_WORDS, MOST_REPEATED = 10, 20
 #: How many quartile ranges beyond the quartiles a band reaches, below and above.
-BELOW, ABOVE = 3.0, 3.0
+BELOW, ABOVE = 2.0, 2.0
 COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -52,23 +53,23 @@ def counted(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _measures(model: Broadcast) -> Callable:
+def _measures(heads: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, known = ngrams.symbol_table(), ngrams.SortedModel(*model.value)
+        tables, row = ngrams.symbol_table(), ngrams.task_rows()
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            counts = [counted(t) for t in texts]
-            means = list(ngrams.mean_logs(texts, known.log_probabilities, tables))
-            columns = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in zip(*counts))]
-            columns += [pa.array([m for m, _ in means], pa.float64()), pa.array([n for _, n in means], pa.int64())]
-            if len(columns) == 9:
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", *COUNTED, "mean_log", "symbols"])
+            if not texts:
+                continue
+            columns = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in zip(*map(counted, texts)))]
+            columns += ngrams.scored_columns(texts, heads.value, tables, False, row)
+            row += len(texts)
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", *COUNTED, "row", "log_sum", "symbols", "words", "rest"])
 
     return run
 
 
-def quality_rules(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """Per document: doc_id, lang, the counts, `base_failed`, `mean_log` (log perplexity per symbol, drawn
+def quality_rules(docs: DataFrame, below: float = BELOW, above: float = ABOVE, head: int = ngrams.HEAD) -> DataFrame:
+    """Per document: doc_id, lang, the counts, `base_failed`, `mean_log` (log perplexity per word, drawn
     to the language's middle in short texts), the band's `low` and `high`, and `kept`.
 
     Missing and empty texts have no words and fail the base rules. Documents without language are a
@@ -79,15 +80,17 @@ def quality_rules(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -
     text = F.col("text").cast("string")
     spark = docs.sparkSession
     counts = written(ngrams.count_grams(docs.select(text.alias("text"))), "ngram-counts")
-    model = spark.sparkContext.broadcast(ngrams.SortedModel.collected(ngrams.kneser_ney(counts)).arrays())
-    ddl = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTED) + ", mean_log double, symbols long"
+    model = ngrams.Model(counts, head)
+    heads = spark.sparkContext.broadcast(model.heads)
+    ddl = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTED) + ", " + ngrams.SCORED
     rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), text)
     base = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    measured = written(in_small_batches(rows).mapInArrow(_measures(model), ddl).withColumn("base_failed", base), "measured")
+    measured = written(in_small_batches(rows).mapInArrow(_measures(heads), ddl).withColumn("base_failed", base), "measured")
+    measured = written(ngrams.with_mean(measured, model).drop("symbols"), "measured-whole")
     rest = measured.filter("NOT base_failed")
     middles = rest.groupBy("lang").agg(F.percentile_approx("mean_log", 0.5, 10_000).alias("middle"))
     middles = middles.select(F.col("lang").alias("_lang"), "middle")
-    near = ngrams.settled(F.col("mean_log"), F.coalesce("middle", "mean_log"), F.col("symbols"))
+    near = ngrams.settled(F.col("mean_log"), F.coalesce("middle", "mean_log"), F.col("words"))
     joined = measured.join(middles, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
     joined = joined.withColumn("mean_log", near).drop("middle")
     quartiles = F.percentile_approx("mean_log", F.array(F.lit(0.25), F.lit(0.75)), 10_000)
@@ -96,6 +99,6 @@ def quality_rules(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -
     bands = bands.select(
         F.col("lang").alias("_lang"), (F.col("q")[0] - below * spread).alias("low"), (F.col("q")[1] + above * spread).alias("high")
     )
-    banded = joined.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang", "symbols")
+    banded = joined.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang", "words")
     inside = F.coalesce(F.col("mean_log").between(F.col("low"), F.col("high")), F.lit(False))
     return banded.withColumn("kept", ~F.col("base_failed") & inside)

@@ -1,17 +1,16 @@
 """A quality classifier by perplexity under a model of trusted text.
 
-An interpolated modified Kneser-Ney model is counted on trusted documents only. Its tables are cut into
-shards by ranges of grams, each of a bounded number of entries; every document's grams are joined to the
-shards one after the other and the parts of its log probability added up, so a task holds one shard at a
-time beside its documents. Thresholds are quantiles of the trusted documents of each language, with a
-margin.
+An interpolated modified Kneser-Ney model is counted on trusted documents only, into tables that grow with
+them. Texts look up the most frequent entries in sorted arrays; all their other grams are joined to the
+tables by gram, shard by shard of the shuffle, and the parts of a document's log probability added up. A
+passage that a text repeats costs nothing the second time, so that repetition lies below the band and noise
+above it. Thresholds are quantiles of the trusted documents of each language, with a margin.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -20,46 +19,23 @@ from pyspark.sql import functions as F
 from heliograph.llm import ngrams
 from heliograph.llm.common import in_small_batches, may_be_member, member_bits, written
 
-#: Entries of a shard.
-SHARD = 1 << 20
-LOW, HIGH, MARGIN = 0.005, 0.995, 0.25
-#: Bits of the filter of trusted ids: 1 MB, whatever the input.
-FILTER_BITS = 1 << 23
+LOW, HIGH = 0.005, 0.995
+#: How far the band reaches beyond the quantiles, in parts of their distance.
+BELOW, ABOVE = 0.15, 0.15
+#: Bits of the filter of trusted ids: 16 for each id, up to 8 MB; beyond, more texts are shuffled.
+FEWEST_BITS, MOST_BITS = 1 << 12, 1 << 26
 
 
-class Shards:
-    """A model's highest order in ranges of grams; the lower orders, 64 times smaller, in one piece."""
-
-    def __init__(self, model: ngrams.SortedModel, entries: int, broadcast: Callable) -> None:
-        grams, logs = model.grams[-1], model.logs[-1]
-        cuts = range(0, max(1, len(grams)), entries)
-        self.starts = np.array([grams[c] if len(grams) else 0 for c in cuts], dtype=np.uint32)
-        self.parts: list[Broadcast] = [broadcast((grams[c : c + entries], logs[c : c + entries])) for c in cuts]
-        empty = np.empty(0, np.uint32), np.empty(0, np.float32)
-        rest = ngrams.SortedModel([*model.grams[:-1], empty[0]], [*model.logs[:-1], empty[1]], model.contexts, model.rests)
-        self.rest = broadcast(rest.arrays())
-
-    def log_probabilities(self, grams: np.ndarray) -> np.ndarray:
-        """As the whole model would give them."""
-        out, seen = np.zeros(len(grams)), np.zeros(len(grams), bool)
-        shard = np.maximum(np.searchsorted(self.starts, grams, side="right") - 1, 0)
-        for k, part in enumerate(self.parts):
-            mine = np.flatnonzero(shard == k)
-            keys, logs = part.value
-            at, found = ngrams._places(keys, grams[mine])
-            out[mine[found]] = logs[at[found]]
-            seen[mine[found]] = True
-        out[~seen] = ngrams.SortedModel(*self.rest.value).log_probabilities(grams[~seen])
-        return out
-
-
-def _means(shards: Shards) -> Callable:
+def _means(heads: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = ngrams.symbol_table()
+        tables, row = ngrams.symbol_table(), ngrams.task_rows()
         for batch in batches:
-            means = list(ngrams.mean_logs(batch.column(2).to_pylist(), shards.log_probabilities, tables))
-            columns = [batch.column(0), batch.column(1), pa.array([m for m, _ in means], pa.float64()), pa.array([n for _, n in means], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "mean_log", "symbols"])
+            texts = batch.column(2).to_pylist()
+            if not texts:
+                continue
+            columns = [batch.column(0), batch.column(1), *ngrams.scored_columns(texts, heads.value, tables, True, row)]
+            row += len(texts)
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "row", "log_sum", "symbols", "words", "rest"])
 
     return run
 
@@ -70,12 +46,12 @@ def trusted_ids(labels: DataFrame, folds: int = 5) -> DataFrame:
     return good.filter((F.col("q") == 1) & (F.crc32(F.col("_id").cast("string").cast("binary")) % folds != 0)).select("_id")
 
 
-def quality_by_trust(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, margin: float = MARGIN, entries: int = SHARD) -> DataFrame:
-    """Per document: doc_id, lang, `mean_log` (log perplexity per symbol, drawn to the language's middle
+def quality_by_trust(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, below: float = BELOW, above: float = ABOVE, head: int = ngrams.HEAD) -> DataFrame:
+    """Per document: doc_id, lang, `mean_log` (log perplexity per word, drawn to the language's middle
     in short texts), the thresholds `low` and `high`, and `kept`.
 
-    Thresholds are the two quantiles of the language's trusted documents, moved outwards by `margin` times
-    their distance. A language without trusted documents takes those of all trusted ones; without any
+    Thresholds are the two quantiles of the language's trusted documents, moved outwards by `below` and
+    `above` times their distance. A language without trusted documents takes those of all trusted ones; without any
     trusted document everything is kept. Missing and empty texts are not kept unless nothing is trusted.
     Repeated rows get equal results; an empty table gives an empty result; other columns are not read.
     """
@@ -83,14 +59,15 @@ def quality_by_trust(docs: DataFrame, labels: DataFrame, low: float = LOW, high:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     trusted = trusted_ids(labels)
     # Most texts without trust are left out before the join, so that they need not be shuffled.
-    bits = member_bits(trusted, "_id", FILTER_BITS)
-    likely = rows.filter(may_be_member(F.col("doc_id"), bits, FILTER_BITS))
+    size = min(max(1 << (16 * trusted.count()).bit_length(), FEWEST_BITS), MOST_BITS)
+    likely = rows.filter(may_be_member(F.col("doc_id"), member_bits(trusted, "_id", size), size))
     texts = likely.join(trusted, F.col("doc_id") == F.col("_id"), "left_semi").select("text")
     counts = written(ngrams.count_grams(texts), "trusted-counts")
-    model = ngrams.SortedModel.collected(ngrams.kneser_ney(counts))
-    shards = Shards(model, entries, spark.sparkContext.broadcast)
-    ddl = "doc_id long, lang string, mean_log double, symbols long"
-    measured = written(in_small_batches(rows).mapInArrow(_means(shards), ddl), "trusted-means")
+    model = ngrams.Model(counts, head)
+    heads = spark.sparkContext.broadcast(model.heads)
+    ddl = "doc_id long, lang string, " + ngrams.SCORED
+    measured = written(in_small_batches(rows).mapInArrow(_means(heads), ddl), "trusted-means")
+    measured = written(ngrams.with_mean(measured, model), "trusted-whole")
     known = measured.join(trusted, F.col("doc_id") == F.col("_id"), "left_semi").filter("symbols > 0")
     middle = F.percentile_approx("mean_log", 0.5, 10_000)
     overall = known.agg(middle.alias("_middle"))
@@ -98,7 +75,7 @@ def quality_by_trust(docs: DataFrame, labels: DataFrame, low: float = LOW, high:
     centre = overall.first()[0]
     joined = measured.join(middles, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
     centred = F.coalesce("middle", F.lit(centre).cast("double"), "mean_log")
-    joined = joined.withColumn("mean_log", ngrams.settled(F.col("mean_log"), centred, F.col("symbols"))).drop("middle")
+    joined = joined.withColumn("mean_log", ngrams.settled(F.col("mean_log"), centred, F.col("words"))).drop("middle", "words")
     joined = written(joined, "trusted-settled")
     known = joined.join(trusted, F.col("doc_id") == F.col("_id"), "left_semi").filter("symbols > 0")
     ends = F.percentile_approx("mean_log", F.array(F.lit(low), F.lit(high)), 10_000)
@@ -106,9 +83,9 @@ def quality_by_trust(docs: DataFrame, labels: DataFrame, low: float = LOW, high:
     bands = known.groupBy("lang").agg(ends.alias("q")).select(F.col("lang").alias("_lang"), "q")
     default = F.array(*[F.lit(x).cast("double") for x in whole]) if whole else F.lit(None).cast("array<double>")
     q = F.coalesce("q", default)
-    width = margin * (q[1] - q[0])
+    width = q[1] - q[0]
     banded = joined.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    banded = banded.withColumn("low", q[0] - width).withColumn("high", q[1] + width)
+    banded = banded.withColumn("low", q[0] - below * width).withColumn("high", q[1] + above * width)
     kept = F.col("mean_log").between(F.col("low"), F.col("high")) & (F.col("symbols") > 0)
     kept = F.when(F.col("low").isNull(), F.lit(True)).otherwise(kept)
     return banded.select("doc_id", "lang", "mean_log", "low", "high", kept.alias("kept"))
