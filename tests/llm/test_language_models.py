@@ -234,4 +234,6 @@ def test_verdicts_by_hand(spark, sf):
         width = 0.15 * (high - low)
         for d, x in settled.items():
             assert math.isclose(rows[d].mean_log, x, rel_tol=1e-9) and math.isclose(rows[d].high, high + width, rel_tol=1e-9)
-            assert rows[d].kept == (low - width <= rows[d].mean_log <= high + width and bool(few[d][0]))
+            assert math.isclose(rows[d].low, low - width, rel_tol=1e-9)
+            # The last digits of a sum depend on its order, so the comparison is of the row's own numbers.
+            assert rows[d].kept == (rows[d].low <= rows[d].mean_log <= rows[d].high and bool(few[d][0]))
