@@ -24,13 +24,25 @@ def encode_click_token(campaign_id: Column, lead_id: Column, email_id: Column, u
     return F.translate(packed, "+/", "-_")
 
 
-def decode_click_token(token: Column) -> Column:
-    """The payload struct; null when the token is not base64url of a JSON object.
+def token_characters(token: Column) -> Column:
+    """A token's characters of the standard alphabet. Those outside the alphabet are skipped."""
+    # No underscore is left for \w, which Java finds sooner than three ranges.
+    return F.regexp_replace(F.translate(token, "-_", "+/"), r"[^\w+/]+", "")
+
 
-    Characters outside the alphabet are skipped, as is an odd one at the end, which holds no whole byte.
-    """
-    kept = F.regexp_replace(F.translate(token, "-_", "+/"), "[^A-Za-z0-9+/]", "")
+def token_text(kept: Column) -> Column:
+    """The text that these characters stand for. An odd one at the end holds no whole byte and is skipped."""
     whole = F.substring(kept, F.lit(1), F.length(kept) - F.when(F.length(kept) % 4 == 1, 1).otherwise(0))
     raw = F.try_to_binary(whole, F.lit("base64"))
-    text = F.make_valid_utf8(raw.cast("string"))
+    return F.make_valid_utf8(raw.cast("string"))
+
+
+def token_payload(text: Column) -> Column:
+    """The payload struct; null when the text is not a JSON object."""
     return F.when(is_json(text), F.from_json(text, TOKEN_DDL))
+
+
+def decode_click_token(token: Column) -> Column:
+    """The payload struct; null when the token is not base64url of a JSON object. Over tables the steps
+    belong in columns of their own, as in `sources.ingest`: here each is written out at each of its uses."""
+    return token_payload(token_text(token_characters(token)))

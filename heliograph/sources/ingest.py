@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions.json import is_json
+from heliograph.functions.rows import computed_once
 from heliograph.functions.text import truthy
-from heliograph.functions.tokens import decode_click_token
+from heliograph.functions.tokens import token_characters, token_payload, token_text
 from heliograph.operators.leads import normalize_leads
 from heliograph.operators.ordering import top_per_group
 from heliograph.schemas import PROVIDER_EVENT_DDL
@@ -39,8 +40,12 @@ def parse_webhook_events(
 def decode_click_tokens(tokens: DataFrame) -> DataFrame:
     """`token` plus carried columns to clicks. A token without a target address is rejected;
     `logged` tells whether it names both a campaign and an e-mail and so counts as a click."""
+    texts = (
+        tokens.withColumn("_kept", token_characters(F.col("token")))
+        .withColumn("_text", token_text(F.col("_kept")))
+    )
     return (
-        tokens.withColumn("_p", decode_click_token(F.col("token")))
+        computed_once(texts, _p=token_payload(F.col("_text")))
         .filter(truthy(F.col("_p.u")))
         .select(
             *[c for c in tokens.columns if c != "token"],
