@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ RARITY = (2, 8, 64, 512)
 RARITY_BITS = 1 << 24
 #: Bits, at most, of the filter of bands that several classes have.
 MOST_BITS = 1 << 27
+#: Bytes of text, about, whose shingles stand in memory at once.
+SLICE_BYTES = 1 << 20
 
 
 def _constants(count: int, seed: int) -> np.ndarray:
@@ -109,22 +112,31 @@ def _signed_lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
-def _banded(bands: int, summary: Callable[[np.ndarray], int] | None) -> Callable:
+def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut into stretches of rows with about SLICE_BYTES of text, one row at least: words and shingles take
+    many times the room of their text."""
+    for batch in batches:
+        sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float))
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(sizes)]):
+            yield batch.slice(a, b - a)
+
+
+def _banded(bands: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, 2):
             sets = shingle_sets(batch.column(2).to_pylist())
             full = [s for s in sets if len(s)]
             rows = iter(band_keys(full, bands) if full else [])
             keys = [next(rows) if len(s) else s for s in sets]
-            prints = [summary(s) if summary and len(s) else 0 for s in sets]
-            columns = [batch.column(0), batch.column(1), _signed([_signature(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), _signed(prints), _signed_lists(keys)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "sig", "n", "fp", "bands"])
+            columns = [batch.column(0), batch.column(1), _signed([_signature(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), _signed_lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "sig", "n", "bands"])
 
     return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _pieces(batches, 1):
         sets = shingle_sets(batch.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column(0), _signed([_signature(s) for s in sets]), _signed_lists(sets)], names=["row", "sig", "hashes"])
 
@@ -243,26 +255,20 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"].cast("long"), text_key(docs["text"].cast("string")))
 
 
-def linked_groups(
-    docs: DataFrame, least: int = LEAST, bands: int = BANDS, summary: Callable[[np.ndarray], int] | None = None,
-    more_bands: Callable[[DataFrame], DataFrame] | None = None,
-) -> DataFrame:
+def linked_groups(docs: DataFrame, least: int = LEAST, bands: int = BANDS) -> DataFrame:
     """doc_id, `row` (see `row_key`), `n` (the number of shingles), `root` (the same for all rows of a group) and
     `component_id` (the group's smallest doc_id).
 
-    Texts without words are one group. `summary` makes one number `fp` of a set, and `more_bands` finds further
-    bands (band, sig, n) from the classes (sig, n, fp), whose members are compared like those of the others.
+    Texts without words are one group.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minmax")
     rows = in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), F.col("text").cast("string").alias("text")))
-    records = scratch.keep(rows.mapInArrow(_banded(bands, summary), "doc_id long, row long, sig long, n long, fp long, bands array<long>"), "records")
+    records = scratch.keep(rows.mapInArrow(_banded(bands), "doc_id long, row long, sig long, n long, bands array<long>"), "records")
     # A row of each class stands for it.
-    first = [F.min("row").alias("row"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("fp").alias("fp")]
+    first = [F.min("row").alias("row"), F.min("doc_id").alias("least"), F.max("n").alias("n")]
     classes = scratch.keep(records.groupBy("sig").agg(*first), "classes")
     spread = records.filter("n > 0").select(F.explode("bands").alias("band"), "sig", "n")
-    if more_bands is not None:
-        spread = spread.unionByName(scratch.keep(more_bands(classes.filter("n > 0").select("sig", "n", "fp")), "more"))
     several = spread.groupBy("band").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).filter("a <> b")
     several = scratch.keep(several.select(_other("band", "_band")), "several")
     # Most bands belong to one class: they are left out before the join, so that they need not be shuffled.
@@ -277,7 +283,7 @@ def linked_groups(
     found = in_small_batches(texts).mapInArrow(_sets, "row long, sig long, hashes array<long>")
     sets = scratch.keep(found.join(wanted, "row", "left_semi").dropDuplicates(["row"]).select("sig", "hashes"), "sets")
     roots = scratch.keep(_linked(shared, sets, least, scratch), "parts")
-    scratch.drop("more", "several", "shared", "wanted", "sets")
+    scratch.drop("several", "shared", "wanted", "sets")
     named = classes.join(roots, classes.sig == roots.node, "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     named = scratch.keep(named, "named")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id")).select(_other("root", "_root"), "component_id")
