@@ -26,13 +26,15 @@ def parse_webhook_events(
         raw = raw.join(webhooks.select(F.col("id").alias("webhook_id")), "webhook_id", "left_semi")
     ok = is_json(F.col("raw_body"))
     stamp = received_at if received_at is not None else F.col("received_at")
-    return raw.select(
+    checked = raw.withColumn("_ok", ok)
+    parsed = computed_once(checked, _event=F.when(F.col("_ok"), F.from_json("raw_body", PROVIDER_EVENT_DDL)))
+    return parsed.select(
         "id",
         "webhook_id",
         "headers",
         F.nullif("raw_body", F.lit("")).alias("body"),
-        ok.alias("is_json"),
-        F.when(ok, F.from_json("raw_body", PROVIDER_EVENT_DDL)).alias("event"),
+        F.col("_ok").alias("is_json"),
+        F.col("_event").alias("event"),
         stamp.alias("received_at"),
     )
 
@@ -63,12 +65,12 @@ def parse_submissions(raw: DataFrame, forms: DataFrame) -> DataFrame:
 
     Required fields are not enforced. A missing body is an empty submission, a broken one is refused.
     """
-    body = F.coalesce(F.col("body"), F.lit("{}"))
+    posted = computed_once(raw, _body=F.coalesce(F.col("body"), F.lit("{}")))
     known = forms.select(F.col("slug").alias("form_slug"))
     return (
-        raw.filter(is_json(body))
+        posted.filter(is_json(F.col("_body")))
         .join(known, "form_slug", "left_semi")
-        .select("id", "form_slug", F.from_json(body, "map<string,string>").alias("data"), "received_at")
+        .select("id", "form_slug", F.from_json("_body", "map<string,string>").alias("data"), "received_at")
     )
 
 
