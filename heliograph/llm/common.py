@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,6 +85,36 @@ def worker_state(key: str, make: Callable[[], Any]) -> Any:
     return getattr(holder, key)
 
 
+def leaving_nothing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over Arrow batches whose worker keeps no memory of it, nor state of other operators before it.
+
+    Workers stay for a while after their tasks, and what they hold counts beside the executor's own memory in the stages
+    that follow. Freed memory goes back to the system only when it is asked for.
+    """
+    def wrapped(batches: Iterator) -> Iterator:
+        import ctypes
+        import gc
+        import sys
+
+        import pyarrow as pa
+
+        def release() -> None:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+        libc = ctypes.CDLL(None)
+        if sys.modules.pop("_heliograph_worker", None) is not None:
+            release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def _slot(value: Column, size: int) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(size))
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import Scratch, in_small_batches, may_be_member, member_bits, text_key
+from heliograph.llm.common import Scratch, in_small_batches, leaving_nothing, may_be_member, member_bits, text_key
 from heliograph.llm.components import components
 
 SHINGLE = 5
@@ -232,8 +232,10 @@ def _linked(shared: DataFrame, sets: DataFrame, least: int, scratch: Scratch) ->
     Only row counts come to the driver.
     """
     spark = shared.sparkSession
-    links = tried = spark.createDataFrame([], "u long, v long")
-    roots = spark.createDataFrame([], "node long, root long")
+    # Not made of an empty list: its rows would come from Python workers, which stay in the executors' memory.
+    nothing = spark.range(0)
+    links = tried = nothing.select(F.col("id").alias("u"), F.col("id").alias("v"))
+    roots = nothing.select(F.col("id").alias("node"), F.col("id").alias("root"))
     popularity = scratch.keep(_popularity(shared), "popularity")
     for turn in range(STARS + 1):
         left = scratch.keep(_apart(shared, roots), f"apart-{turn}")
@@ -264,7 +266,7 @@ def linked_groups(docs: DataFrame, least: int = LEAST, bands: int = BANDS) -> Da
     spark = docs.sparkSession
     scratch = Scratch(spark, "minmax")
     rows = in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), F.col("text").cast("string").alias("text")))
-    records = scratch.keep(rows.mapInArrow(_banded(bands), "doc_id long, row long, sig long, n long, bands array<long>"), "records")
+    records = scratch.keep(rows.mapInArrow(leaving_nothing(_banded(bands)), "doc_id long, row long, sig long, n long, bands array<long>"), "records")
     # A row of each class stands for it.
     first = [F.min("row").alias("row"), F.min("doc_id").alias("least"), F.max("n").alias("n")]
     classes = scratch.keep(records.groupBy("sig").agg(*first), "classes")
@@ -280,7 +282,7 @@ def linked_groups(docs: DataFrame, least: int = LEAST, bands: int = BANDS) -> Da
     wanted = scratch.keep(classes.withColumn("_sig", _other("sig", "_sig")).join(wanted, "_sig", "left_semi").select("row"), "wanted")
     size = min(MOST_BITS, max(1 << 20, 8 << wanted.count().bit_length()))
     texts = rows.filter(may_be_member(F.col("row"), member_bits(wanted, "row", size), size)).select("row", "text")
-    found = in_small_batches(texts).mapInArrow(_sets, "row long, sig long, hashes array<long>")
+    found = in_small_batches(texts).mapInArrow(leaving_nothing(_sets), "row long, sig long, hashes array<long>")
     sets = scratch.keep(found.join(wanted, "row", "left_semi").dropDuplicates(["row"]).select("sig", "hashes"), "sets")
     roots = scratch.keep(_linked(shared, sets, least, scratch), "parts")
     scratch.drop("several", "shared", "wanted", "sets")

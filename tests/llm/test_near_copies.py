@@ -73,3 +73,32 @@ def test_stage_on_given_documents(spark, sf):
         rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
         kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, path).collect()}
         assert kept == set(firsts(rows))
+
+
+def test_workers_keep_nothing(spark):
+    """The worker that runs after another operator's task drops its state, and says so from within."""
+    from heliograph.llm.common import leaving_nothing, worker_state
+
+    def held(batches):
+        import sys
+
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(["_heliograph_worker" in sys.modules] * len(batch))], names=["held"])
+
+    def keeps(batches):
+        worker_state("test", lambda: bytearray(1 << 20))
+        yield from held(batches)
+
+    rows = spark.range(8, numPartitions=1)
+    assert {r.held for r in rows.mapInArrow(keeps, "held boolean").collect()} == {True}
+    assert {r.held for r in rows.mapInArrow(leaving_nothing(held), "held boolean").collect()} == {False}
+
+
+def test_no_rows_from_python_in_links(spark, monkeypatch):
+    """Empty tables of links come from Spark's range, not from a Python list."""
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    texts = [f"{i} " + " ".join(f"w{k}" for k in range(40)) for i in (1, 2)]
+    docs = spark.range(1, 3).selectExpr("id AS doc_id", f"CASE id WHEN 1 THEN '{texts[0]}' ELSE '{texts[1]}' END AS text")
+    assert {r.component_id for r in near_copies.near_copy_groups(docs).collect()} == {1}
