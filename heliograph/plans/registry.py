@@ -777,8 +777,8 @@ def stream_whole_feed(spark, sf):
 
 @query
 def stream_clicks(spark, sf):
-    stats = jobs.stream_clicks(v.click_tokens(v.stream(spark, sf, "lineitem", STREAM_BATCH_BYTES)))
-    return sinks.run_available(spark, stats, "update", merge=_latest("email_id"))
+    clicks = jobs.stream_clicks(v.click_tokens(v.stream(spark, sf, "lineitem", STREAM_BATCH_BYTES)))
+    return sinks.run_available(spark, clicks, transform=jobs.click_increments, merge=jobs.merge_click_stats, reused=False)
 
 
 @query

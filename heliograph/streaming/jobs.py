@@ -122,8 +122,19 @@ def stream_activity_feed(*sources: DataFrame) -> DataFrame:
 
 
 def stream_clicks(tokens: DataFrame) -> DataFrame:
-    """Click counters per e-mail from raw tokens, in update mode."""
-    return click_stats(decode_click_tokens(tokens).filter("logged"))
+    """E-mail and time of each click from raw tokens, in append mode: what `click_increments` counts."""
+    return decode_click_tokens(tokens).filter("logged").select("email_id", "clicked_at")
+
+
+def click_increments(clicks: DataFrame, batch_id: int) -> DataFrame:
+    """Click counters per e-mail from one micro-batch. Written per batch and merged on reading, so that no state of
+    all e-mails is opened and committed with every batch."""
+    return click_stats(clicks)
+
+
+def merge_click_stats(rows: DataFrame) -> DataFrame:
+    """Counters per e-mail from those of several batches."""
+    return rows.groupBy("email_id").agg(F.sum("click_count").alias("click_count"), F.max("last_clicked_at").alias("last_clicked_at"))
 
 
 def probe_arrivals(

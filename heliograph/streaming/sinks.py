@@ -28,6 +28,7 @@ def stream_sink(
     transform: Callable[[DataFrame, int], DataFrame] | None = None,
     merge: Merge | None = None,
     merged_after: int = MERGED_AFTER,
+    reused: bool = True,
 ) -> StreamingQuery:
     """Keep a table up to date from a stream.
 
@@ -36,7 +37,7 @@ def stream_sink(
     read. With a `merge` (`latest_per_key` or `summed_per_key` with their keys) the table is an incremental
     view: after `merged_after` batches the last merged table and the batches since become the next one, and what
     only older commits name is removed. A `transform` may use its batch more than once: it is kept until it is
-    written. Without an `interval` the query takes what is there and stops.
+    written, unless it isn't `reused`. Without an `interval` the query takes what is there and stops.
     """
     spark = df.sparkSession
 
@@ -45,13 +46,14 @@ def stream_sink(
             batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
             schema = batch.schema
         else:
-            batch = batch.persist()
+            kept = batch.persist() if reused else batch
             try:
-                rows = transform(batch, batch_id)
+                rows = transform(kept, batch_id)
                 rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
                 schema = rows.schema
             finally:
-                batch.unpersist()
+                if reused:
+                    kept.unpersist()
         commits, files = Commits(spark, path), Files(spark, path)
         before = commits.last(batch_id)
         mark = {"schema": schema.jsonValue(), "merged": before.get("merged"), "first": before.get("first", batch_id), "last": batch_id}
@@ -131,11 +133,12 @@ def run_available(
     output_mode: str = "append",
     transform: Callable[[DataFrame, int], DataFrame] | None = None,
     merge: Merge | None = None,
+    reused: bool = True,
 ) -> DataFrame:
     """Run a stream over what is there now, in the shared folder, and return the written batches, merged if
-    there is a `merge`. `transform` gets each micro-batch with its number."""
+    there is a `merge`. `transform` gets each micro-batch with its number; without `reused` the batch isn't kept while it is used."""
     base = scratch_path(spark, "stream")
-    query = stream_sink(df, f"{base}/table", f"{base}/checkpoint", output_mode, transform=transform, merge=merge)
+    query = stream_sink(df, f"{base}/table", f"{base}/checkpoint", output_mode, transform=transform, merge=merge, reused=reused)
     query.awaitTermination()
     if Commits(spark, f"{base}/table").numbers():
         rows = read_batches(spark, f"{base}/table")

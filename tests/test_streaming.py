@@ -145,3 +145,20 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         session.shared_folder(Cluster())
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
+
+
+def test_clicks_without_state(spark, tmp_path):
+    """Clicks of several batches are counted per batch and merged; no state of e-mails is kept by the stream."""
+    from heliograph.functions.tokens import encode_click_token
+
+    token = encode_click_token(F.lit("c"), F.lit("l"), F.col("email"), F.lit("https://shop.test/"))
+    rows = [("a", "2024-01-03"), ("b", "2024-01-01"), ("a", "2024-01-02"), (None, "2024-01-01")]
+    for k, (email, day) in enumerate(rows):
+        row = spark.createDataFrame([(email, day)], "email string, day string")
+        row.select(token.alias("token"), F.col("day").cast("timestamp").alias("clicked_at")).coalesce(1).write.parquet(str(tmp_path / f"part={k}"))
+    source = spark.readStream.schema("token string, clicked_at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/part=*")
+    clicks = jobs.stream_clicks(source)
+    assert "Aggregate" not in clicks._jdf.queryExecution().analyzed().toString()
+    merged = sinks.run_available(spark, clicks, transform=jobs.click_increments, merge=jobs.merge_click_stats, reused=False)
+    found = {(r.email_id, r.click_count, str(r.last_clicked_at)[:10]) for r in merged.collect()}
+    assert found == {("a", 2, "2024-01-03"), ("b", 1, "2024-01-01")}
